@@ -92,3 +92,32 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A small file of the driver, such as a vocabulary."""
     with open(path, "rb") as f:
         return f.read()
+
+
+def column_map(frame: DataFrame, schema: str, start: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], arrow: pa.Schema) -> DataFrame:
+    """As row_map, for functions that yield a tuple of equally long numpy arrays (or lists) at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    yield from zip(*(c.slice(i, 256).to_pylist() for c in batch.columns))
+
+        held: list[tuple] = []
+        size = 0
+        for columns in step(rows()):
+            held.append(columns)
+            size += len(columns[0])
+            if size >= 50_000:
+                yield _joined(held, arrow)
+                held, size = [], 0
+        if held:
+            yield _joined(held, arrow)
+
+    return frame.mapInArrow(run, schema)
+
+
+def _joined(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.chunked_array([pa.array(part, f.type) for part in column], f.type).combine_chunks() for column, f in zip(zip(*held), schema)], schema=schema)

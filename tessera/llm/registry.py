@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, lm, minhash, secrets, topk, warc
+from tessera.llm import bpe, decontam, langid, linededup, lm, minhash, secrets, suffixes, topk, warc
 
 QUERIES = {
     "op1_topk": (topk.op1_topk, topk.OP1_SQL),
+    "op2_suffix_dedup": (suffixes.op2_suffix_dedup, None),
     "op3_warc": (warc.op3_warc, warc.OP3_SQL),
+    "op4_line_dedup": (linededup.op4_line_dedup, linededup.OP4_SQL),
     "op5_language_id": (langid.op5_language_id, None),
     "op6_secrets": (secrets.op6_secrets, None),
+    "op7_decontaminate": (decontam.op7_decontaminate, None),
     "op8_near_duplicates": (minhash.op8_near_duplicates, minhash.OP8_SQL),
     "op9_lm_score": (lm.op9_lm_score, None),
     "op10_byte_bpe": (bpe.op10_byte_bpe, None),
