@@ -13,7 +13,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, row_map, table
@@ -208,6 +208,34 @@ def train(docs: DataFrame, path: str) -> Models:
 _seen: dict[str, Models] = {}
 
 
+def _kept(name: str, shared) -> Models:
+    """A worker's copy of the models of that name, which keeps the words it has met from task to task."""
+    if (own := _seen.get(name)) is None:
+        _seen.clear()
+        own = _seen[name] = Models.__new__(Models)
+        own.langs, own.table, own.floor = shared.value
+        own.rows, own.scores = {}, np.zeros((1024, len(own.langs)))
+    return own
+
+
+def _on_workers(spark: SparkSession, models: Models) -> Callable[[], Models]:
+    name = uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((models.langs, models.table, models.floor))
+    return lambda: _kept(name, shared)
+
+
+def language(spark: SparkSession, models: Models, text: Column) -> Column:
+    """lang_pred and score of a text column, as identify() gives them."""
+    own = _on_workers(spark, models)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        models = own()
+        return pd.DataFrame([models.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return predicted(text)
+
+
 def identify(docs: DataFrame, models: Models) -> DataFrame:
     """Language of every whole text.
 
@@ -215,19 +243,14 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     (posterior, 0 to 1). A text that is null or has no letter gives `und` and 0, as all do where no
     language was learned. Ties go to the language that sorts first. An empty table gives none.
     """
-    name = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast((models.langs, models.table, models.floor))
+    own = _on_workers(docs.sparkSession, models)
 
     def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-        if (own := _seen.get(name)) is None:
-            _seen.clear()
-            own = _seen[name] = Models.__new__(Models)
-            own.langs, own.table, own.floor = shared.value
-            own.rows, own.scores = {}, np.zeros((1024, len(own.langs)))
+        models = own()
 
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
             for doc_id, text in rows:
-                yield (doc_id, *own.predict(text)), 40
+                yield (doc_id, *models.predict(text)), 40
 
         return step
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm import bpe, decontam, langid, linededup, lm, minhash, secrets, suffixes, topk, warc
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_topk": (topk.op1_topk, topk.OP1_SQL),
     "op2_suffix_dedup": (suffixes.op2_suffix_dedup, None),
     "op3_warc": (warc.op3_warc, warc.OP3_SQL),
