@@ -24,9 +24,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 #: Parts of the words that ASSIGN begins with, one in each: a text without any has no match.
 HINTS = ("passw", "secret", "token", "api")
-#: Runs that the models judge, and the words that train the model of ordinary identifiers.
+#: Runs that the models judge, and the shorter words that train the model of ordinary identifiers.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-WORD = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{6,19}(?![A-Za-z0-9+/_.=-])")
 #: Documents sampled for the ordinary model, at most about so many, and drawn strings for the random one.
 SAMPLE_DOCS, DRAWN = 2000, 4000
 #: Log-likelihood ratio (nats) at which a run counts as random: a prior of one in a million.
@@ -120,7 +120,7 @@ def _ordinary(text: str) -> Iterator[str]:
     for m in WORD.finditer(text):
         a, b = m.span()
         if not any(x < b and a < y for x, y, _ in base):
-            yield m[0][:200]
+            yield m[0]
 
 
 def find_secrets(docs: DataFrame, model: MarkovRatio | None) -> DataFrame:
