@@ -17,6 +17,7 @@ from tessera.llm.common import row_map, table
 #: Kinds of the fixed patterns, in the order that breaks ties, and the kind of the model's spans.
 KINDS = ("assign", "access", "hex")
 MODEL_KIND = "markov"
+LETTERS_AND_DIGITS = 62
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -59,14 +60,21 @@ class MarkovRatio:
             before = n
             for c in s:
                 at = self.index[c]
+                if at >= LETTERS_AND_DIGITS:
+                    before = n
+                    continue
                 counts[before, at] += 1
                 before = at
         return np.log(counts / counts.sum(1, keepdims=True))
 
     def score(self, s: str) -> float:
+        """Sum over letters and digits; after any other character a new part begins."""
         total, row = 0.0, self.ratio[-1]
         for c in s:
             at = self.index[c]
+            if at >= LETTERS_AND_DIGITS:
+                row = self.ratio[-1]
+                continue
             total += row[at]
             row = self.ratio[at]
         return total
