@@ -33,7 +33,7 @@ def test_base_like_the_patterns():
 def test_model_adds_random_strings(spark):
     draw = random.Random(9)
     syllables = ["the", "tion", "er", "ing", "re", "con", "al", "st", "pro", "ment", "ou", "ly"]
-    ordinary = [" ".join("".join(draw.choices(syllables, k=draw.randint(2, 4))) for _ in range(80)) for _ in range(60)] + ["src/main/some_ordinary_identifier.name handler.registration_of_callbacks"]
+    ordinary = [" ".join("".join(draw.choices(syllables, k=draw.randint(2, 4))) for _ in range(80)) for _ in range(60)] + ["protion/conment_rester.ingal_thement constal.reproer/tionou_lyst"]
     key = "".join(draw.choices(secrets.ALPHABET[:62], k=36))
     rows = [(i, t) for i, t in enumerate(ordinary)] + [(100, f"take {key} now"), (101, f"token = {key}")]
     docs = frame(spark, rows)
