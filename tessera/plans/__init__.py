@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PACKS: list[str] = ["retrieval_pack", "text_pack"]
+PACKS: list[str] = ["retrieval_pack", "text_pack", "analytics_pack"]
 FLAGSHIP = "hybrid_retrieval"
 
 
