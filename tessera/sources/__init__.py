@@ -1 +1,79 @@
-"""Part of the tessera engine."""
+"""Sources and sinks of the engine: traces as JSON lines by day, markdown pages, golden sets, and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Traces as they are written; every field may be absent.
+TRACE_SCHEMA = """
+trace_id string, timestamp string, endpoint string,
+request struct<query: string, service_code: string, document_id: string, start_page: int, end_page: int, include_keywords: array<string>, exclude_keywords: array<string>, top_k: int>,
+input_guard struct<pii_found: array<string>, pii_count: int, injection_threats: array<string>>,
+route struct<strategy: string, query_type: string, dense_factor: int, bm25_factor: int>,
+decomposition struct<method: string, subqueries: array<string>>,
+crag struct<retries: int, attempts: array<struct<attempt: int, top_score: double, rewritten_query: string>>, score_before: double, score_after: double>,
+retrieval struct<result_count: int, chunk_ids: array<string>, rerank_scores: array<double>, rerank_stats: struct<min: double, max: double, mean: double>>,
+sibling struct<expanded_section_count: int, total_chars: int>, context struct<truncated: boolean, token_budget: int, final_tokens: int>,
+verification struct<risk_level: string, claims_count: int, verifiable_claims_count: int, supported_claims_count: int, missing_refs_count: int, numeric_mismatch_count: int, groundedness: double>,
+critic struct<invoked: boolean, failure_type: string, action_taken: string, before_risk: string, after_risk: string, regenerate_improved: boolean>,
+answer struct<length_chars: int, is_refusal: boolean>, output_guard struct<threats: array<string>>, timing_ms map<string, double>, error struct<type: string, message: string>, _corrupt string
+"""
+
+
+def read_traces(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, endpoint: str | None = None, service_code: str | None = None) -> DataFrame:
+    """Traces of a range of days; the partition filter prunes folders, and lines that are no JSON are left out."""
+    rows = spark.read.schema(TRACE_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    if first is not None:
+        rows = rows.filter(F.col("date") >= first)
+    if last is not None:
+        rows = rows.filter(F.col("date") <= last)
+    if endpoint is not None:
+        rows = rows.filter(F.col("endpoint") == endpoint)
+    if service_code is not None:
+        rows = rows.filter(F.col("request.service_code") == service_code)
+    return rows.filter(F.col("_corrupt").isNull() & F.col("trace_id").isNotNull()).drop("_corrupt")
+
+
+def write_traces(traces: DataFrame, path: str) -> None:
+    """Appends traces as JSON lines under the day of their timestamp."""
+    traces.withColumn("date", F.substring("timestamp", 1, 10)).write.mode("append").partitionBy("date").json(path)
+
+
+def markdown_pages(docs: DataFrame) -> DataFrame:
+    """doc, page, content of texts (doc, text) cut at page markers; what is before the first has no page."""
+    pages = F.regexp_extract_all("text", F.lit(r"<!-- page:(\d+) -->"), F.lit(1))
+    parts = F.split("text", r"<!-- page:\d+ -->")
+    numbered = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), pages).alias("page"), parts.alias("content"))
+    return docs.select("doc", F.explode(numbered).alias("p")).select("doc", F.col("p.page").cast("int").alias("page"), F.regexp_replace("p.content", r"^\s+|\s+$", "").alias("content")).filter("page is not null or content <> ''")
+
+
+def layout_nodes(spark: SparkSession, trees: DataFrame) -> DataFrame:
+    """doc, page, id, x0, y1, level, content of all text nodes of layout trees (doc, tree as JSON), however deep."""
+    import json
+
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for doc, tree in zip(frame.doc, frame.tree):
+                stack, i = [json.loads(tree)], 0
+                while stack:
+                    node = stack.pop()
+                    if isinstance(node, list):
+                        stack += reversed(node)
+                        continue
+                    stack += reversed(node.get("kids") or [])
+                    if node.get("content"):
+                        box = node.get("bounding box") or [None, None, None, None]
+                        rows.append((doc, node.get("page number"), i, box[0], box[3], node.get("heading level"), node["content"]))
+                        i += 1
+            yield pd.DataFrame(rows, columns=["doc", "page", "id", "x0", "y1", "level", "content"])
+
+    return trees.select("doc", "tree").mapInPandas(run, "doc bigint, page int, id int, x0 double, y1 double, level int, content string")
+
+
+def write_report(section: DataFrame, path: str) -> None:
+    """A section of a report as JSON lines."""
+    section.write.mode("overwrite").json(path)
