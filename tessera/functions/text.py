@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PAGE_MARKER = r"^<!-- page:(\d+) -->"
 TOC_TITLE = r"(?i)^(목\s*차|차\s*례|table\s+of\s+contents|contents)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has none of its own."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import facts, text
 
-BEFORE = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-ORDER = Window.partitionBy("doc").orderBy("pos")
 # Marks of clauses, annexes, quotations of other laws, and tables of payouts.
 CLAUSE = r"^[#\s\-•*]*제\s*(\d+)\s*조\s*(?:【\s*([^】]+?)\s*】|\(\s*((?:[^()\n]|\([^()\n]*\))*?)\s*\))"
 ANNEX = r"^[#\-•*\s]*[（(【]\s*별표\s*(\d+)\s*[)）】]\s*(.*)$"
@@ -20,6 +18,14 @@ ICD = r"[A-Z]\d{2}(?:\.\d)?(?:\s*[~\-]\s*[A-Z]\d{2}(?:\.\d)?)?"
 COLUMN_GAP = 60
 
 
+def _order():
+    return Window.partitionBy("doc").orderBy("pos")
+
+
+def _before():
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def heading_paths(lines: DataFrame) -> DataFrame:
     """Adds level, title and path: the titles of the open headings, outermost first, without those of tables of contents.
 
@@ -28,7 +34,7 @@ def heading_paths(lines: DataFrame) -> DataFrame:
     """
     level, title = text.heading(F.col("line"))
     out = lines.withColumns({"level": level, "title": title})
-    last = [F.last(F.when(F.col("level") == i, F.struct("pos", "title")), ignorenulls=True).over(BEFORE).alias(f"h{i}") for i in range(1, 7)]
+    last = [F.last(F.when(F.col("level") == i, F.struct("pos", "title")), ignorenulls=True).over(_before()).alias(f"h{i}") for i in range(1, 7)]
     out = out.select("*", *last)
     parts = []
     for i in range(1, 7):
@@ -40,7 +46,7 @@ def heading_paths(lines: DataFrame) -> DataFrame:
 
 def running_page(lines: DataFrame) -> DataFrame:
     """Adds the number of the last page marker at or before each line."""
-    return lines.withColumn("page", F.last(text.page_of(F.col("line")), ignorenulls=True).over(BEFORE))
+    return lines.withColumn("page", F.last(text.page_of(F.col("line")), ignorenulls=True).over(_before()))
 
 
 def segments(lines: DataFrame, by_heading: bool = False) -> DataFrame:
@@ -50,11 +56,11 @@ def segments(lines: DataFrame, by_heading: bool = False) -> DataFrame:
     """
     kind = F.when(text.is_table_line(F.col("line")), "table").otherwise("text")
     marked = lines.withColumn("kind", kind)
-    change = F.coalesce((F.col("kind") != F.lag("kind").over(ORDER)).cast("int"), F.lit(0))
+    change = F.coalesce((F.col("kind") != F.lag("kind").over(_order())).cast("int"), F.lit(0))
     titled = text.heading(F.col("line"))[0].isNotNull()
     if by_heading:
         change = F.when(titled, 1).otherwise(change)
-    numbered = marked.withColumn("change", change).withColumn("segment", F.sum("change").over(BEFORE))
+    numbered = marked.withColumn("change", change).withColumn("segment", F.sum("change").over(_before()))
     kept = F.when(~titled, F.struct("pos", "line")) if by_heading else F.struct("pos", "line")
     content = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x.line), "\n")
     return numbered.groupBy("doc", "segment", "kind").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"), text.strip(content).alias("content")).filter("content <> ''")
@@ -83,10 +89,10 @@ def clauses(lines: DataFrame) -> DataFrame:
     jo = F.regexp_extract(masked, CLAUSE, 1).cast("int")
     title = F.coalesce(F.nullif(F.regexp_extract(masked, CLAUSE, 2), F.lit("")), F.regexp_extract(masked, CLAUSE, 3))
     starts = found.select("doc", "pos", jo.alias("jo"), text.dedup_title(title).alias("title"))
-    again = F.coalesce((F.col("jo") <= F.lag("jo").over(ORDER)).cast("int"), F.lit(0))
-    starts = starts.withColumn("again", again).withColumn("run", F.sum("again").over(BEFORE)).withColumn("next", F.lead("pos").over(ORDER)).drop("again")
+    again = F.coalesce((F.col("jo") <= F.lag("jo").over(_order())).cast("int"), F.lit(0))
+    starts = starts.withColumn("again", again).withColumn("run", F.sum("again").over(_before())).withColumn("next", F.lead("pos").over(_order())).drop("again")
     # each line belongs to the last clause that starts at or before it
-    owner = F.last(F.col("start"), ignorenulls=True).over(BEFORE)
+    owner = F.last(F.col("start"), ignorenulls=True).over(_before())
     owned = lines.join(starts.select("doc", "pos", F.col("pos").alias("start")), ["doc", "pos"], "left").withColumn("owner", owner).filter("owner is not null")
     bodies = owned.groupBy("doc", F.col("owner").alias("pos")).agg(text.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")).alias("body"))
     return starts.join(bodies, ["doc", "pos"]).select("doc", "run", "jo", "title", F.col("pos").alias("first_pos"), (F.col("next") - 1).alias("end_pos"), "body")
@@ -115,7 +121,7 @@ def annex_rows(lines: DataFrame) -> DataFrame:
     s = text.strip(F.col("line"))
     head = F.when(F.col("line").rlike(ANNEX) & ~F.col("line").rlike(LEADERS), F.struct(F.regexp_extract("line", ANNEX, 1).cast("int").alias("no"), F.regexp_extract("line", ANNEX, 2).alias("title")))
     section = F.when(s.contains("보장대상이 되는"), "보장").when(s.contains("지급하지 않는") | s.contains("제외하여"), "미보장")
-    out = lines.withColumn("a", F.last(head, ignorenulls=True).over(BEFORE)).filter("a is not null")
+    out = lines.withColumn("a", F.last(head, ignorenulls=True).over(_before())).filter("a is not null")
     kind = F.when(F.col("a.title").contains("분류표"), "classification").when(F.col("a.title").contains("이율") | F.col("a.title").contains("계산"), "formula").otherwise("payout")
     inside = Window.partitionBy("doc", "a.no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({"kind": kind, "section": F.last(section, ignorenulls=True).over(inside), "codes": F.transform(F.regexp_extract_all("line", F.lit(ICD), F.lit(0)), lambda c: F.regexp_replace(c, " ", ""))})
@@ -147,8 +153,8 @@ def payout_matrix(lines: DataFrame) -> DataFrame:
     cause = F.when(named.isin("상해", "재해"), "상해").when(named == "질병", "질병")
     table = text.strip(F.col("line")).startswith("|")
     head = table & F.col("line").rlike(r"90\s*일\s*(이하|초과)")
-    marked = lines.withColumns({"table": table, "cause": F.last(cause, ignorenulls=True).over(BEFORE), "head": F.when(head, F.struct("pos", _cells(F.col("line")).alias("cells"))), "gap": F.when(~table, F.col("pos"))})
-    marked = marked.withColumns({"own": F.last("head", ignorenulls=True).over(BEFORE), "gap": F.last("gap", ignorenulls=True).over(BEFORE)})
+    marked = lines.withColumns({"table": table, "cause": F.last(cause, ignorenulls=True).over(_before()), "head": F.when(head, F.struct("pos", _cells(F.col("line")).alias("cells"))), "gap": F.when(~table, F.col("pos"))})
+    marked = marked.withColumns({"own": F.last("head", ignorenulls=True).over(_before()), "gap": F.last("gap", ignorenulls=True).over(_before())})
     body = marked.filter(F.col("table") & F.col("head").isNull() & (F.col("own.pos") > F.coalesce("gap", F.lit(-1)))).withColumn("c", _cells(F.col("line")))
 
     def bucket(h: Column) -> Column:
