@@ -158,12 +158,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 with t as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
-), g as (
-  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from t
-), n as (select doc_id, len(s) as n from g),
-e as (select doc_id, unnest(s) as x from g),
-c as (select a.doc_id as a, b.doc_id as b, count(*) as k from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by all),
-l as (select c.a, c.b from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * k >= 75 * (x.n + y.n - k)),
+), o as (select doc_id, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) as i from t),
+f as (select doc_id, n, i, concat_ws(' ', x, lead(x, 1) over v, lead(x, 2) over v, lead(x, 3) over v, lead(x, 4) over v) as x from o window v as (partition by doc_id order by i)),
+e as (select distinct doc_id, x from f where i <= greatest(n - 4, 1)),
+n as (select t.doc_id, count(e.x) as n from t left join e on t.doc_id = e.doc_id group by t.doc_id),
+s as (select * from e where x in (select x from e group by x having count(*) > 1)),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+h as (select c.a, c.b from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * k >= 75 * (x.n + y.n - k)),
+l as (select a, b from h union all select b, a from h),
 r as (select doc_id, component from (with recursive w(doc_id, component) as (select doc_id, doc_id from n union select l.b, w.component from w join l on l.a = w.doc_id) select doc_id, min(component) as component from w group by doc_id))
 select n.doc_id, cast(n.n as bigint) as n_shingles, r.component as component_id, n.doc_id = r.component as kept from n join r on n.doc_id = r.doc_id
 """
