@@ -161,3 +161,38 @@ def uuid5(namespace: str, name: Column) -> Column:
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def safe_name(path: Column) -> Column:
+    """Last part of a path; null if the path goes elsewhere, is absolute or has a part of dots."""
+    name = F.regexp_extract(path, r"([^/\\]+)$", 1)
+    bad = path.rlike(r"(^|[/\\])\.\.([/\\]|$)") | path.rlike(r"^[/\\]") | name.isin("", ".", "..")
+    return F.when(~bad, name)
+
+
+def without_nul(text: Column) -> Column:
+    return F.replace(text, F.lit("\x00"), F.lit(""))
+
+
+def natural_key(text: Column) -> Column:
+    """Parts of digits and other characters, in which numbers sort by value."""
+    parts = F.regexp_extract_all(text, F.lit(r"\d+|\D+"), F.lit(0))
+    return F.transform(parts, lambda p: F.struct(F.when(p.rlike(r"^\d+$"), F.lit(0)).otherwise(1).alias("kind"), F.coalesce(p.try_cast("bigint"), F.lit(0)).alias("number"), F.lower(p).alias("text")))
+
+
+def mask_same_length(text: Column, pattern: str, filler: str = "␡") -> Column:
+    """Matches replaced by a filler of the same length, so positions stay: built from the parts between matches."""
+    rest = F.split(text, pattern)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    joined = F.transform(rest, lambda part, i: F.concat(part, F.repeat(F.lit(filler), F.coalesce(F.length(F.get(found, i)), F.lit(0)))))
+    return F.array_join(joined, "")
+
+
+def sentence_parts(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=\.)\s+"), lambda s: s != "")
+
+
+def render_nodes(nodes: Column) -> Column:
+    """Markdown of ordered layout nodes (level, content): headings under as many signs as their level, six at most."""
+    shown = F.transform(nodes, lambda n: F.when(n.level > 0, F.concat(F.repeat(F.lit("#"), F.least(n.level, F.lit(6))), F.lit(" "), n.content)).otherwise(n.content))
+    return F.array_join(shown, "\n\n")

@@ -85,3 +85,26 @@ def share_of_total(rows: DataFrame, by: str) -> DataFrame:
     everything = Window.partitionBy(F.lit(0))
     counted = rows.groupBy(by).agg(F.count("*").alias("n"))
     return counted.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(everything), 4))
+
+
+def set_scores(rows: DataFrame, predicted: Column, expected: Column) -> DataFrame:
+    """Sums over rows of what two sets share and lack, precision and recall, and rows whose expected set is all there."""
+    size = lambda c: F.sum(F.size(c).cast("long"))
+    out = rows.agg(size(F.array_intersect(predicted, expected)).alias("tp"), size(F.array_except(expected, predicted)).alias("fn"), size(F.array_except(predicted, expected)).alias("fp"), F.sum((F.size(F.array_except(expected, predicted)) == 0).cast("long")).alias("complete"), F.count("*").alias("n"))
+    ratio = lambda a, b: F.round(F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(1.0), 6)
+    return out.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
+
+
+def catalogue(names: DataFrame) -> DataFrame:
+    """Distinct names without regard to white space; of the spellings the one with a blank, then the first, stays."""
+    tight = F.regexp_replace("name", r"\s", "")
+    clean = F.regexp_replace(F.regexp_replace("name", r"\s+", " "), r"^\s+|\s+$", "")
+    w = Window.partitionBy("key").orderBy(F.col("name").contains(" ").desc(), "name")
+    return names.select(clean.alias("name"), tight.alias("key")).withColumn("n", F.row_number().over(w)).filter("n = 1").select("name")
+
+
+def must_include(required: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """By document: how many required names are part of some name of its catalogue. required: doc, name; catalogue: doc, name."""
+    held = catalogue.groupBy("doc").agg(F.collect_set("name").alias("names"))
+    both = required.join(held, "doc", "left").withColumn("hit", F.coalesce(F.exists("names", lambda n: n.contains(F.col("name"))), F.lit(False)))
+    return both.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))

@@ -212,3 +212,41 @@ def nearest_before(points: DataFrame, marks: DataFrame) -> DataFrame:
 
 def numeric_claims(lines: DataFrame) -> DataFrame:
     return lines.select("doc", "pos", F.explode(facts.numeric_facts(F.col("line"))).alias("fact")).select("doc", "pos", "fact.*")
+
+
+def exclusion_map(parsed: DataFrame) -> DataFrame:
+    """Clauses that exclude (by title) or reduce (by body, titles of definitions aside): doc, run, coverage_jo, jo, kind."""
+    general = F.col("title").rlike("지급하지 않는|지급하지 아니|보상하지 않는|면책|부담보|보장하지 않는|지급하지않는")
+    reduction = ~F.col("title").rlike("정의|준용|목적") & F.col("body").rlike(r"(?:보험금|급여금)\s*의?\s*\d+\s*%\s*(?:만\s*)?(?:을|를)?\s*지급|감액하여?\s*지급")
+    kind = F.when(general, "general").when(reduction, "reduction")
+    first = F.min(F.when(F.col("title").contains("지급사유"), F.col("jo"))).over(Window.partitionBy("doc", "run"))
+    return parsed.select("doc", "run", first.alias("coverage_jo"), "jo", kind.alias("kind")).filter("kind is not null")
+
+
+def exclusion_reasons(parsed: DataFrame) -> DataFrame:
+    """Standard reasons of all excluding clauses of a document."""
+    from tessera.functions import routing
+
+    own = parsed.filter(F.col("title").rlike("지급하지 않|지급하지아니|보상하지 않|보장하지 않|면책"))
+    return own.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(routing.exclusion_tags(F.col("body")))))).alias("reasons"))
+
+
+def coverage_ranges(lines: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """doc, pos, coverage, code_token of two-column tables whose first cell names a disease."""
+    from tessera.functions import routing
+
+    rows = lines.filter(text.strip(F.col("line")).startswith("|")).withColumn("c", _cells(F.col("line"))).filter(F.size("c") == 2)
+    tokens = F.regexp_extract_all(F.get("c", F.lit(1)), F.lit(r"[CD]\d{2}(?:\.\d)?(?:\s*[~\-]\s*[CD]\d{2}(?:\.\d)?)?"), F.lit(0))
+    return rows.select("doc", "pos", routing.first_match(F.get("c", F.lit(0)), names).alias("coverage"), F.explode(tokens).alias("code_token")).filter("coverage is not null")
+
+
+def heading_levels(lines: DataFrame) -> DataFrame:
+    level, _ = text.heading(F.col("line"))
+    return lines.groupBy(level.alias("level")).agg(F.count("*").alias("n")).filter("level is not null")
+
+
+def sections(lines: DataFrame, ends_with: str = "특별약관") -> DataFrame:
+    """Sub-contracts under headings that end in a word: doc, name, first_pos, end_pos (null: to the end)."""
+    level, title = text.heading(F.col("line"))
+    found = lines.select("doc", "pos", title.alias("name"), level.alias("level")).filter(F.col("name").endswith(ends_with))
+    return found.select("doc", "name", F.col("pos").alias("first_pos"), (F.lead("pos").over(_order()) - 1).alias("end_pos"))
