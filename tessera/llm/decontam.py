@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import row_map, table, text_bytes
-from tessera.llm.shingles import NEAR, SHINGLE_WORDS, shingle_hashes, words_of
+from tessera.llm.shingles import NEAR, SHINGLE_WORDS, mixed, shingle_hashes, words_of
 
 #: Fingerprints of 64 bits are cut into so many blocks; those within NEAR_BITS of one block are looked up. All pairs within RADIUS bits are found.
 BLOCKS, NEAR_BITS = 8, 2
@@ -38,20 +39,24 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []  # id, words, width of shingles, distinct hashes, counts
-        self.vocabulary: set[bytes] = set()
+        #: Words of the benchmark by number, from 1; 0 stands for all others.
+        self.vocabulary: dict[bytes, int] = {}
         sizes: dict[int, list[int]] = defaultdict(list)
+        runs: dict[int, list[np.ndarray]] = defaultdict(list)
         prints = []
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            self.vocabulary.update(words)
+            for word in words:
+                self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
             hashes = shingle_hashes(words)
+            runs[min(SHINGLE_WORDS, len(words))].append(self._numbers(words))
             sizes[len(words)].append(len(self.items))
             self.items.append((item_id, len(words), min(SHINGLE_WORDS, len(words)), *np.unique(hashes, return_counts=True)))
             prints.append(_packed(_signs(hashes).sum(0)))
-        #: All shingles by width, sorted.
-        self.known = {w: np.unique(np.concatenate([x[3] for x in self.items if x[2] == w])) for w in {x[2] for x in self.items}}
+        #: Keys of all shingles by width, sorted; they are made of the numbers of words.
+        self.known = {w: np.unique(np.concatenate([self._keys(n, np.arange(len(n) - w + 1), w) for n in found])) for w, found in runs.items()}
         self.sizes = {}
         near = _ONES[np.bitwise_xor.outer(np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8))] <= NEAR_BITS
         for n, at in sizes.items():
@@ -59,6 +64,17 @@ class Index:
             tables = [near[:, own[:, k]] for k in range(BLOCKS)]  # byte x item: whether the block is near enough
             self.sizes[n] = (np.array(at), own, tables)
 
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+
+    @staticmethod
+    def _keys(numbers: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """A key of the words from each place on."""
+        h = np.full(len(at), width, np.uint64)
+        for i in range(width):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + numbers[at + i])
+        return h
+
     def matches(self, text: bytes | None) -> list[tuple[int, int, int, float]]:
         """(item id, first word, end word, similarity) of the best window for each item that the text holds, by item.
 
@@ -66,18 +82,17 @@ class Index:
         in common with the benchmark; all others are passed over before their fingerprints are made.
         """
         words = words_of(text)
-        has = self.vocabulary.__contains__
-        inside = np.fromiter(map(has, words), bool, len(words))
+        numbers = self._numbers(words)
+        run = np.concatenate([[0], np.cumsum(numbers > 0)])
         best: dict[int, tuple[float, int, int]] = {}
         for width, known in self.known.items():
             n = len(words) - width + 1
             if n < 1:
                 continue
-            run = np.concatenate([[0], np.cumsum(inside)])
             at = np.flatnonzero(run[width:] - run[:-width] == width)  # shingles of benchmark words only
             if not len(at):
                 continue
-            own = np.array([shingle_hashes(words[i : i + width], width)[0] for i in at.tolist()], np.uint64)
+            own = self._keys(numbers, at, width)
             place = np.minimum(np.searchsorted(known, own), len(known) - 1)
             at = at[known[place] == own]
             if not len(at):
