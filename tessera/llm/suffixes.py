@@ -131,9 +131,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Transform of some strings: for each suffix in order its position, the character before it, and the place of the suffix one longer."""
+    """Transform of some strings: for each suffix in order its position, the character before it, and the place of the suffix one longer.
 
-    def __init__(self, strings: list[bytes]):
+    seeds: places of the suffixes that begin where a window of length bytes of their string ends.
+    """
+
+    def __init__(self, strings: list[bytes], length: int):
         sizes = np.array([len(s) + 1 for s in strings])
         self.begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         text = np.zeros(sizes.sum(), np.int16)  # 0 ends a string
@@ -146,6 +149,9 @@ class Shard:
         place = np.empty(len(text), np.int64)
         place[self.order] = np.arange(len(text))
         self.longer = place[before]
+        windows = np.maximum(sizes - length, 0)
+        first = np.repeat(self.begin + length - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
+        self.seeds = np.sort(place[first + np.arange(len(first))])
 
 
 def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -157,17 +163,17 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
             size = 0
         members[-1].append(i)
         size += len(s)
-    shards = [Shard([strings[i] for i in m]) for m in members if m]
+    shards = [Shard([strings[i] for i in m], length) for m in members if m]
     if not shards:
         return []
     base = np.concatenate([[0], np.cumsum([len(s.order) for s in shards])])
     character = np.concatenate([s.character for s in shards])
-    inner = character > 0
-    character = (character - 1).astype(np.uint8)  # where inner
+    character = (character - 1).astype(np.uint8)  # strings' ends lie before no part of a window
     longer = np.concatenate([s.longer + b for s, b in zip(shards, base)]).astype(np.int32)
-    at = np.flatnonzero(inner).astype(np.int32)  # the interleaving: suffixes of all shards, equal so far in all of their no characters
+    # the interleaving: the suffixes of all shards that windows end at, equal so far in all of their no characters
+    at = np.concatenate([s.seeds + b for s, b in zip(shards, base)]).astype(np.int32)
     block = np.zeros(len(at), np.int32)
-    for k in range(length):
+    for _ in range(length):
         c = character[at]
         turn = np.argsort(c, kind="stable")
         c, block, at = c[turn], block[turn], longer[at[turn]]
@@ -176,8 +182,6 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
         np.not_equal(block[1:], block[:-1], out=edge[1:-1])
         edge[1:-1] |= c[1:] != c[:-1]
         more = ~(edge[:-1] & edge[1:])
-        if k < length - 1:
-            more &= inner[at]  # a window does not reach over a string's end
         block = np.cumsum(edge[:-1], dtype=np.int32)[more]
         at = at[more]
         if not len(at):
