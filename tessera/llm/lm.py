@@ -1,13 +1,18 @@
 """Language-model scoring: word counts over all training texts, and a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts the class of a token from the two before it: q = r(c1) C1 + r(c2) C2, and the
-score of class w is q . r(w) + b(w). Classes are the most frequent training words and the end, and
-one class for all other words; within that, a word has its share of the class's training tokens, with
-one more part for words never seen. Sums of exponentials over all classes normalise each context.
+The model predicts a token from the two before it: q = x(c1) C1 + x(c2) C2, and the score of class w
+is q . r(w) + b(w). Classes are the most frequent training words and the end, and one class for all other
+words, which is dealt into groups with representations of their own: blocks of words next to each other by
+falling count, as far as workers hold counts, and the others by hash, in as many groups as the square root
+of their number. A word of a block is told from the others by its place in it (q . c(place), and its
+count); a hashed word has its share of its group's training tokens, with one more part for words never
+seen. x(w) is r(w), or the sum of r(class of the others), group and place (a second hash for the hashed).
+Sums of exponentials over all classes, groups and places of a block normalise each context.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, row_map, settle, table, text_bytes
+from tessera.llm.shingles import mixed
 
 #: Stands for the end of a text among tokens: white space, so no word is the same.
 END = b" "
@@ -65,7 +71,33 @@ class Head:
     distinct: int
     least: int  # words of this count and more are all in place
     class_log: np.ndarray  # log10 of the classes' shares of the training tokens, class 0 being all other words
-    other_log: float  # log10 of the parts that class 0 is dealt into
+    member_log: np.ndarray  # natural log of a word's share of its block, a row for each block; -inf where there is no word
+    group_log: np.ndarray  # natural log of the groups' shares of class 0: blocks, then groups of hashed words
+    tail_log: np.ndarray  # log10 of the parts that each group of hashed words is dealt into
+
+    @property
+    def sizes(self) -> tuple[int, int, int]:
+        """Numbers of classes, groups, and places in a block."""
+        return len(self.class_log), len(self.group_log), self.member_log.shape[1]
+
+    def ids(self, at: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Ids of tokens from their places (-1: not in the head; the last is the end): its class, or beyond all classes the group and the place in it."""
+        k, _, span = self.sizes
+        ids = at + 1
+        block = at >= k - 1
+        ids[block] += 1  # k - 1 own words: classes 1 to k - 1; k is the beginning
+        tails = len(self.tail_log)
+        rare = np.flatnonzero(at < 0)
+        if len(rare):
+            h = np.fromiter((zlib.crc32(words[i]) if i < len(words) else 0 for i in rare.tolist()), np.int64, len(rare))
+            ids[rare] = k + 1 + (len(self.member_log) + h % tails) * span + h // tails % span
+        return ids
+
+    def parts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, group and place of ids; words that are a class have the group and the place after the last."""
+        k, groups, span = self.sizes
+        rest = ids - (k + 1)
+        return np.where(rest < 0, ids, 0), np.where(rest < 0, groups, rest // span), np.where(rest < 0, span, rest % span)
 
 
 def head_of(counts: DataFrame, size: int = HEAD, classes: int = CLASSES) -> Head:
@@ -85,7 +117,22 @@ def head_of(counts: DataFrame, size: int = HEAD, classes: int = CLASSES) -> Head
     own = n[: classes - 1]
     others = tokens - own.sum()
     share = (np.concatenate([[others], own]) + 1) / (tokens + len(own) + 1)
-    return Head(place, np.log10(n + 1), tokens, distinct, least, np.log10(share), float(np.log10(others + (distinct - len(own)) + 1)))
+    rest = n[classes - 1 :] + 1
+    span = max(1, int(np.ceil(np.sqrt(len(rest)))))
+    members = np.zeros((-(-len(rest) // span), span))
+    members.ravel()[: len(rest)] = rest
+    tail = np.ones(max(1, int(np.ceil(np.sqrt(distinct - len(rows))))))
+    for r in _tail(counts, least).groupBy((F.crc32("word") % len(tail)).alias("group")).agg(F.sum(F.col("n") + 1).alias("parts")).collect():
+        tail[r.group] += r.parts
+    groups = np.concatenate([members.sum(1), tail])
+    with np.errstate(divide="ignore"):
+        member_log = np.log(members / members.sum(1, keepdims=True))
+    return Head(place, np.log10(n + 1), tokens, distinct, least, np.log10(share), member_log.astype(np.float32), np.log(groups / groups.sum()), np.log10(tail))
+
+
+def _tail(counts: DataFrame, least: int) -> DataFrame:
+    """Counts of the words that are not in the head."""
+    return counts.filter((F.col("n") < least) & (F.col("word") != F.lit(END)))
 
 
 @dataclass
@@ -94,52 +141,82 @@ class LogBilinear:
     c1: np.ndarray
     c2: np.ndarray
     b: np.ndarray
+    g: np.ndarray  # groups of the other words, and none
+    gb: np.ndarray
+    c: np.ndarray  # places in a group, and none
 
     @staticmethod
-    def begin(class_log: np.ndarray, seed: int = 11) -> LogBilinear:
+    def begin(head: Head, seed: int = 11) -> LogBilinear:
         draw = np.random.default_rng(seed)
-        k = len(class_log)
+        k, groups, span = head.sizes
         return LogBilinear(
             (draw.standard_normal((k + 1, WIDTH)) * 0.3).astype(np.float32),
             (draw.standard_normal((WIDTH, WIDTH)) * 0.1 + np.eye(WIDTH) * 0.1).astype(np.float32),
             (draw.standard_normal((WIDTH, WIDTH)) * 0.1).astype(np.float32),
-            (class_log * np.log(10)).astype(np.float32),
+            (head.class_log * np.log(10)).astype(np.float32),
+            (draw.standard_normal((groups + 1, WIDTH)) * 0.3).astype(np.float32),
+            head.group_log.astype(np.float32),
+            (draw.standard_normal((span + 1, WIDTH)) * 0.1).astype(np.float32),
         )
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.c1, self.c2, self.b, self.g, self.gb, self.c
+
     def pack(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c1, self.c2, self.b)])
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
     @staticmethod
-    def unpack(flat: np.ndarray, k: int) -> LogBilinear:
-        flat = flat.astype(np.float32)
-        a, w = (k + 1) * WIDTH, WIDTH * WIDTH
-        return LogBilinear(flat[:a].reshape(k + 1, WIDTH), flat[a : a + w].reshape(WIDTH, WIDTH), flat[a + w : a + 2 * w].reshape(WIDTH, WIDTH), flat[a + 2 * w :])
-
-    def train(self, before1: np.ndarray, before2: np.ndarray, word: np.ndarray, weight: np.ndarray, noise: np.ndarray, draw: np.random.Generator, squares: list[np.ndarray]) -> None:
-        """One pass of noise-contrastive estimation over weighted (context, word) rows, in minibatches of matrix products."""
-        log_noise = np.log(noise * NOISE).astype(np.float32)
+    def unpack(flat: np.ndarray, sizes: tuple[int, int, int]) -> LogBilinear:
+        k, groups, span = sizes
+        shapes = [(k + 1, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (k,), (groups + 1, WIDTH), (groups,), (span + 1, WIDTH)]
+        parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(x)) for x in shapes])[:-1])
+        return LogBilinear(*[part.reshape(x) for part, x in zip(parts, shapes)])
+
+    def train(self, head: Head, before1: np.ndarray, before2: np.ndarray, word: np.ndarray, weight: np.ndarray, noise: tuple[np.ndarray, np.ndarray], draw: np.random.Generator, squares: list[np.ndarray]) -> None:
+        """One pass of noise-contrastive estimation over weighted (context, word) rows of ids, in minibatches of matrix products."""
+        _, _, span = head.sizes
+        log_noise = [np.log(x * NOISE).astype(np.float32) for x in noise]
         for at in np.array_split(draw.permutation(len(word)), max(1, len(word) // BATCH)):
             if not len(at):
                 continue
-            x, y, w, n = before1[at], before2[at], word[at], weight[at][:, None]
+            (x, xg, xc), (y, yg, yc), (w, wg, wc) = (head.parts(ids[at]) for ids in (before1, before2, word))
+            n = weight[at][:, None]
             n = n / n.sum()
-            false = draw.choice(len(noise), NOISE, p=noise)
-            rx, ry, rw, rf = self.r[x], self.r[y], self.r[w], self.r[false]
+            rx, ry = self.r[x] + self.g[xg] + self.c[xc], self.r[y] + self.g[yg] + self.c[yc]
             q = rx @ self.c1 + ry @ self.c2
-            true_error = (1 / (1 + np.exp(-np.clip((q * rw).sum(1) + self.b[w] - log_noise[w], -30, 30))) - 1)[:, None] * n
-            false_error = 1 / (1 + np.exp(-np.clip(q @ rf.T + (self.b[false] - log_noise[false]), -30, 30))) * n
-            dq = true_error * rw + false_error @ rf
-            index = np.concatenate([x, y, w, false])
-            rows = np.concatenate([dq @ self.c1.T, dq @ self.c2.T, true_error * q, false_error.T @ q])
-            order = np.argsort(index, kind="stable")
-            index = index[order]
-            first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-            dr = np.add.reduceat(rows[order], first)
-            db = np.bincount(w, true_error[:, 0], len(self.b)) + np.bincount(false, false_error.sum(0), len(self.b))
-            self._step(self.r, squares[0], dr, index[first])
+            false = draw.choice(len(noise[0]), NOISE, p=noise[0])
+            dq, dw, df, true_error, false_error = _contrast(q, self.r[w], self.r[false], (self.b - log_noise[0])[w], (self.b - log_noise[0])[false], n)
+            db = np.bincount(w, true_error, len(self.b)) + np.bincount(false, false_error, len(self.b))
+            dr = [(w, dw), (false, df)]
+            dg, dc, dgb = [], [], None
+            rare = np.flatnonzero(w == 0)
+            if len(rare):
+                wg, wc = wg[rare], wc[rare]
+                false = draw.choice(len(noise[1]), NOISE, p=noise[1])
+                d, dw, df, true_error, false_error = _contrast(q[rare], self.g[wg], self.g[false], (self.gb - log_noise[1])[wg], (self.gb - log_noise[1])[false], n[rare])
+                dq[rare] += d
+                dgb = np.bincount(wg, true_error, len(self.gb)) + np.bincount(false, false_error, len(self.gb))
+                dg += [(wg, dw), (false, df)]
+                own = np.flatnonzero(wg < len(head.member_log))
+                if len(own):
+                    rows, wg, wc = rare[own], wg[own], wc[own]
+                    false = draw.integers(0, span, NOISE)
+                    even = np.float32(np.log(NOISE / span))
+                    d, dw, df, _, _ = _contrast(q[rows], self.c[wc], self.c[false], head.member_log[wg, wc] - even, head.member_log[wg[:, None], false] - even, n[rows])
+                    dq[rows] += d
+                    dc += [(wc, dw), (false, df)]
+            d1, d2 = dq @ self.c1.T, dq @ self.c2.T
+            for value, square, changes in ((self.r, squares[0], [(x, d1), (y, d2), *dr]), (self.g, squares[4], [(xg, d1), (yg, d2), *dg]), (self.c, squares[6], [(xc, d1), (yc, d2), *dc])):
+                index = np.concatenate([i for i, _ in changes])
+                order = np.argsort(index, kind="stable")
+                index = index[order]
+                first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+                self._step(value, square, np.add.reduceat(np.concatenate([d for _, d in changes])[order], first), index[first])
             self._step(self.c1, squares[1], rx.T @ dq)
             self._step(self.c2, squares[2], ry.T @ dq)
             self._step(self.b, squares[3], db.astype(np.float32))
+            if dgb is not None:
+                self._step(self.gb, squares[5], dgb.astype(np.float32))
 
     @staticmethod
     def _step(value: np.ndarray, squares: np.ndarray, change: np.ndarray, at=slice(None)) -> None:
@@ -147,64 +224,75 @@ class LogBilinear:
         value[at] -= 0.1 * RATE * change / np.sqrt(squares[at] + 1e-12)
 
     def squares(self) -> list[np.ndarray]:
-        return [np.full_like(x, 1e-6) for x in (self.r, self.c1, self.c2, self.b)]
+        return [np.full_like(x, 1e-6) for x in self.arrays()]
 
     def log_sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Log of the sums of exponentials over all classes for contexts (x before, y before that), by batched products."""
-        out = np.empty(len(x), np.float32)
-        own = np.ascontiguousarray(self.r[:-1].T)
-        for i in range(0, len(x), BATCH):
-            s = (self.r[x[i : i + BATCH]] @ self.c1 + self.r[y[i : i + BATCH]] @ self.c2) @ own + self.b
-            top = s.max(1)
-            out[i : i + BATCH] = np.log(np.exp(s - top[:, None]).sum(1)) + top
-        return out
+        """Log of the sums of exponentials over all classes for contexts of classes (x before, y before that)."""
+        return _log_sums(self.r[x] @ self.c1 + self.r[y] @ self.c2, self.r[:-1], self.b)
+
+
+def _contrast(q: np.ndarray, true: np.ndarray, false: np.ndarray, true_bias: np.ndarray, false_bias: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Changes of q, of the true and of the noise representations, and errors of the true and of the noise words; biases are without the log of the noise."""
+    true_error = (1 / (1 + np.exp(-np.clip((q * true).sum(1) + true_bias, -30, 30))) - 1)[:, None] * n
+    false_error = 1 / (1 + np.exp(-np.clip(q @ false.T + false_bias, -30, 30))) * n
+    return true_error * true + false_error @ false, true_error * q, false_error.T @ q, true_error[:, 0], false_error.sum(0)
+
 
+def _log_sums(q: np.ndarray, rows: np.ndarray, bias: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Log of the sums of exponentials of q . rows + bias, by batched products; with group, bias has a row for each group."""
+    out = np.empty(len(q), np.float32)
+    own = np.ascontiguousarray(rows.T)
+    weight = np.exp(bias)
+    for i in range(0, len(q), 512):
+        s = q[i : i + 512] @ own
+        top = max(0.0, float(s.max(initial=0.0)) - 60)
+        if top:
+            s -= top
+        np.exp(s, out=s)
+        out[i : i + 512] = np.log(s @ weight if group is None else np.einsum("ij,ij->i", s, weight[group[i : i + 512]])) + top
+    return out
 
-def _classes(place: dict[bytes, int], words: list[bytes], k: int) -> np.ndarray:
+
+def _places(place: dict[bytes, int], words: list[bytes]) -> np.ndarray:
     """Places of words (-1: not in the head), the end's last."""
     at = np.fromiter(map(place.get, words, [-1] * len(words)), np.int64, len(words))
     return np.append(at, place.get(END, -1))
 
 
-def _class(at: np.ndarray, k: int) -> np.ndarray:
-    return np.where((at >= 0) & (at < k - 1), at + 1, 0)
-
-
 def fit(docs: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
     """Trains on every given text: each task makes passes over its own counted contexts from a common start, and the parameters are averaged, weighted by tokens.
 
     A first pass over the corpus starts from the classes' shares, a second from the first's average.
     Averages are summed by parameter in a shuffle, so the driver gets as many rows as the model has parameters.
     """
-    k = len(head.class_log)
-    model = LogBilinear.begin(head.class_log)
+    k, sizes = len(head.class_log), head.sizes
+    model = LogBilinear.begin(head)
     if not head.tokens:
         return model
     context = docs.sparkSession.sparkContext
-    noise = 10**head.class_log
-    noise = noise**0.75 / (noise**0.75).sum()
-    shared = context.broadcast((head.place, noise, model.pack()))
+    noise = tuple(x**0.75 / (x**0.75).sum() for x in (10**head.class_log, np.exp(head.group_log)))
+    shared = context.broadcast((head, noise, model.pack()))
 
     def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-        place, noise, flat = shared.value
+        head, noise, flat = shared.value
 
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            own = LogBilinear.unpack(flat.copy(), k)
+            own = LogBilinear.unpack(flat.copy(), sizes)
             squares = own.squares()
             draw = np.random.default_rng(seed + TaskContext.get().partitionId())
             n = 0
             held: list[np.ndarray] = []
             size = 0
             for (text,) in rows:
-                c = _class(_classes(place, tokens_of(text), k), k)
-                padded = np.concatenate([[k, k], c])
-                held.append((padded[:-2] * (k + 1) + padded[1:-1]) * k + c)
+                words = tokens_of(text)
+                c = head.ids(_places(head.place, words), words)
+                held.append(np.stack([np.concatenate([[k, k], c[:-2]])[: len(c)], np.concatenate([[k], c[:-1]]), c]))
                 size += len(c)
                 if size >= 4 * CHUNK:
-                    _learn(own, np.concatenate(held), k, noise, draw, squares)
+                    _learn(own, head, np.concatenate(held, axis=1), noise, draw, squares)
                     n, held, size = n + size, [], 0
             if size:
-                _learn(own, np.concatenate(held), k, noise, draw, squares)
+                _learn(own, head, np.concatenate(held, axis=1), noise, draw, squares)
                 n += size
             if n:
                 flat_own = own.pack().astype(np.float64) * n
@@ -221,13 +309,15 @@ def fit(docs: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
         values = [row[f"p{i}"] for i in range(64)]
         values = [v for v in values if v is not None]
         flat[row["at"] : row["at"] + len(values)] = np.array(values) / row["n"]
-    return LogBilinear.unpack(flat, k)
+    return LogBilinear.unpack(flat, sizes)
 
 
-def _learn(own: LogBilinear, keys: np.ndarray, k: int, noise: np.ndarray, draw: np.random.Generator, squares: list[np.ndarray]) -> None:
-    keys, n = np.unique(keys, return_counts=True)
-    word, rest = keys % k, keys // k
-    own.train(rest % (k + 1), rest // (k + 1), word, n.astype(np.float32), noise, draw, squares)
+def _learn(own: LogBilinear, head: Head, rows: np.ndarray, noise: tuple[np.ndarray, np.ndarray], draw: np.random.Generator, squares: list[np.ndarray]) -> None:
+    """Rows are ids: the word before the last, the last, the word. Equal ones are counted, told apart by 64 bits."""
+    y, x, w = rows.astype(np.uint64)
+    keys = mixed(mixed(mixed(y) + x) + w)
+    _, first, n = np.unique(keys, return_index=True, return_counts=True)
+    own.train(head, rows[1, first], rows[0, first], rows[2, first], n.astype(np.float32), noise, draw, squares)
 
 
 def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) -> DataFrame:
@@ -243,12 +333,13 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) ->
 
     def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
         head, model = shared.value
-        sums = np.full((k + 1) * (k + 1), np.nan, np.float32)
+        own = [(x @ model.c1, x @ model.c2) for x in (model.r, model.g, model.c)]
+        blocks, n_ids = len(head.member_log), k + 1 + head.sizes[1] * head.sizes[2]
 
         def flush(held: list[tuple]) -> Iterator[tuple]:
             at = np.concatenate([h[2] for h in held])
             ends = np.cumsum([len(h[2]) for h in held])
-            c = _class(at, k)
+            c = np.concatenate([h[4] for h in held])
             before1 = np.concatenate([[k], c[:-1]])
             before2 = np.concatenate([[k, k], c[:-2]])[: len(c)]
             begin = np.concatenate([[0], ends[:-1]])
@@ -256,24 +347,38 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) ->
             before2[begin] = k
             second = begin[ends - begin > 1] + 1
             before2[second] = k
-            context = before2 * (k + 1) + before1
-            new = np.unique(context[np.isnan(sums[context])])
-            if len(new):
-                sums[new] = model.log_sums(new % (k + 1), new // (k + 1))
-            own1, own2 = model.r @ model.c1, model.r @ model.c2
-            logs = np.empty(len(c), np.float64)
-            for i in range(0, len(c), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                logs[s] = ((own1[before1[s]] + own2[before2[s]]) * model.r[c[s]]).sum(1) + model.b[c[s]] - sums[context[s]]
+            context, place = np.unique(before2 * n_ids + before1, return_inverse=True)
+            x, y = head.parts(context % n_ids), head.parts(context // n_ids)
+            q = sum(own[i][0][x[i]] + own[i][1][y[i]] for i in range(3))
+            w, group, code = head.parts(c)
+
+            def logs_of(at: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+                out = np.empty(len(at), np.float64)
+                for i in range(0, len(at), 1 << 16):
+                    s = slice(i, i + (1 << 16))
+                    out[s] = (q[place[at[s]]] * rows[target[at[s]]]).sum(1)
+                return out
+
+            everywhere = np.arange(len(c))
+            logs = logs_of(everywhere, model.r, w) + model.b[w] - _log_sums(q, model.r[:-1], model.b)[place]
+            rare = np.flatnonzero(w == 0)
+            if len(rare):
+                met, back = np.unique(place[rare], return_inverse=True)
+                logs[rare] += logs_of(rare, model.g, group) + model.gb[group[rare]] - _log_sums(q[met], model.g[:-1], model.gb)[back]
+            inner = rare[group[rare] < blocks]
+            if len(inner):
+                logs[inner] += logs_of(inner, model.c, code) + head.member_log[group[inner], code[inner]] - _log_sums(q[place[inner]], model.c[:-1], head.member_log, group[inner])
             logs /= np.log(10)
             known = at >= 0
             log_count = np.where(known, head.log_count[np.maximum(at, 0)] if len(head.log_count) else 0.0, 0.0)
-            inside = np.where(c == 0, log_count - head.other_log, 0.0)  # class 0: the word's part of it; unseen and rare words get theirs by the join
+            inside = np.zeros(len(c))  # of a hashed word: its part of the group; unseen and rare words get theirs by the join
+            tail = np.flatnonzero((w == 0) & (group >= blocks))
+            inside[tail] = -head.tail_log[group[tail] - blocks]
             base = np.add.reduceat(log_count, begin)
             total = np.add.reduceat(logs + inside, begin)
             n_known = np.add.reduceat(known.astype(np.int64), begin)
             unit = np.log10(head.tokens + head.distinct + 1)
-            for (uid, doc_id, places, rare), b, t, m in zip(held, base, total, n_known):
+            for (uid, doc_id, places, rare, _), b, t, m in zip(held, base, total, n_known):
                 yield (b"\xff%d" % uid, uid, doc_id, len(places), int(m), float(b - unit * len(places)), float(t), 0), 80
                 for word, n in Counter(rare).items():
                     yield (word, uid, None, 0, 0, 0.0, 0.0, n), 80
@@ -282,8 +387,8 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) ->
             held, size = [], 0
             for uid, doc_id, text in rows:
                 words = tokens_of(text)
-                at = _classes(head.place, words, k)
-                held.append((uid, doc_id, at, [words[i] for i in np.flatnonzero(at[:-1] < 0).tolist()]))
+                at = _places(head.place, words)
+                held.append((uid, doc_id, at, [words[i] for i in np.flatnonzero(at[:-1] < 0).tolist()], head.ids(at, words)))
                 size += len(at)
                 if size >= CHUNK:
                     yield from flush(held)
@@ -300,7 +405,7 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) ->
         start,
         schema,
     )
-    rare = counts.filter(F.col("n") < head.least).select("word", F.log10(F.col("n") + 1).alias("part"))
+    rare = _tail(counts, head.least).select("word", F.log10(F.col("n") + 1).alias("part"))
     joined = rows.join(rare, "word", "left")
     part = F.col("n") * F.coalesce("part", F.lit(0.0))
     return (

@@ -48,3 +48,45 @@ def test_nothing_to_learn_from(spark):
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in got) == [(1, 3, 0, 0.0), (2, 1, 0, 0.0)]
     head, _, got = scored(spark, [], [(1, " ".join(words(50, 1)))])
     assert got == [] and head.tokens == 51
+
+
+def test_words_beyond_the_classes_are_learned(spark):
+    follow = {f"left{i}": f"right{i}" for i in range(200)}
+    pairs = [w for x in words(12000, 3, 200) for w in [f"left{zlib.crc32(x.encode()) % 200}"]]
+    text = " ".join(f"{w} {follow[w]}" for w in pairs)
+    rows = [(i, text[at : at + 4000]) for i, at in enumerate(range(0, len(text), 4000))] * 8
+    for size in (600, 40):
+        counts = lm.count_words(frame(spark, rows))
+        head = lm.head_of(counts, size=size, classes=16)
+        assert head.sizes[1] * head.sizes[2] >= len(head.place) - 15 and len(head.tail_log) ** 2 >= head.distinct - len(head.place)
+        model = lm.fit(frame(spark, rows), head)
+        right = " ".join(f"{w} {follow[w]}" for w in pairs[:200])
+        wrong = " ".join(f"{w} {follow[v]}" for w, v in zip(pairs[:200], pairs[7:207]))
+        got = {r.doc_id: r.score for r in lm.score(frame(spark, [(1, right), (2, wrong)]), counts, head, model).collect()}
+        assert got[1] > got[2] + 5, size
+
+
+def test_words_of_all_groups_sum_to_one(spark):
+    rows = [(1, " ".join(words(6000, 2, 900)))]
+    counts = lm.count_words(frame(spark, rows))
+    head = lm.head_of(counts, size=80, classes=16)
+    model = lm.fit(frame(spark, rows), head)
+    known = [bytes(r.word).decode() for r in counts.collect() if bytes(r.word) != lm.END]
+    unseen = {}
+    for i in range(2000):
+        unseen.setdefault(zlib.crc32(b"unseen%d" % i) % len(head.tail_log), f"unseen{i}")
+    texts = ["", *known, *unseen.values()]
+    got = {r.doc_id: r.score for r in lm.score(frame(spark, list(enumerate(texts))), counts, head, model).collect()}
+    assert len(unseen) == len(head.tail_log)
+    # a text of one word is the word and the end; the end after each word is divided out by the class sums
+    start = model.r[-1] + model.g[-1] + model.c[-1]
+
+    def end(word):
+        at = np.array([head.place.get(word.encode(), -1)])
+        c, g, p = head.parts(head.ids(at, [word.encode()]))
+        q = (model.r[c] + model.g[g] + model.c[p]) @ model.c1 + start[None] @ model.c2
+        s = (q @ model.r[:-1].T + model.b)[0].astype(float)
+        return (s[1 + head.place[lm.END]] - np.log(np.exp(s).sum())) / np.log(10)
+
+    total = 10 ** got[0] + sum(10 ** (got[i] - end(t)) for i, t in enumerate(texts) if t)
+    assert abs(total - 1) < 1e-3
