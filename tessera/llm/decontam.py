@@ -78,8 +78,9 @@ class Index:
     def matches(self, text: bytes | None) -> list[tuple[int, int, int, float]]:
         """(item id, first word, end word, similarity) of the best window for each item that the text holds, by item.
 
-        Windows are as long as the item. One that could be similar enough has that share of its item's shingles
-        in common with the benchmark; all others are passed over before their fingerprints are made.
+        Windows are as long as the item; a shorter text is the one window. One that could be similar enough has
+        that share of its item's shingles in common with the benchmark; all others are passed over before their
+        fingerprints are made.
         """
         words = words_of(text)
         numbers = self._numbers(words)
@@ -102,18 +103,18 @@ class Index:
             hits = np.cumsum(hits)
             hashes = None
             for size, (items, prints, tables) in self.sizes.items():
-                if min(SHINGLE_WORDS, size) != width or size > len(words):
+                if min(SHINGLE_WORDS, size) != width:
                     continue
-                parts = size - width + 1
-                starts = np.arange(len(words) - size + 1)
-                starts = starts[100 * (hits[starts + parts] - hits[starts]) >= NEAR * parts]
+                parts = min(size - width + 1, n)
+                starts = np.arange(n - parts + 1)
+                starts = starts[100 * (hits[starts + parts] - hits[starts]) >= NEAR * (size - width + 1)]
                 if not len(starts):
                     continue
                 if hashes is None:
                     hashes = shingle_hashes(words, width)
                 for s in np.array_split(starts, len(starts) // 4096 + 1):
                     self._compare(s, parts, width, size, hashes, items, prints, tables, best)
-        return [(self.items[i][0], start, start + self.items[i][1], similarity) for i, (similarity, _, start) in sorted(best.items())]
+        return [(self.items[i][0], start, min(start + self.items[i][1], len(words)), similarity) for i, (similarity, _, start) in sorted(best.items())]
 
     def _compare(self, starts, parts, width, size, hashes, items, prints, tables, best) -> None:
         low = int(starts[0])
@@ -161,8 +162,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of documents that are near copies of benchmark items: doc_id, item_id, first_word, end_word, similarity.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A row for each document row and
-    item with a window, as many words long as the item, whose five-word shingles have a weighted
-    similarity of at least 0.75 with the item's; the best window, the first of equals. Items of fewer than
+    item with a window, as many words long as the item or the whole of a shorter text, whose five-word shingles
+    have a weighted similarity of at least 0.75 with the item's; the best window, the first of equals. Items of fewer than
     five words are one shingle; texts and items without words match nothing; repeated items match each.
     Only the benchmark goes to all workers, in parts of a bounded size.
     """

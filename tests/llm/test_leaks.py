@@ -52,3 +52,12 @@ def test_benchmark_in_parts(spark, monkeypatch):
     docs = [(20, " ".join(words(50, 9)) + " " + ITEMS[1][1])]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame(spark, docs), bench).collect()} == {(20, 2)}
+
+
+def test_texts_shorter_than_the_item(spark):
+    item = words(60, 70)
+    docs = [(1, " ".join(item[:58])), (2, " ".join(item[10:])), (3, " ".join(item[:46])), (4, " ".join(item[:45])), (5, " ".join(item[:4])), (6, item[0]), (7, " ".join(item[1:30] + ["new"] + item[31:]))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "zig zag")], "item_id long, text string")
+    got = decontam.find_leaks(frame(spark, docs), bench).collect()
+    assert sorted((r.doc_id, r.first_word, r.end_word, round(r.similarity, 6)) for r in got) == [(1, 0, 58, round(54 / 56, 6)), (2, 0, 50, round(46 / 56, 6)), (3, 0, 46, 0.75), (7, 0, 59, round(50 / 61, 6))]
+    assert {r.doc_id for r in frame(spark, docs).filter(decontam.leaks(spark, bench, F.col("text"))).collect()} == {1, 2, 3, 7}
