@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier one nearly equals; goes: a document of which nothing but white space is left."""
-    kept = linededup.dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    """Takes out lines that an earlier one nearly equals, and short ones that an earlier one equals, white space alone aside; goes: a document of which nothing but white space is left."""
+    kept = linededup.dedup_lines(docs, exact_chars=1).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", n_chars).select(docs.columns)
 

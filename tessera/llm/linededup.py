@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import settle, table
 
-#: Lines of fewer characters stay in any case; characters that are cut off both ends before lines are compared.
+#: Lines of fewer characters have no edited copies; characters that are cut off both ends before lines are compared.
 MIN_CHARS, CUT = 25, " \t\r"
 #: Variants differ from their line within a block of so many characters; what is before and behind it is hashed once.
 BLOCK = 64
@@ -104,14 +104,15 @@ def _dropped(docs: DataFrame, first: DataFrame) -> DataFrame:
     return checked.filter(F.levenshtein("line", "other", 1).between(0, 1)).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
     """Documents without the lines that an earlier line equals or nearly equals.
 
     docs: doc_id, text and any others. Returns all columns of each row with text holding the lines that
     stay, and n_lines and n_removed long. Lines end at a line feed and are compared without blanks, tabs and
-    carriage returns at both ends; lines of fewer than MIN_CHARS characters stay. Earlier is by doc_id (null
-    last), then by place. A null text stays null and has no lines. Repeated rows are one document and keep the
-    same lines. An empty table gives none.
+    carriage returns at both ends; lines of fewer than exact_chars characters stay, those of fewer than
+    MIN_CHARS go only where an earlier line is the same. Earlier is by doc_id (null last), then by place. A null
+    text stays null and has no lines. Repeated rows are one document and keep the same lines. An empty table
+    gives none.
     """
     lines = _lines(docs)
     long = lines.filter(F.col("m") >= MIN_CHARS)
@@ -121,7 +122,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first = settle(long.withColumns({f"k{i + 1}": k for i, k in enumerate(keys)}).groupBy("h1", "h2").agg(at.alias("f"), spots.alias("n")).select("h1", "h2", "n", "f.*"))
     near = _dropped(docs, first).withColumn("near", F.lit(True))
     fate = first.select("h1", "h2", "n", "oid", "th", "pos").join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "near", F.struct("oid", "th", "pos").alias("kept"))
-    gone = (F.col("m") >= MIN_CHARS) & F.col("kept").isNotNull() & (F.coalesce("near", F.lit(False)) | (F.col("kept") != F.struct("oid", "th", "pos")))
+    if exact_chars < MIN_CHARS:
+        short = lines.filter((F.col("m") >= exact_chars) & (F.col("m") < MIN_CHARS))
+        short = short.groupBy("h1", "h2").agg(F.min(F.struct("oid", "th", "pos")).alias("kept"), spots.alias("n")).filter("n > 1")
+        fate = fate.unionByName(short.select("h1", "h2", F.lit(None).cast("boolean").alias("near"), "kept"))
+    gone = (F.col("m") >= exact_chars) & F.col("kept").isNotNull() & (F.coalesce("near", F.lit(False)) | (F.col("kept") != F.struct("oid", "th", "pos")))
     flags = lines.select("oid", "th", "pos", "m", "h1", "h2").join(fate, ["h1", "h2"], "left").select("oid", "th", "pos", gone.alias("gone"))
     flags = flags.groupBy("oid", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "gone"))).alias("flags")).filter(F.exists("flags", lambda x: x.gone)).select("oid", "th", F.transform("flags", lambda x: x.gone).alias("gone"))
     own = docs.withColumns({"__oid": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__th": F.xxhash64("text")})

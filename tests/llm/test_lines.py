@@ -52,3 +52,13 @@ def test_against_all_pairs(spark):
         assert got.columns == ["doc_id", "text", "pos", "h1", "n", "n_lines", "n_removed"]
         assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str) == brute(rows)
     assert linededup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_pipeline_takes_out_short_repeats(spark):
+    import corpus_pipeline
+
+    rows = [(1, "short\n\n" + LONG + "\n \nshort"), (2, "  short\r\nshorx\n\n" + LONG + "y"), (3, "short"), (4, None), (5, "other\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    first, second = "short\n\n" + LONG + "\n ", "shorx\n"
+    assert got == {1: (first, len(first)), 2: (second, len(second)), 4: (None, None), 5: ("other\n\n", 7)}
