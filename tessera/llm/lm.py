@@ -260,10 +260,9 @@ def _places(place: dict[bytes, int], words: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
-    """Trains on every given text: each task makes passes over its own counted contexts from a common start, and the parameters are averaged, weighted by tokens.
+    """Trains on every given text: each task makes one pass over its own counted contexts from a common start, and the parameters are averaged, weighted by tokens.
 
-    A first pass over the corpus starts from the classes' shares, a second from the first's average.
-    Averages are summed by parameter in a shuffle, so the driver gets as many rows as the model has parameters.
+    There is one pass over the corpus, from the shares of classes and groups. Averages are summed by parameter in a shuffle, so the driver gets as many rows as the model has parameters.
     """
     k, sizes = len(head.class_log), head.sizes
     model = LogBilinear.begin(head)
