@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows of output are sent on once they hold about so many bytes.
 FLUSH_BYTES = 4 << 20
+#: Left rows of a key, and their share of all, from which lookup() treats the key as hot.
+HOT_ROWS, HOT_SHARE = 1000, 1e-4
+#: Lets Spark delete the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D, which is what bytes.split() splits on.
 WORD_SEPARATORS = b" \t\n\r\x0b\x0c"
 
@@ -21,12 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set: a local one in local mode, as in tests, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -39,9 +49,37 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder, so lost executors cost nothing before it."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+    """The same rows as a written table in the shared folder: lineage ends there, so lost executors cost nothing before it, and the shuffles that led to it go."""
+    spark = frame.sparkSession
+    path = scratch(spark, "settled")
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: list[str]) -> DataFrame:
+    """Left join with a settled right side of unique keys, of which n says how many left rows each may meet.
+
+    Keys with more than HOT_ROWS and a HOT_SHARE of all n go to every task (at most 1 / HOT_SHARE rows); left
+    rows that meet one of them are dealt out by a hash of the columns spread, all others by their keys.
+    """
+    others = [c for c in right.columns if c not in keys]
+    bound = max(HOT_ROWS, (right.agg(F.sum(n)).first()[0] or 0) * HOT_SHARE)
+    own = F.struct(*others)
+    hot = right.filter(F.col(n) > bound).select(*keys, own.alias("_hot"))
+    if hot.isEmpty():
+        return left.join(right, keys, "left")
+    cold = right.filter(F.col(n) <= bound).select(*keys, own.alias("_cold"), F.lit(0).cast("bigint").alias("_salt"))
+    met = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*spread)))
+    joined = met.join(cold, [*keys, "_salt"], "left")
+    return joined.select(*left.columns, *[F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in others])
 
 
 def held_out(doc_id: str | Column, buckets: int, remainder: int) -> Column:
@@ -88,12 +126,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def read_bytes(spark: SparkSession, path: str) -> bytes:
-    """A small file of the driver, such as a vocabulary."""
-    with open(path, "rb") as f:
-        return f.read()
-
-
 def column_map(frame: DataFrame, schema: str, start: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], arrow: pa.Schema) -> DataFrame:
     """As row_map, for functions that yield a tuple of equally long numpy arrays (or lists) at a time."""
 

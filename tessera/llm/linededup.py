@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle, table
+from tessera.llm.common import lookup, settle, table
 
 #: Lines of fewer characters have no edited copies; characters that are cut off both ends before lines are compared.
 MIN_CHARS, CUT = 25, " \t\r"
@@ -33,10 +33,14 @@ def _half_keys(line: Column, m: Column) -> list[Column]:
     return keys
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """oid, th and text of every text; oid and th tell document and text."""
+    return docs.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("oid"), F.xxhash64("text").alias("th"), "text")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """oid, th, pos and line, as compared, of every line; oid and th tell document and text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("oid"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
-    rows = rows.select("oid", "th", F.posexplode("lines").alias("pos", "line"))
+    """oid, th, pos and line, as compared, of every line."""
+    rows = _texts(docs).select("oid", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return rows.select("oid", "th", "pos", F.btrim("line", F.lit(CUT)).alias("line")).withColumns({"m": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -79,18 +83,13 @@ def _near(first: DataFrame) -> DataFrame:
 
 
 def _dropped(docs: DataFrame, first: DataFrame) -> DataFrame:
-    sides = _near(first)
-    wanted = first.join(sides, ["h1", "h2"]).select("oid", "th", "pos", "first_same", "rest_same")
+    wanted = first.join(_near(first), ["h1", "h2"])
+    wanted = wanted.groupBy("oid", "th").agg(F.collect_list(F.struct("pos", "m", "h1", "h2", "first_same", "rest_same")).alias("w"))
+    found = _texts(docs).join(wanted, ["oid", "th"]).select("oid", "th", F.split("text", "\n").alias("lines"), F.explode("w").alias("w")).select("oid", "th", "w.*", F.btrim(F.get("lines", F.col("w.pos")), F.lit(CUT)).alias("line"))
     m = F.col("m")
     low = F.when(F.col("rest_same") == 1, F.lit(0)).otherwise(F.floor((m - 1) / 2).cast("int"))
     high = F.when(F.col("first_same") == 1, m - 1).otherwise(F.floor(m / 2).cast("int"))
-    candidates = settle(
-        _lines(docs)
-        .select("oid", "th", "pos", "line", "m", "h1", "h2")
-        .join(wanted, ["oid", "th", "pos"])
-        .dropDuplicates(["h1", "h2"])
-        .select("oid", "th", "pos", "line", "m", "h1", "h2", low.alias("low"), high.alias("high"), F.xxhash64("oid", "th", "pos").alias("id"))
-    )
+    candidates = settle(found.dropDuplicates(["h1", "h2"]).select("oid", "th", "pos", "line", "m", "h1", "h2", low.alias("low"), high.alias("high"), F.xxhash64("oid", "th", "pos").alias("id")))
     key = Window.partitionBy("key")
     met = _variants(candidates).withColumns({"x": F.min("id").over(key), "y": F.max("id").over(key)}).filter("x <> y").select("key", "role", "id").distinct()
     order = F.struct("oid", "th", "pos", "id")
@@ -108,7 +107,8 @@ def dedup_lines(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
     """Documents without the lines that an earlier line equals or nearly equals.
 
     docs: doc_id, text and any others. Returns all columns of each row with text holding the lines that
-    stay, and n_lines and n_removed long. Lines end at a line feed and are compared without blanks, tabs and
+    stay, and n_lines and n_removed long, which take the place of columns of these names; no other name
+    matters. Very long texts and lines are treated whole. Lines end at a line feed and are compared without blanks, tabs and
     carriage returns at both ends; lines of fewer than exact_chars characters stay, those of fewer than
     MIN_CHARS go only where an earlier line is the same. Earlier is by doc_id (null last), then by place. A null
     text stays null and has no lines. Repeated rows are one document and keep the same lines. An empty table
@@ -121,22 +121,23 @@ def dedup_lines(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
     spots = F.count("*")
     first = settle(long.withColumns({f"k{i + 1}": k for i, k in enumerate(keys)}).groupBy("h1", "h2").agg(at.alias("f"), spots.alias("n")).select("h1", "h2", "n", "f.*"))
     near = _dropped(docs, first).withColumn("near", F.lit(True))
-    fate = first.select("h1", "h2", "n", "oid", "th", "pos").join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "near", F.struct("oid", "th", "pos").alias("kept"))
+    fate = first.select("h1", "h2", "n", "oid", "th", "pos").join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "n", "near", F.struct("oid", "th", "pos").alias("kept"))
     if exact_chars < MIN_CHARS:
         short = lines.filter((F.col("m") >= exact_chars) & (F.col("m") < MIN_CHARS))
         short = short.groupBy("h1", "h2").agg(F.min(F.struct("oid", "th", "pos")).alias("kept"), spots.alias("n")).filter("n > 1")
-        fate = fate.unionByName(short.select("h1", "h2", F.lit(None).cast("boolean").alias("near"), "kept"))
+        fate = fate.unionByName(short.select("h1", "h2", "n", F.lit(None).cast("boolean").alias("near"), "kept"))
     gone = (F.col("m") >= exact_chars) & F.col("kept").isNotNull() & (F.coalesce("near", F.lit(False)) | (F.col("kept") != F.struct("oid", "th", "pos")))
-    flags = lines.select("oid", "th", "pos", "m", "h1", "h2").join(fate, ["h1", "h2"], "left").select("oid", "th", "pos", gone.alias("gone"))
+    flags = lookup(lines.select("oid", "th", "pos", "m", "h1", "h2"), settle(fate), ["h1", "h2"], "n", ["oid", "th", "pos"]).select("oid", "th", "pos", gone.alias("gone"))
     flags = flags.groupBy("oid", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "gone"))).alias("flags")).filter(F.exists("flags", lambda x: x.gone)).select("oid", "th", F.transform("flags", lambda x: x.gone).alias("gone"))
-    own = docs.withColumns({"__oid": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__th": F.xxhash64("text")})
-    joined = own.join(flags.select(F.col("oid").alias("__oid"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), ["__oid", "__th"], "left")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.get(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_removed = F.coalesce(F.size(F.filter("__gone", lambda x: x)), F.lit(0)).cast("long")
-    n_removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("oid"), F.xxhash64("text").alias("th"))
+    joined = own.join(flags, ["oid", "th"], "left")
+    before = F.col("row.text")
+    n_lines = F.when(before.isNull(), F.lit(0)).otherwise(F.size(F.split(before, "\n"))).cast("long")
+    kept = F.filter(F.split(before, "\n"), lambda line, i: ~F.get(F.col("gone"), i))
+    text = F.when(F.col("gone").isNull(), before).otherwise(F.array_join(kept, "\n"))
+    n_removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.filter("gone", lambda x: x))).cast("long")
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in others], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
