@@ -1,11 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle similarity."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle similarity.
+
+Every window of every text is fingerprinted, for each class of item sizes; candidates are the windows that the
+block tables name and that are within RADIUS bits of an item. Only these are verified.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
-from itertools import repeat
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,139 +17,190 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_map, table, text_bytes
-from tessera.llm.shingles import NEAR, SHINGLE_WORDS, mixed, shingle_hashes, words_of
+from tessera.llm.common import row_map, scratch, settle, table, text_bytes
+from tessera.llm.shingles import NEAR, SHINGLE_WORDS, shingled, word_hashes
 
 #: Fingerprints of 64 bits are cut into so many blocks; those within NEAR_BITS of one block are looked up. All pairs within RADIUS bits are found.
-BLOCKS, NEAR_BITS = 8, 2
+BLOCKS, NEAR_BITS = 4, 4
 RADIUS = BLOCKS * (NEAR_BITS + 1) - 1
-#: Bytes of benchmark text that go to the workers at once; a larger benchmark is worked off in parts by item.
-PART_BYTES = 16 << 20
-_BITS = np.arange(64, dtype=np.uint64)
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Items of a class differ by less than one shingle in so many; they share windows of a size in the middle.
+CLASS_SHARE = 6
+#: Bytes of benchmark text, and items, that go to the workers at once; a larger benchmark is worked off in parts by item, one after the other.
+PART_BYTES, PART_ITEMS = 16 << 20, 4096
+#: Windows that are fingerprinted at once, and shingles that a worker holds before it does, about.
+SLICE, HELD = 16384, 65536
+#: Bits by which shingles are looked up before they are searched for.
+KNOWN_BITS = 20
+_LAST = np.uint64((1 << KNOWN_BITS) - 1)
+_FLIPS = np.array([sum(1 << b for b in bits) for n in range(NEAR_BITS + 1) for bits in combinations(range(64 // BLOCKS), n)], np.uint16)
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
+    """A row of 64 signs for each hash."""
+    return np.unpackbits(hashes.view(np.uint8)).view(np.int8).reshape(-1, 64) * np.int8(2) - np.int8(1)
 
 
 def _packed(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints as rows of eight bytes from sums of signs; a sum of zero is a zero bit."""
-    return np.packbits(sums > 0, axis=-1)
+    """Fingerprints from rows of sums of signs; a sum of zero is a zero bit."""
+    return np.packbits(sums > 0).view(np.uint64)
+
+
+class Class:
+    """Items of about one size: their fingerprints, and for each block a table of the values that are near one of them."""
+
+    def __init__(self, window: int, items: list[int], prints: np.ndarray, parts: np.ndarray):
+        self.window, self.items, self.prints, self.parts = window, np.array(items), prints, parts
+        self.tables = np.zeros((BLOCKS, 1 << 64 // BLOCKS), bool)
+        for blocks in prints.view(np.uint16).reshape(-1, BLOCKS):
+            for table, block in zip(self.tables, blocks):
+                table[block ^ _FLIPS] = True
+
+    def near(self, prints: np.ndarray, can: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in prints, place in the class) within RADIUS bits: all of them, as one block at least is then within NEAR_BITS.
+
+        Of the places that the tables name, can() tells those that verification can accept; the others need no distance.
+        """
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS).astype(np.intp)
+        named = self.tables[0].take(blocks[:, 0])
+        for k in range(1, BLOCKS):
+            named |= self.tables[k].take(blocks[:, k])
+        at = np.flatnonzero(named)
+        at = at[can(at)]
+        row, item = np.nonzero(np.bitwise_count(prints[at][:, None] ^ self.prints) <= RADIUS)
+        return at[row], item
 
 
 class Index:
-    """Items of a benchmark: their shingles with weights (counts), and block tables of their fingerprints by item size."""
+    """Items of a benchmark: their shingles with weights (counts), and classes of their fingerprints by width of shingles and size."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.items: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []  # id, words, width of shingles, distinct hashes, counts
-        #: Words of the benchmark by number, from 1; 0 stands for all others.
-        self.vocabulary: dict[bytes, int] = {}
-        sizes: dict[int, list[int]] = defaultdict(list)
-        runs: dict[int, list[np.ndarray]] = defaultdict(list)
-        prints = []
+        self.items: list[tuple[int, int, int, dict[int, int]]] = []  # id, words, shingles, their counts
+        prints, runs = [], defaultdict(list)
+        by_size: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
-            words = words_of(text)
-            if not words:
+            words = word_hashes(text)[0]
+            if not len(words):
                 continue
-            for word in words:
-                self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
-            hashes = shingle_hashes(words)
-            runs[min(SHINGLE_WORDS, len(words))].append(self._numbers(words))
-            sizes[len(words)].append(len(self.items))
-            self.items.append((item_id, len(words), min(SHINGLE_WORDS, len(words)), *np.unique(hashes, return_counts=True)))
-            prints.append(_packed(_signs(hashes).sum(0)))
-        #: Keys of all shingles by width, sorted; they are made of the numbers of words.
-        self.known = {w: np.unique(np.concatenate([self._keys(n, np.arange(len(n) - w + 1), w) for n in found])) for w, found in runs.items()}
-        self.sizes = {}
-        near = _ONES[np.bitwise_xor.outer(np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8))] <= NEAR_BITS
-        for n, at in sizes.items():
-            own = np.stack([prints[i] for i in at])
-            tables = [near[:, own[:, k]] for k in range(BLOCKS)]  # byte x item: whether the block is near enough
-            self.sizes[n] = (np.array(at), own, tables)
-
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
-
-    @staticmethod
-    def _keys(numbers: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        """A key of the words from each place on."""
-        h = np.full(len(at), width, np.uint64)
-        for i in range(width):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + numbers[at + i])
-        return h
-
-    def matches(self, text: bytes | None) -> list[tuple[int, int, int, float]]:
-        """(item id, first word, end word, similarity) of the best window for each item that the text holds, by item.
-
-        Windows are as long as the item; a shorter text is the one window. One that could be similar enough has
-        that share of its item's shingles in common with the benchmark; all others are passed over before their
-        fingerprints are made.
-        """
-        words = words_of(text)
-        numbers = self._numbers(words)
-        run = np.concatenate([[0], np.cumsum(numbers > 0)])
-        best: dict[int, tuple[float, int, int]] = {}
+            hashes = shingled(words)
+            width = min(SHINGLE_WORDS, len(words))
+            by_size[width][len(hashes)].append(len(self.items))
+            runs[width].append(hashes)
+            distinct, counts = np.unique(hashes, return_counts=True)
+            self.items.append((item_id, len(words), len(hashes), dict(zip(distinct.tolist(), counts.tolist()))))
+            prints.append(_packed(_signs(hashes).sum(0, dtype=np.int32))[0])
+        prints, parts = np.array(prints, np.uint64), np.array([x[2] for x in self.items])
+        self.known = {width: np.unique(np.concatenate(found)) for width, found in runs.items()}
+        #: Whether some known shingle ends in these KNOWN_BITS bits.
+        self.may = {width: np.zeros(1 << KNOWN_BITS, bool) for width in runs}
         for width, known in self.known.items():
-            n = len(words) - width + 1
-            if n < 1:
-                continue
-            at = np.flatnonzero(run[width:] - run[:-width] == width)  # shingles of benchmark words only
-            if not len(at):
-                continue
-            own = self._keys(numbers, at, width)
-            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            at = at[known[place] == own]
-            if not len(at):
-                continue
-            hits = np.zeros(n + 1, np.int64)
-            hits[at + 1] = 1
-            hits = np.cumsum(hits)
-            hashes = None
-            for size, (items, prints, tables) in self.sizes.items():
-                if min(SHINGLE_WORDS, size) != width:
-                    continue
-                parts = min(size - width + 1, n)
-                starts = np.arange(n - parts + 1)
-                starts = starts[100 * (hits[starts + parts] - hits[starts]) >= NEAR * (size - width + 1)]
-                if not len(starts):
+            self.may[width][(known & _LAST).astype(np.intp)] = True
+        self.classes: dict[int, list[Class]] = {}
+        for width, sizes in by_size.items():
+            self.classes[width], left = [], sorted(sizes)
+            while left:
+                own = [n for n in left if n < left[0] + max(1, left[0] // CLASS_SHARE)]
+                left = left[len(own) :]
+                members = [i for n in own for i in sizes[n]]
+                self.classes[width].append(Class((own[0] + own[-1] + 1) // 2, members, prints[members], parts[members]))
+
+    def matches(self, texts: Iterable[bytes | None]) -> list[list[tuple[int, int, int, float]]]:
+        """For each text (item id, first word, end word, similarity) of the best window for each item that it holds, by item.
+
+        Windows are as long as the item; a shorter text is the one window.
+        """
+        texts = [text or b"" for text in texts]
+        words, starts = word_hashes(b" ".join(texts))
+        cuts = np.searchsorted(starts, np.cumsum([0] + [len(text) + 1 for text in texts]))
+        runs = [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        best: list[dict[int, tuple[float, int]]] = [{} for _ in runs]
+        for width, classes in self.classes.items():
+            at = [i for i, w in enumerate(runs) if len(w) >= width]
+            if at:
+                self._search(width, classes, at, [shingled(runs[i], width) for i in at], best)
+        items = self.items
+        return [[(items[j][0], start, min(start + items[j][1], len(w)), similarity) for j, (similarity, start) in sorted(found.items())] for found, w in zip(best, runs)]
+
+    def _search(self, width: int, classes: list[Class], at: list[int], runs: list[np.ndarray], best: list[dict]) -> None:
+        sizes = np.array([len(h) for h in runs])
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        hashes = np.concatenate(runs)
+        known = self.known[width]
+        hit = np.zeros(len(hashes), bool)
+        at_all = np.flatnonzero(self.may[width].take((hashes & _LAST).astype(np.intp)))
+        hit[at_all] = known[np.minimum(np.searchsorted(known, hashes[at_all]), len(known) - 1)] == hashes[at_all]
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        pairs: set[tuple[int, int]] = set()
+
+        def enough(low: np.ndarray, high: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+            """A window between low and high can only be similar with so many of the benchmark's shingles."""
+            return 100 * (hits[high] - hits[low]) >= NEAR * parts
+
+        longest = max(c.window for c in classes)
+        kind = np.int8 if longest < 128 else np.int32
+        for a in range(0, len(hashes), SLICE):
+            piece = hashes[a : a + SLICE + longest]
+            sums = np.zeros((len(piece) + 1, 64), kind)
+            np.cumsum(_signs(piece), axis=0, dtype=kind, out=sums[1:])
+            for c in classes:
+                n = min(SLICE, len(piece) - c.window + 1)
+                if n < 1:
                     continue
-                if hashes is None:
-                    hashes = shingle_hashes(words, width)
-                for s in np.array_split(starts, len(starts) // 4096 + 1):
-                    self._compare(s, parts, width, size, hashes, items, prints, tables, best)
-        return [(self.items[i][0], start, min(start + self.items[i][1], len(words)), similarity) for i, (similarity, _, start) in sorted(best.items())]
-
-    def _compare(self, starts, parts, width, size, hashes, items, prints, tables, best) -> None:
-        low = int(starts[0])
-        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(hashes[low : int(starts[-1]) + parts]), axis=0)])
-        windows = _packed(sums[starts - low + parts] - sums[starts - low])
-        candidate = tables[0][windows[:, 0]]
-        for k in range(1, BLOCKS):
-            candidate = candidate | tables[k][windows[:, k]]
-        row, item = np.nonzero(candidate)
-        distance = _ONES[windows[row] ^ prints[item]].sum(1)
-        ok = distance <= RADIUS
-        for r, j in zip(starts[row[ok]].tolist(), items[item[ok]].tolist()):
-            similarity = self._similarity(hashes[r : r + parts], j)
-            if similarity >= NEAR / 100 and (j not in best or (similarity, -r) > best[j][:2]):
-                best[j] = (similarity, -r, r)
-
-    def _similarity(self, window: np.ndarray, item: int) -> float:
-        """Weighted Jaccard of shingle counts: sum of the lesser over sum of the greater."""
-        _, _, _, own, counts = self.items[item]
-        seen = Counter(window.tolist())
-        both = sum(min(seen.get(h, 0), c) for h, c in zip(own.tolist(), counts.tolist()))
-        return both / (len(window) + int(counts.sum()) - both)
-
-
-def parts_of(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """Items (item_id, text as bytes) in parts of about PART_BYTES; null texts are left out."""
+                off, least = int(np.abs(c.parts - c.window).max()), int(c.parts.min())
+                row, item = c.near(_packed(sums[c.window : c.window + n] - sums[:n]), lambda at: enough(np.maximum(at + a - off, 0), np.minimum(at + a + c.window + off, len(hashes)), least))
+                text = np.searchsorted(ends, row + a, side="right")
+                off = np.abs(c.parts[item] - c.window)
+                keep = enough(np.maximum(row + a - off, begins[text]), np.minimum(row + a + c.window + off, ends[text]), c.parts[item])
+                pairs.update(zip(text[keep].tolist(), c.items[item[keep]].tolist()))
+        short = np.flatnonzero(sizes < max(int(c.parts.max()) for c in classes))
+        if len(short):  # shorter than some item: the text itself is a window
+            own = np.add.reduceat(_signs(np.concatenate([runs[i] for i in short])), np.cumsum(sizes[short]) - sizes[short], axis=0, dtype=np.int32)
+            prints = _packed(own)
+            for c in classes:
+                row, item = c.near(prints, lambda at: enough(begins[short[at]], ends[short[at]], int(c.parts.min())))
+                keep = enough(begins[short[row]], ends[short[row]], c.parts[item])
+                pairs.update(zip(short[row[keep]].tolist(), c.items[item[keep]].tolist()))
+        for text, j in pairs:
+            a, b = begins[text], ends[text]
+            if (found := self._best(runs[text], hits[a : b + 1] - hits[a], j)) is not None:
+                best[at[text]][j] = found
+
+    def _best(self, hashes: np.ndarray, hits: np.ndarray, item: int) -> tuple[float, int] | None:
+        """Similarity and start of the item's best window, the first of equals, if it is near: weighted Jaccard, the sum of the lesser counts over that of the greater."""
+        _, _, parts, own = self.items[item]
+        size = min(parts, len(hashes))
+        starts = np.flatnonzero(100 * (hits[size:] - hits[:-size]) >= NEAR * parts).tolist()
+        best, seen, both, last = (0.0, 0), {}, 0, -2
+        for start in starts:
+            if start == last + 1:
+                h = int(hashes[last])
+                seen[h] -= 1
+                both -= seen[h] < own.get(h, 0)
+                new = hashes[start + size - 1 : start + size].tolist()
+            else:
+                seen, both = {}, 0
+                new = hashes[start : start + size].tolist()
+            for h in new:
+                n = seen.get(h, 0)
+                both += n < own.get(h, 0)
+                seen[h] = n + 1
+            last = start
+            similarity = both / (size + parts - both)
+            if similarity > best[0]:
+                best = (similarity, start)
+                if both == size == parts:
+                    break
+        return best if best[0] >= NEAR / 100 else None
+
+
+def parts_of(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """Items (item_id, text as bytes) in parts of about PART_BYTES and PART_ITEMS, each fetched when it is asked for; null texts are left out."""
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // PART_BYTES)
+    size, count = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(-(-(size or 0) // PART_BYTES), -(-count // PART_ITEMS))
     own = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    return [[(r.item_id, bytes(r.text)) for r in items.filter(own == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r.item_id, bytes(r.text)) for r in items.filter(own == i).collect()]
 
 
 _index: dict[str, Index] = {}
@@ -164,43 +219,79 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A row for each document row and
     item with a window, as many words long as the item or the whole of a shorter text, whose five-word shingles
     have a weighted similarity of at least 0.75 with the item's; the best window, the first of equals. Items of fewer than
-    five words are one shingle; texts and items without words match nothing; repeated items match each.
-    Only the benchmark goes to all workers, in parts of a bounded size.
+    five words are one shingle; texts and items without words, or null, match nothing; repeated items match each,
+    repeated rows are searched each, very long texts whole; an empty table on either side gives none. Only the
+    benchmark goes to all workers, in parts of a bounded size; with several parts the results of each are written before the next is fetched.
     """
-    found = None
+    spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("similarity", pa.float64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    for items in parts_of(benchmark) or [[]]:
-        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def start(shared=shared, name=name) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    def search(items: list[tuple[int, bytes]]) -> DataFrame:
+        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
             index = _made(name, shared.value)
 
-            def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-                for doc_id, text in rows:
-                    for match in index.matches(text):
+            def flush(held: list[tuple]) -> Iterator[tuple]:
+                for (doc_id, _), found in zip(held, index.matches(text for _, text in held)):
+                    for match in found:
                         yield (doc_id, *match), 40
 
+            def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+                held, size = [], 0
+                for row in rows:
+                    held.append(row)
+                    size += len(row[1])
+                    if size >= 6 * HELD:
+                        yield from flush(held)
+                        held, size = [], 0
+                if held:
+                    yield from flush(held)
+
             return step
 
-        part = row_map(rows, "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, similarity double", start, schema)
-        found = part if found is None else found.union(part)
-    return found
+        return row_map(rows, "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, similarity double", start, schema)
+
+    parts = parts_of(benchmark)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return search(first)
+    path = scratch(spark, "leaks")
+    for items in (first, second):
+        search(items).write.mode("append").parquet(path)
+    for items in parts:
+        search(items).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def leaks(spark: SparkSession, items: list[tuple[int, bytes]], text: Column) -> Column:
+    """Whether a text holds a near copy of any of the given items, a part of a benchmark: a condition on rows, so a filter by it moves nothing."""
+    return _holds(spark.sparkContext.broadcast(items), uuid.uuid4().hex)(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
-def leaks(spark: SparkSession, benchmark: DataFrame, text: Column) -> Column:
-    """Whether a text holds a near copy of any item: a condition on rows, so a filter by it moves nothing."""
-    condition = F.lit(False)
-    for items in parts_of(benchmark):
-        condition = condition | _holds(spark.sparkContext.broadcast(items), uuid.uuid4().hex)(F.coalesce(text.cast("binary"), F.lit(b"")))
-    return condition
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (text, any other columns) that hold no near copy of a benchmark item, as find_leaks() has it; a null text stays. Rows are written between the parts of a large benchmark."""
+    parts = parts_of(benchmark)
+    items = next(parts, None)
+    while items is not None:
+        docs = docs.filter(~leaks(docs.sparkSession, items, F.col("text")))
+        items = next(parts, None)
+        docs = docs if items is None else settle(docs)
+    return docs
 
 
 def _holds(shared, name: str) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
-        index = _made(name, shared.value)
-        return pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
+        index, out, held, size = _made(name, shared.value), [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= 6 * HELD:
+                out += map(bool, index.matches(held))
+                held, size = [], 0
+        return pd.Series(out + list(map(bool, index.matches(held))), dtype=bool)
 
     return holds
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column_map, row_map, settle, table, text_bytes
-from tessera.llm.shingles import mixed
+from tessera.llm.shingles import mixed, powers
 
 #: Bytes of a repeat, of a minimizer, and of the part of a text that is scanned at once.
 LENGTH, GRAM, SCAN = 200, 64, 4 << 20
@@ -30,23 +30,13 @@ MERGE_BYTES, SHARD_BYTES = 4 << 20, 1 << 18
 #: Keys with more occurrences than this and than a HOT_SHARE of all are hot: at most 1 / HOT_SHARE of them.
 HOT, HOT_SHARE = 5000, 1e-5
 _PLACE = np.uint64((1 << 24) - 1)
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 17)
-        base = 0x9E3779B97F4A7C15 | 1
-        _powers[:] = [np.cumprod(np.full(size, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64))]
-    return _powers
 
 
 def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one minimizer: first window, number of windows, hash of the minimizer."""
     n = len(data)
     windows = n - LENGTH + 1
-    power, inverse = _tables(n)
+    power, inverse = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     full = mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
