@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding with a segment tree over byte positions."""
+"""Byte-level BPE encoding and decoding with a binary segment tree over byte positions."""
 
 from __future__ import annotations
 
@@ -22,8 +22,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries each worker keeps of units and pieces, the first that it meets; longer ones than KEPT_CHARS are not kept.
 KEPT, KEPT_CHARS = 900_000, 48
-#: Children of a node of the segment tree.
-FAN = 32
+#: What a leaf holds where no pair of live tokens with a rank starts.
 NONE = 1 << 62
 
 
@@ -70,10 +69,10 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match.
 
-        A leaf of the tree stands for each byte position and holds rank * n + position of the pair
-        of live tokens that starts there; each node above holds the least of FAN below it, so the root
-        is the leftmost pair of least rank. A merge changes the leaves of the position, of its live
-        neighbour to the left and of the one that goes, each with the nodes above it.
+        The leaf at n + i of a binary tree over the n byte positions holds rank * n + i of the pair of live
+        tokens that starts at i; every node above has the least of its two children, so the root is the
+        leftmost pair of least rank. A merge is three point updates, each of a leaf and of the nodes above
+        it as far as they change: the position, its live neighbour to the left, and the one that goes.
         """
         ranks = self.ranks
         whole = ranks.get(piece)
@@ -81,40 +80,40 @@ class Codec:
             return [whole]
         n = len(piece)
         get = ranks.get
-        leaves = [NONE if (rank := get(piece[i : i + 2])) is None else rank * n + i for i in range(n - 1)]
-        leaves.append(NONE)
-        above = []
-        below = leaves
-        while len(below) > FAN:
-            below = [min(below[k : k + FAN]) for k in range(0, len(below), FAN)]
-            above.append(below)
-        root = below
+        tree = [NONE] * (2 * n)
+        for i in range(n - 1):
+            rank = get(piece[i : i + 2])
+            if rank is not None:
+                tree[n + i] = rank * n + i
+        for k in range(n - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
+
+        def put(at: int, rank: int | None) -> None:
+            k = n + at
+            least = NONE if rank is None else rank * n + at
+            while k and tree[k] != least:
+                tree[k] = least
+                other = tree[k ^ 1]
+                if other < least:
+                    least = other
+                k >>= 1
+
         after = list(range(1, n + 1))  # where the token that starts here ends
         before = list(range(-1, n - 1))
-        while (least := min(root)) < NONE:
+        while (least := tree[1]) < NONE:
             i = least % n
             j = after[i]
             end = after[i] = after[j]
+            put(j, None)
             if end < n:
                 before[end] = i
-                rank = get(piece[i : after[end]])
-                leaves[i] = NONE if rank is None else rank * n + i
+                put(i, get(piece[i : after[end]]))
             else:
-                leaves[i] = NONE
-            leaves[j] = NONE
+                put(i, None)
             left = before[i]
             if left >= 0:
-                rank = get(piece[left:end])
-                leaves[left] = NONE if rank is None else rank * n + left
-            if above:
-                for at in (i, j, left):
-                    level = leaves
-                    for up in above:
-                        at //= FAN
-                        if not 0 <= at < len(up):
-                            break
-                        up[at] = min(level[at * FAN : at * FAN + FAN])
-                        level = up
+                put(left, get(piece[left:end]))
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
