@@ -38,7 +38,7 @@ def test_blocks_below_the_kth_are_passed_over():
     vectors = np.concatenate([c + draw.integers(-3, 4, (topk.BLOCK, 16)) for c in centres])
     ids = np.arange(len(vectors))
     queries = vectors[::97]
-    q, c, s, scored = topk.search(ids[::97], queries, ids, vectors, 10)
+    q, c, s, scored = topk.search(ids[::97], queries, np.full(len(queries), -(1 << 62)), ids, vectors, 10)
     assert scored < 0.6 * len(queries) * 20
     for i in (0, 5, len(queries) - 1):
         own = ids[::97][i]
@@ -47,5 +47,29 @@ def test_blocks_below_the_kth_are_passed_over():
 
 
 def test_few_candidates_and_lengths():
-    q, c, s, _ = topk.search(np.array([1]), np.array([[2, 3]]), np.array([1, 5, 4]), np.array([[2, 3], [1, 0], [1, 0]]), 20)
+    q, c, s, _ = topk.search(np.array([1]), np.array([[2, 3]]), np.array([-(1 << 62)]), np.array([1, 5, 4]), np.array([[2, 3], [1, 0], [1, 0]]), 20)
     assert list(zip(c.tolist(), s.tolist())) == [(4, 2), (5, 2)]
+
+
+def test_ranges_of_similar_vectors_share_thresholds(spark, monkeypatch):
+    """Vectors of forty directions in any order: the ranges gather them, and most pairs of a query and a block are passed over."""
+    monkeypatch.setattr(topk, "CELL_BLOCKS", 4)
+    draw = np.random.default_rng(6)
+    centres = draw.integers(-60, 60, (40, 16))
+    rows = [(i, (centres[i * 7 % 40] + draw.integers(-3, 4, 16)).tolist()) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    queries = frame.filter("vec_id % 300 = 0").withColumnRenamed("vec_id", "query_id")
+    scored, all_pairs = topk.pairs_scored(queries, frame, 10)
+    assert scored < 0.25 * all_pairs, (scored, all_pairs)
+    got = sorted(map(tuple, topk.top_k(queries, frame, 10).collect()))
+    want = []
+    for q in range(0, 6000, 300):
+        best = sorted((-sum(a * b for a, b in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:10]
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_products_beyond_64_bits_saturate():
+    big = np.array([[1 << 62, 1 << 62]])
+    assert topk._product(big, big).tolist() == [[(1 << 63) - 1]] and topk._product(big, -big).tolist() == [[-(1 << 63)]]
+    assert topk._product(np.array([[1 << 31]]), np.array([[1 << 30]])).tolist() == [[1 << 61]]
