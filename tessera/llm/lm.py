@@ -1,39 +1,39 @@
 """Language-model scoring: word counts over all training texts, and a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts a token from the two before it: q = x(c1) C1 + x(c2) C2, and the score of class w
-is q . r(w) + b(w). Classes are the most frequent training words and the end, and one class for all other
-words, which is dealt into groups with representations of their own: blocks of words next to each other by
-falling count, as far as workers hold counts, and the others by hash, in as many groups as the square root
-of their number. A word of a block is told from the others by its place in it (q . c(place), and its
-count); a hashed word has its share of its group's training tokens, with one more part for words never
-seen. x(w) is r(w), or the sum of r(class of the others), group and place (a second hash for the hashed).
-Sums of exponentials over all classes, groups and places of a block normalise each context.
+The model predicts an item from the two before it: q = r(c1) C1 + r(c2) C2, and the score of item w is
+q . r(w) + b(w). Items are the most frequent training words, the end of a text, and groups of all other words
+by their last two bytes (and, once these do not suffice, by a hash of the word). The number of items grows as
+the square root of the number of distinct words, so what the model learns grows with the corpus. A word has
+its share of its group's training tokens, with one more part for words never seen. Sums of exponentials
+over all items, by batched matrix products, normalise each context.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, row_map, settle, table, text_bytes
-from tessera.llm.shingles import mixed
 
 #: Stands for the end of a text among tokens: white space, so no word is the same.
 END = b" "
-#: Words whose counts every worker holds, at most; the others are joined. Classes of the model; its width.
-HEAD, CLASSES, WIDTH = 150_000, 1024, 24
-#: Noise words for each minibatch, contexts in one, learning rate, and what a worker counts before it hands on.
-NOISE, BATCH, RATE, KEPT = 48, 8192, 0.3, 200_000
-#: Tokens scored at once.
-CHUNK = 400_000
+#: Words whose counts every worker holds, at most; the others are joined. Words that are items of their own, at least; groups by the last bytes, at most; the model's width.
+HEAD, OWN, ENDINGS, WIDTH = 150_000, 1023, 512, 24
+#: Noise items for each minibatch, contexts in one, learning rate, rounds of training, and what a worker counts before it hands on.
+NOISE, BATCH, RATE, ROUNDS, KEPT = 32, 2048, 0.06, 2, 200_000
+#: Training tokens of a part, about, and those that a part is trained on at least in a round, in up to EPOCHS repeats.
+PART_TOKENS, LEAST_TOKENS, EPOCHS = 1_500_000, 600_000, 10
+#: Tokens scored at once; pairs of context items whose sums a worker keeps in a table.
+CHUNK, TABLE = 400_000, 1 << 24
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -61,73 +61,65 @@ def count_words(docs: DataFrame) -> DataFrame:
     return row_map(docs.select(text_bytes().alias("text")), "word binary, n bigint", start, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def group_of(word: bytes, endings: int, splits: int) -> int:
+    return zlib.crc32(word[-2:]) % endings * splits + zlib.crc32(word) % splits
+
+
 @dataclass
 class Head:
-    """The frequent words: place of each by falling count, log10(count + 1), and the totals of the corpus."""
+    """The frequent words, items, and the totals of the corpus. Ids of items: own words by falling count after the end, groups, and the beginning as context alone."""
 
     place: dict[bytes, int]
-    log_count: np.ndarray
+    log_count: np.ndarray  # log10(count + 1) by place
     tokens: int
     distinct: int
     least: int  # words of this count and more are all in place
-    class_log: np.ndarray  # log10 of the classes' shares of the training tokens, class 0 being all other words
-    member_log: np.ndarray  # natural log of a word's share of its block, a row for each block; -inf where there is no word
-    group_log: np.ndarray  # natural log of the groups' shares of class 0: blocks, then groups of hashed words
-    tail_log: np.ndarray  # log10 of the parts that each group of hashed words is dealt into
+    item: np.ndarray  # item of each word in place
+    own: int  # words in place that are items of their own
+    endings: int
+    splits: int
+    item_log: np.ndarray  # natural log of the items' shares of the training tokens
+    group_log: np.ndarray  # log10 of the parts that each group is dealt into
 
     @property
-    def sizes(self) -> tuple[int, int, int]:
-        """Numbers of classes, groups, and places in a block."""
-        return len(self.class_log), len(self.group_log), self.member_log.shape[1]
-
-    def ids(self, at: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """Ids of tokens from their places (-1: not in the head; the last is the end): its class, or beyond all classes the group and the place in it."""
-        k, _, span = self.sizes
-        ids = at + 1
-        block = at >= k - 1
-        ids[block] += 1  # k - 1 own words: classes 1 to k - 1; k is the beginning
-        tails = len(self.tail_log)
-        rare = np.flatnonzero(at < 0)
-        if len(rare):
-            h = np.fromiter((zlib.crc32(words[i]) if i < len(words) else 0 for i in rare.tolist()), np.int64, len(rare))
-            ids[rare] = k + 1 + (len(self.member_log) + h % tails) * span + h // tails % span
-        return ids
+    def items(self) -> int:
+        return len(self.item_log)
 
-    def parts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, group and place of ids; words that are a class have the group and the place after the last."""
-        k, groups, span = self.sizes
-        rest = ids - (k + 1)
-        return np.where(rest < 0, ids, 0), np.where(rest < 0, groups, rest // span), np.where(rest < 0, span, rest % span)
+    def group(self, word: bytes) -> int:
+        return group_of(word, self.endings, self.splits)
 
+    def ids(self, places: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Items of tokens from their places (-1: not in the head); the end is the last token."""
+        ids = self.item[places]
+        rest = np.flatnonzero(places < 0)
+        ids[rest] = [self.own + self.group(words[i]) if i < len(words) else self.own for i in rest.tolist()]
+        return ids
 
-def head_of(counts: DataFrame, size: int = HEAD, classes: int = CLASSES) -> Head:
+
+def head_of(counts: DataFrame, size: int = HEAD, own: int = OWN) -> Head:
     """The most frequent words, as many whole counts as fit into size; counts are grouped before they reach the driver."""
-    by = counts.groupBy((F.floor(F.log2("n") * 16)).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"), F.sum("n").alias("tokens"), F.max((F.col("word") == F.lit(END)).cast("int")).alias("end")).orderBy(F.desc("step")).collect()
+    by = counts.groupBy((F.floor(F.log2("n") * 16)).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"), F.sum("n").alias("tokens")).orderBy(F.desc("step")).collect()
     distinct, tokens = sum(r.words for r in by), sum(r.tokens for r in by)
     least, words = 1 << 62, 0
     for r in by:
         if words + r.words > size:
             break
         words, least = words + r.words, r.least
-    rows = sorted(counts.filter((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r.n, bytes(r.word)))
-    ends = [r for r in rows if bytes(r.word) == END]
-    rows = ends + [r for r in rows if bytes(r.word) != END]  # the end is a class in any case
-    place = {bytes(r.word): i for i, r in enumerate(rows)}
+    rows = sorted(counts.filter((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect(), key=lambda r: (bytes(r.word) != END, -r.n, bytes(r.word)))
+    place = {bytes(r.word): i for i, r in enumerate(rows)}  # the end is an item in any case, the first
     n = np.array([r.n for r in rows], np.float64)
-    own = n[: classes - 1]
-    others = tokens - own.sum()
-    share = (np.concatenate([[others], own]) + 1) / (tokens + len(own) + 1)
-    rest = n[classes - 1 :] + 1
-    span = max(1, int(np.ceil(np.sqrt(len(rest)))))
-    members = np.zeros((-(-len(rest) // span), span))
-    members.ravel()[: len(rest)] = rest
-    tail = np.ones(max(1, int(np.ceil(np.sqrt(distinct - len(rows))))))
-    for r in _tail(counts, least).groupBy((F.crc32("word") % len(tail)).alias("group")).agg(F.sum(F.col("n") + 1).alias("parts")).collect():
-        tail[r.group] += r.parts
-    groups = np.concatenate([members.sum(1), tail])
-    with np.errstate(divide="ignore"):
-        member_log = np.log(members / members.sum(1, keepdims=True))
-    return Head(place, np.log10(n + 1), tokens, distinct, least, np.log10(share), member_log.astype(np.float32), np.log(groups / groups.sum()), np.log10(tail))
+    root = int(np.ceil(np.sqrt(distinct)))
+    own = min(len(rows), max(own, root))
+    endings = max(1, min(ENDINGS, root))
+    splits = max(1, -(-root // endings))
+    parts = np.ones(endings * splits)
+    item = np.array([*range(own), *(own + group_of(word, endings, splits) for word in list(place)[own:]), 0], np.int64)
+    np.add.at(parts, item[own:-1] - own, n[own:] + 1)
+    group = F.crc32(F.substring("word", -2, 2)) % endings * splits + F.crc32("word") % splits
+    for r in _tail(counts, least).groupBy(group.alias("group")).agg(F.sum(F.col("n") + 1).alias("parts")).collect():
+        parts[r.group] += r.parts
+    share = np.concatenate([n[:own] + 1, parts])
+    return Head(place, np.log10(n + 1), tokens, distinct, least, item, own, endings, splits, np.log(share / share.sum()), np.log10(parts))
 
 
 def _tail(counts: DataFrame, least: int) -> DataFrame:
@@ -137,120 +129,85 @@ def _tail(counts: DataFrame, least: int) -> DataFrame:
 
 @dataclass
 class LogBilinear:
-    r: np.ndarray  # classes and the beginning, each WIDTH wide
+    r: np.ndarray  # items and the beginning, each WIDTH wide
     c1: np.ndarray
     c2: np.ndarray
     b: np.ndarray
-    g: np.ndarray  # groups of the other words, and none
-    gb: np.ndarray
-    c: np.ndarray  # places in a group, and none
 
     @staticmethod
     def begin(head: Head, seed: int = 11) -> LogBilinear:
         draw = np.random.default_rng(seed)
-        k, groups, span = head.sizes
-        return LogBilinear(
-            (draw.standard_normal((k + 1, WIDTH)) * 0.3).astype(np.float32),
-            (draw.standard_normal((WIDTH, WIDTH)) * 0.1 + np.eye(WIDTH) * 0.1).astype(np.float32),
-            (draw.standard_normal((WIDTH, WIDTH)) * 0.1).astype(np.float32),
-            (head.class_log * np.log(10)).astype(np.float32),
-            (draw.standard_normal((groups + 1, WIDTH)) * 0.3).astype(np.float32),
-            head.group_log.astype(np.float32),
-            (draw.standard_normal((span + 1, WIDTH)) * 0.1).astype(np.float32),
-        )
+        r, c1, c2 = (draw.standard_normal(x) for x in ((head.items + 1, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH)))
+        return LogBilinear(*(x.astype(np.float32) for x in (r * 0.2, c1 * 0.1 + np.eye(WIDTH) * 0.1, c2 * 0.1 + np.eye(WIDTH) * 0.1, head.item_log)))
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return self.r, self.c1, self.c2, self.b, self.g, self.gb, self.c
+        return self.r, self.c1, self.c2, self.b
 
     def pack(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.arrays()])
 
     @staticmethod
-    def unpack(flat: np.ndarray, sizes: tuple[int, int, int]) -> LogBilinear:
-        k, groups, span = sizes
-        shapes = [(k + 1, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (k,), (groups + 1, WIDTH), (groups,), (span + 1, WIDTH)]
+    def unpack(flat: np.ndarray, items: int) -> LogBilinear:
+        shapes = [(items + 1, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (items,)]
         parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(x)) for x in shapes])[:-1])
         return LogBilinear(*[part.reshape(x) for part, x in zip(parts, shapes)])
 
-    def train(self, head: Head, before1: np.ndarray, before2: np.ndarray, word: np.ndarray, weight: np.ndarray, noise: tuple[np.ndarray, np.ndarray], draw: np.random.Generator, squares: list[np.ndarray]) -> None:
-        """One pass of noise-contrastive estimation over weighted (context, word) rows of ids, in minibatches of matrix products."""
-        _, _, span = head.sizes
-        log_noise = [np.log(x * NOISE).astype(np.float32) for x in noise]
-        for at in np.array_split(draw.permutation(len(word)), max(1, len(word) // BATCH)):
-            if not len(at):
-                continue
-            (x, xg, xc), (y, yg, yc), (w, wg, wc) = (head.parts(ids[at]) for ids in (before1, before2, word))
-            n = weight[at][:, None]
-            n = n / n.sum()
-            rx, ry = self.r[x] + self.g[xg] + self.c[xc], self.r[y] + self.g[yg] + self.c[yc]
+    def train(self, rows: np.ndarray, noise: np.ndarray, draw: np.random.Generator, squares: list[np.ndarray], epochs: int) -> None:
+        """Noise-contrastive estimation over rows of ids (the item before the last, the last, the item), in minibatches of matrix products. A minibatch takes its rows from all over."""
+        sums, log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
+        small = np.int16 if len(self.r) < 1 << 15 else np.int64
+        steps = max(1, rows.shape[1] // min(BATCH, max(256, rows.shape[1] // 64)))
+        for step in np.concatenate([draw.permutation(steps) for _ in range(epochs)]).tolist():
+            y, x, w = rows[:, step::steps]
+            false = np.minimum(np.searchsorted(sums, draw.random(NOISE) * sums[-1]), len(noise) - 1)
+            rx, ry, rw, rf = self.r[x], self.r[y], self.r[w], self.r[false]
             q = rx @ self.c1 + ry @ self.c2
-            false = draw.choice(len(noise[0]), NOISE, p=noise[0])
-            dq, dw, df, true_error, false_error = _contrast(q, self.r[w], self.r[false], (self.b - log_noise[0])[w], (self.b - log_noise[0])[false], n)
-            db = np.bincount(w, true_error, len(self.b)) + np.bincount(false, false_error, len(self.b))
-            dr = [(w, dw), (false, df)]
-            dg, dc, dgb = [], [], None
-            rare = np.flatnonzero(w == 0)
-            if len(rare):
-                wg, wc = wg[rare], wc[rare]
-                false = draw.choice(len(noise[1]), NOISE, p=noise[1])
-                d, dw, df, true_error, false_error = _contrast(q[rare], self.g[wg], self.g[false], (self.gb - log_noise[1])[wg], (self.gb - log_noise[1])[false], n[rare])
-                dq[rare] += d
-                dgb = np.bincount(wg, true_error, len(self.gb)) + np.bincount(false, false_error, len(self.gb))
-                dg += [(wg, dw), (false, df)]
-                own = np.flatnonzero(wg < len(head.member_log))
-                if len(own):
-                    rows, wg, wc = rare[own], wg[own], wc[own]
-                    false = draw.integers(0, span, NOISE)
-                    even = np.float32(np.log(NOISE / span))
-                    d, dw, df, _, _ = _contrast(q[rows], self.c[wc], self.c[false], head.member_log[wg, wc] - even, head.member_log[wg[:, None], false] - even, n[rows])
-                    dq[rows] += d
-                    dc += [(wc, dw), (false, df)]
-            d1, d2 = dq @ self.c1.T, dq @ self.c2.T
-            for value, square, changes in ((self.r, squares[0], [(x, d1), (y, d2), *dr]), (self.g, squares[4], [(xg, d1), (yg, d2), *dg]), (self.c, squares[6], [(xc, d1), (yc, d2), *dc])):
-                index = np.concatenate([i for i, _ in changes])
-                order = np.argsort(index, kind="stable")
-                index = index[order]
-                first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-                self._step(value, square, np.add.reduceat(np.concatenate([d for _, d in changes])[order], first), index[first])
+            own = self.b - log_noise
+            true_error = np.einsum("ij,ij->i", q, rw) + own[w]
+            false_error = q @ rf.T + own[false]
+            for s in (true_error, false_error):  # to the probability of being no noise
+                np.clip(s, -30, 30, out=s)
+                np.negative(s, out=s)
+                np.exp(s, out=s)
+                s += 1
+                np.reciprocal(s, out=s)
+            true_error -= 1
+            share = np.float32(1 / len(w))
+            true_error *= share
+            false_error *= share
+            dq = true_error[:, None] * rw
+            dq += false_error @ rf
+            db = np.bincount(w, true_error, len(self.b)) + np.bincount(false, false_error.sum(0), len(self.b))
+            index = np.concatenate([x, y, w, false])
+            change = np.concatenate([dq @ self.c1.T, dq @ self.c2.T, true_error[:, None] * q, false_error.T @ q])
+            order = np.argsort(index.astype(small), kind="stable")
+            index = index[order]
+            first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+            self._step(self.r, squares[0], np.add.reduceat(change[order], first), index[first])
             self._step(self.c1, squares[1], rx.T @ dq)
             self._step(self.c2, squares[2], ry.T @ dq)
             self._step(self.b, squares[3], db.astype(np.float32))
-            if dgb is not None:
-                self._step(self.gb, squares[5], dgb.astype(np.float32))
 
     @staticmethod
     def _step(value: np.ndarray, squares: np.ndarray, change: np.ndarray, at=slice(None)) -> None:
         squares[at] += change * change
-        value[at] -= 0.1 * RATE * change / np.sqrt(squares[at] + 1e-12)
+        value[at] -= RATE * change / np.sqrt(squares[at])
 
     def squares(self) -> list[np.ndarray]:
         return [np.full_like(x, 1e-6) for x in self.arrays()]
 
     def log_sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Log of the sums of exponentials over all classes for contexts of classes (x before, y before that)."""
-        return _log_sums(self.r[x] @ self.c1 + self.r[y] @ self.c2, self.r[:-1], self.b)
-
-
-def _contrast(q: np.ndarray, true: np.ndarray, false: np.ndarray, true_bias: np.ndarray, false_bias: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Changes of q, of the true and of the noise representations, and errors of the true and of the noise words; biases are without the log of the noise."""
-    true_error = (1 / (1 + np.exp(-np.clip((q * true).sum(1) + true_bias, -30, 30))) - 1)[:, None] * n
-    false_error = 1 / (1 + np.exp(-np.clip(q @ false.T + false_bias, -30, 30))) * n
-    return true_error * true + false_error @ false, true_error * q, false_error.T @ q, true_error[:, 0], false_error.sum(0)
-
-
-def _log_sums(q: np.ndarray, rows: np.ndarray, bias: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """Log of the sums of exponentials of q . rows + bias, by batched products; with group, bias has a row for each group."""
-    out = np.empty(len(q), np.float32)
-    own = np.ascontiguousarray(rows.T)
-    weight = np.exp(bias)
-    for i in range(0, len(q), 512):
-        s = q[i : i + 512] @ own
-        top = max(0.0, float(s.max(initial=0.0)) - 60)
-        if top:
-            s -= top
-        np.exp(s, out=s)
-        out[i : i + 512] = np.log(s @ weight if group is None else np.einsum("ij,ij->i", s, weight[group[i : i + 512]])) + top
-    return out
+        """Log of the sums of exponentials over all items for contexts (x before, y before that), by batched products."""
+        out = np.empty(len(x), np.float32)
+        own, weight = np.ascontiguousarray(self.r[:-1].T), np.exp(self.b)
+        for i in range(0, len(x), 512):
+            s = (self.r[x[i : i + 512]] @ self.c1 + self.r[y[i : i + 512]] @ self.c2) @ own
+            top = max(0.0, float(s.max(initial=0.0)) - 60)
+            if top:
+                s -= top
+            np.exp(s, out=s)
+            out[i : i + 512] = np.log(s @ weight) + top
+        return out
 
 
 def _places(place: dict[bytes, int], words: list[bytes]) -> np.ndarray:
@@ -259,64 +216,114 @@ def _places(place: dict[bytes, int], words: list[bytes]) -> np.ndarray:
     return np.append(at, place.get(END, -1))
 
 
+def contexts(ids: list[np.ndarray], begin: int) -> np.ndarray:
+    """Rows of the item before the last, the last, and the item, for the tokens of some texts one after the other."""
+    w = np.concatenate(ids)
+    ends = np.cumsum([len(x) for x in ids])
+    starts = np.concatenate([[0], ends[:-1]])
+    x, y = np.concatenate([[begin], w[:-1]]), np.concatenate([[begin, begin], w[:-2]])[: len(w)]
+    x[starts] = y[starts] = begin
+    y[starts[ends - starts > 1] + 1] = begin
+    return np.stack([y, x, w])
+
+
+def learn(model: LogBilinear, ids: list[np.ndarray], noise: np.ndarray, seed: int) -> None:
+    """Trains on the items of some texts."""
+    rows = contexts(ids, len(model.b)).astype(np.int32)
+    model.train(rows, noise, np.random.default_rng(seed), model.squares(), min(EPOCHS, max(1, LEAST_TOKENS // rows.shape[1])))
+
+
 def fit(docs: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
-    """Trains on every given text: each task makes one pass over its own counted contexts from a common start, and the parameters are averaged, weighted by tokens.
+    """Trains on every given text (doc_id, text), in ROUNDS rounds.
 
-    There is one pass over the corpus, from the shares of classes and groups. Averages are summed by parameter in a shuffle, so the driver gets as many rows as the model has parameters.
+    Texts as items are dealt into parts of about PART_TOKENS tokens by a hash of id and text, so the parts, and up to
+    rounding the model, do not depend on how the input is partitioned. In a round every part starts from the common
+    parameters and passes over its tokens once, small parts several times; the average, weighted by tokens, is the next round's start.
+    Averages are summed in tasks and in a shuffle; the driver gets as many numbers as the model has parameters.
     """
-    k, sizes = len(head.class_log), head.sizes
     model = LogBilinear.begin(head)
     if not head.tokens:
         return model
     context = docs.sparkSession.sparkContext
-    noise = tuple(x**0.75 / (x**0.75).sum() for x in (10**head.class_log, np.exp(head.group_log)))
-    shared = context.broadcast((head, noise, model.pack()))
+    noise = np.exp(head.item_log * 0.75)
+    shared = context.broadcast(head)
 
-    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-        head, noise, flat = shared.value
+    def encode() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+        head = shared.value
 
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            own = LogBilinear.unpack(flat.copy(), sizes)
-            squares = own.squares()
-            draw = np.random.default_rng(seed + TaskContext.get().partitionId())
-            n = 0
-            held: list[np.ndarray] = []
-            size = 0
-            for (text,) in rows:
+            for h, text in rows:
                 words = tokens_of(text)
-                c = head.ids(_places(head.place, words), words)
-                held.append(np.stack([np.concatenate([[k, k], c[:-2]])[: len(c)], np.concatenate([[k], c[:-1]]), c]))
-                size += len(c)
-                if size >= 4 * CHUNK:
-                    _learn(own, head, np.concatenate(held, axis=1), noise, draw, squares)
-                    n, held, size = n + size, [], 0
-            if size:
-                _learn(own, head, np.concatenate(held, axis=1), noise, draw, squares)
-                n += size
+                ids = head.ids(_places(head.place, words), words).astype(np.int32).tobytes()
+                yield (h, ids), len(ids)
+
+        return step
+
+    own = docs.select(F.xxhash64("doc_id", "text").alias("h"), text_bytes().alias("text"))
+    encoded = row_map(own, "h bigint, ids binary", encode, pa.schema([("h", pa.int64()), ("ids", pa.binary())]))
+    parts = max(1, -(-head.tokens // PART_TOKENS))
+    encoded = settle(encoded.repartition(parts, "h").sortWithinPartitions("h", "ids").select(F.spark_partition_id().alias("part"), "ids"))
+    for turn in range(ROUNDS):
+        start = context.broadcast((noise, model.pack()))
+        model = _average(encoded, head.items, start, seed + turn)
+        start.unpersist()
+    return model
+
+
+def _average(encoded: DataFrame, items: int, start, seed: int) -> LogBilinear:
+    def begin() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+        noise, flat = start.value
+
+        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+            total, n = np.zeros(len(flat)), 0
+            for part, texts in groupby(rows, key=lambda row: row[0]):
+                held, size = [], 0
+                own = LogBilinear.unpack(flat.copy(), items)
+                for _, ids in texts:
+                    held.append(np.frombuffer(ids, np.int32).astype(np.int64))
+                    size += len(held[-1])
+                    if size >= 2 * PART_TOKENS:  # of a part that very long texts have made larger
+                        learn(own, held, noise, seed + part)
+                        total, n = total + own.pack().astype(np.float64) * size, n + size
+                        held, size, own = [], 0, LogBilinear.unpack(flat.copy(), items)
+                if held:
+                    learn(own, held, noise, seed + part)
+                    total, n = total + own.pack().astype(np.float64) * size, n + size
             if n:
-                flat_own = own.pack().astype(np.float64) * n
-                for i in range(0, len(flat_own), 64):
-                    yield (i, flat_own[i : i + 64], n), 600
+                for i in range(0, len(total), 64):
+                    yield (i, total[i : i + 64], n), 600
 
         return step
 
     schema = pa.schema([("at", pa.int64()), ("part", pa.list_(pa.float64())), ("n", pa.int64())])
-    parts = row_map(docs.select(text_bytes().alias("text")), "at bigint, part array<double>, n bigint", start, schema)
+    parts = row_map(encoded, "at bigint, part array<double>, n bigint", begin, schema)
     sums = parts.groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(F.get("part", F.lit(i))).alias(f"p{i}") for i in range(64)]).collect()
-    flat = np.zeros(len(model.pack()))
+    flat = np.zeros(len(start.value[1]))
     for row in sums:
         values = [row[f"p{i}"] for i in range(64)]
         values = [v for v in values if v is not None]
         flat[row["at"] : row["at"] + len(values)] = np.array(values) / row["n"]
-    return LogBilinear.unpack(flat, sizes)
+    return LogBilinear.unpack(flat, items)
 
 
-def _learn(own: LogBilinear, head: Head, rows: np.ndarray, noise: tuple[np.ndarray, np.ndarray], draw: np.random.Generator, squares: list[np.ndarray]) -> None:
-    """Rows are ids: the word before the last, the last, the word. Equal ones are counted, told apart by 64 bits."""
-    y, x, w = rows.astype(np.uint64)
-    keys = mixed(mixed(mixed(y) + x) + w)
-    _, first, n = np.unique(keys, return_index=True, return_counts=True)
-    own.train(head, rows[1, first], rows[0, first], rows[2, first], n.astype(np.float32), noise, draw, squares)
+_sums: dict[str, np.ndarray] = {}
+
+
+def _kept_sums(model: LogBilinear, name: str, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Log sums of contexts; those of a model with few enough items are kept by the worker from task to task."""
+    n = len(model.b) + 1
+    keys = y * n + x
+    if n * n > TABLE:
+        met, back = np.unique(keys, return_inverse=True)
+        return model.log_sums(met % n, met // n)[back]
+    if name not in _sums:
+        _sums.clear()
+        _sums[name] = np.full(n * n, np.nan, np.float32)
+    kept = _sums[name]
+    new = np.unique(keys[np.isnan(kept[keys])])
+    if len(new):
+        kept[new] = model.log_sums(new % n, new // n)
+    return kept[keys]
 
 
 def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) -> DataFrame:
@@ -324,63 +331,37 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) ->
 
     docs: doc_id, text; other columns are ignored. Returns a row for each row: doc_id, n_tokens, n_known,
     base_score (add-one unigram), score (log10 probability by the model). A null or empty text is its end
-    alone. Repeated rows are scored each. Words of the head are looked up; all others meet their counts in
-    a join by word, none of them frequent enough to fill a task.
+    alone. Repeated rows are scored each; very long texts whole. An empty table gives none. Words of the head are
+    looked up; all others meet their counts in a join by word, none of them frequent enough to fill a task.
     """
-    k = len(head.class_log)
     shared = docs.sparkSession.sparkContext.broadcast((head, model))
+    name = uuid.uuid4().hex
 
     def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
         head, model = shared.value
-        own = [(x @ model.c1, x @ model.c2) for x in (model.r, model.g, model.c)]
-        blocks, n_ids = len(head.member_log), k + 1 + head.sizes[1] * head.sizes[2]
+        before1, before2 = model.r @ model.c1, model.r @ model.c2
 
         def flush(held: list[tuple]) -> Iterator[tuple]:
             at = np.concatenate([h[2] for h in held])
-            ends = np.cumsum([len(h[2]) for h in held])
-            c = np.concatenate([h[4] for h in held])
-            before1 = np.concatenate([[k], c[:-1]])
-            before2 = np.concatenate([[k, k], c[:-2]])[: len(c)]
-            begin = np.concatenate([[0], ends[:-1]])
-            before1[begin] = k
-            before2[begin] = k
-            second = begin[ends - begin > 1] + 1
-            before2[second] = k
-            context, place = np.unique(before2 * n_ids + before1, return_inverse=True)
-            x, y = head.parts(context % n_ids), head.parts(context // n_ids)
-            q = sum(own[i][0][x[i]] + own[i][1][y[i]] for i in range(3))
-            w, group, code = head.parts(c)
-
-            def logs_of(at: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-                out = np.empty(len(at), np.float64)
-                for i in range(0, len(at), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    out[s] = (q[place[at[s]]] * rows[target[at[s]]]).sum(1)
-                return out
-
-            everywhere = np.arange(len(c))
-            logs = logs_of(everywhere, model.r, w) + model.b[w] - _log_sums(q, model.r[:-1], model.b)[place]
-            rare = np.flatnonzero(w == 0)
-            if len(rare):
-                met, back = np.unique(place[rare], return_inverse=True)
-                logs[rare] += logs_of(rare, model.g, group) + model.gb[group[rare]] - _log_sums(q[met], model.g[:-1], model.gb)[back]
-            inner = rare[group[rare] < blocks]
-            if len(inner):
-                logs[inner] += logs_of(inner, model.c, code) + head.member_log[group[inner], code[inner]] - _log_sums(q[place[inner]], model.c[:-1], head.member_log, group[inner])
+            y, x, w = contexts([h[4] for h in held], head.items)
+            begin = np.concatenate([[0], np.cumsum([len(h[2]) for h in held])[:-1]])
+            logs = np.empty(len(w), np.float64)
+            for i in range(0, len(w), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                logs[s] = np.einsum("ij,ij->i", before1[x[s]] + before2[y[s]], model.r[w[s]])
+            logs += model.b[w] - _kept_sums(model, name, y, x)
             logs /= np.log(10)
             known = at >= 0
             log_count = np.where(known, head.log_count[np.maximum(at, 0)] if len(head.log_count) else 0.0, 0.0)
-            inside = np.zeros(len(c))  # of a hashed word: its part of the group; unseen and rare words get theirs by the join
-            tail = np.flatnonzero((w == 0) & (group >= blocks))
-            inside[tail] = -head.tail_log[group[tail] - blocks]
+            inside = np.zeros(len(w))  # a word's part of its group; unseen and rare words get theirs by the join
+            grouped = np.flatnonzero(w >= head.own)
+            inside[grouped] = log_count[grouped] - head.group_log[w[grouped] - head.own]
             base = np.add.reduceat(log_count, begin)
             total = np.add.reduceat(logs + inside, begin)
             n_known = np.add.reduceat(known.astype(np.int64), begin)
             unit = np.log10(head.tokens + head.distinct + 1)
             for (uid, doc_id, places, rare, _), b, t, m in zip(held, base, total, n_known):
-                yield (b"\xff%d" % uid, uid, doc_id, len(places), int(m), float(b - unit * len(places)), float(t), 0), 80
-                for word, n in Counter(rare).items():
-                    yield (word, uid, None, 0, 0, 0.0, 0.0, n), 80
+                yield (uid, doc_id, len(places), int(m), float(b - unit * len(places)), float(t), rare), 80 + 20 * len(rare)
 
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
             held, size = [], 0
@@ -397,27 +378,20 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) ->
 
         return step
 
-    schema = pa.schema([("word", pa.binary()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("total", pa.float64()), ("n", pa.int64())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("total", pa.float64()), ("rare", pa.list_(pa.binary()))])
     rows = row_map(
         docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")),
-        "word binary, uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, total double, n bigint",
+        "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, total double, rare array<binary>",
         start,
         schema,
     )
+    own = F.concat(F.unhex(F.lit("FF")), F.col("uid").cast("string").cast("binary"))  # no word: so rows of texts spread too
+    of_text = ["doc_id", "n_tokens", "n_known", "base", "total"]
+    rows = rows.select("uid", *of_text, F.posexplode(F.concat(F.array(own), "rare")).alias("at", "word"))
+    rows = rows.select("uid", "word", *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in of_text])
     rare = _tail(counts, head.least).select("word", F.log10(F.col("n") + 1).alias("part"))
-    joined = rows.join(rare, "word", "left")
-    part = F.col("n") * F.coalesce("part", F.lit(0.0))
-    return (
-        joined.groupBy("uid")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("part").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + part).alias("base_score"),
-            F.sum(F.col("total") + part).alias("score"),
-        )
-        .drop("uid")
-    )
+    totals = rows.join(rare, "word", "left").groupBy("uid").agg(*[F.max(c).alias(c) for c in of_text], F.count("part").alias("met"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("parts"))
+    return totals.select("doc_id", "n_tokens", (F.col("n_known") + F.col("met")).alias("n_known"), (F.col("base") + F.col("parts")).alias("base_score"), (F.col("total") + F.col("parts")).alias("score"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
