@@ -82,6 +82,11 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: l
     return joined.select(*left.columns, *[F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in others])
 
 
+def sample_bound(n: int, wanted: int) -> int:
+    """The 63-bit hashes below it are about wanted of n, never none in the long run: a bound in whole numbers, whatever n is."""
+    return (1 << 63) - 1 if n <= wanted else max(1, (wanted << 63) // n)
+
+
 def held_out(doc_id: str | Column, buckets: int, remainder: int) -> Column:
     """True where crc32 of the id as text leaves that remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % buckets == remainder, F.lit(False))

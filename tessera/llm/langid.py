@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, row_map, table
+from tessera.llm.common import held_out, row_map, sample_bound, table
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -181,20 +181,22 @@ class Models:
 def train(docs: DataFrame, path: str) -> Models:
     """Models of every language among the given labelled rows (text, lang), null labels aside.
 
-    About SAMPLE_DOCS rows of each language are used, by a hash of the text; each language is fitted in a
-    task of its own, whose input that bound holds.
+    About SAMPLE_DOCS different texts of each language are used, those whose hash is below a bound that their
+    number sets, each as often as it is labelled so; each language is fitted in a task of its own, whose input
+    that bound holds. Repeated rows count each, very long texts whole. An empty table gives no models.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return Models([], [], set())
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, SAMPLE_DOCS / n) * 1_000_000))])
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
+    bounds = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, sample_bound(n, SAMPLE_DOCS))])
+    sample = labelled.filter(F.col("h") <= bounds[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
-        for text in rows["text"]:
-            counts.update(words_of(text))
+        for text, n in zip(rows["text"], rows["n"]):
+            for word, k in Counter(words_of(text)).items():
+                counts[word] += k * n
         prob = fit(counts, vocabulary(path))
         return pd.DataFrame({"lang": key[0], "piece": list(prob), "prob": list(prob.values())})
 

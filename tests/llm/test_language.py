@@ -44,11 +44,57 @@ def test_languages(spark):
     assert langid.identify(frame(spark, rows), none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_query_against_brute_force(spark, tmp_path):
+    """op5's rows, with every word's probability summed over all its segmentations from the end, each language by itself."""
+    import math
+    import zlib
+    from functools import lru_cache
+
+    rows = [(i, f"{t} {i}" if i % 7 else t.upper(), lang) for i, (lang, t) in enumerate((x for _ in range(8) for x in TEXTS.items()))]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "12 !", "fr"), (103, "the hund et", None), (None, TEXTS["de"], "de"), (1, rows[1][1], "de"), (104, "word " * 3000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.op5_language_id(spark, str(tmp_path))
+    assert got.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    models = langid.train(spark.createDataFrame([(t, lang) for d, t, lang in rows if not out(d)], "text string, lang string"), PATH)
+
+    def log_prob(word, k):
+        s = langid.START + word
+
+        @lru_cache(None)
+        def rest(i):
+            if i == len(s):
+                return 1.0
+            return sum((models.table[s[i:j]][k] if models.table.get(s[i:j]) else models.floor[k] if j == i + 1 else 0.0) * rest(j) for j in range(i + 1, len(s) + 1))
+
+        return math.log(rest(0))
+
+    want = []
+    for d, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            want.append((d or -1, out(d), "und", 0.0))
+            continue
+        totals = [sum(log_prob(w, k) for w in langid.words_of(text)) for k in range(3)]
+        best = max(range(3), key=lambda k: (totals[k], -k))
+        want.append((d or -1, out(d), models.langs[best], round(1 / sum(math.exp(x - totals[best]) for x in totals), 6)))
+    assert sorted((r.doc_id or -1, r.held_out, r.lang_pred, round(r.score, 6)) for r in got.collect()) == sorted(want)
+
+
+def test_copies_do_not_crowd_out_a_language(spark, monkeypatch):
+    """A language whose labelled rows are copies of a few texts is learned, and the sample stays bounded."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 3)
+    rows = [(TEXTS["de"], "de")] * 400 + [(TEXTS["en"] + f" {i}", "en") for i in range(50)] + [(TEXTS["fr"], "fr")] * 9
+    models = langid.train(spark.createDataFrame(rows, "text string, lang string"), PATH)
+    assert models.langs == ["de", "en", "fr"]
+
+
 def test_held_out_accuracy(spark):
+    import pytest
+
     from tests.llm.test_queries import SMALL, available
 
     if not available():
-        return
+        pytest.skip("the tables are not there")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = langid.op5_language_id(spark, SMALL).filter("held_out").join(docs.select("doc_id", "lang", "n_chars"), "doc_id").filter("n_chars > 60").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) > 0
