@@ -43,7 +43,9 @@ EXCLUSION_TAGS = [
     ("위험활동", ["전문등반", "글라이더", "스카이다이빙", "행글라이딩", "전문적인 등산", "모터보트", "자동차경기"]), ("무면허운전", ["무면허"]),
     ("음주운전", ["음주운전", "주취운전", "주취 상태"]), ("직업위험", ["직업, 직무", "직무 또는 동호회"]),
 ]
-SEGMENT = r"보험|약관|특약|지급|보장|계약|청약|갱신|면책|진단|수술|입원|치료|보험금|해지|납입"
+# Words of the subject, by which questions are told into segments.
+SEGMENT = ["소득보장수술", "중환자실", "간병인", "입원급여금", "입원비보험", "충치", "치아우식증", "특약", "준용", "갱신", "해약환급금", "감액", "연체", "청약철회", "면책", "담보"]
+
 
 
 def classify(question: Column) -> Column:
@@ -101,3 +103,8 @@ def signal(score: Column) -> Column:
 
 def context_budget(prompt_tokens: Column) -> Column:
     return F.lit(8192 - 2048 - 256) - prompt_tokens
+
+
+def segment(question: Column, words: list[str] = SEGMENT) -> Column:
+    """domain if the question has any of the words, else general."""
+    return F.when(reduce(lambda a, b: a | b, (question.contains(w) for w in words)), "domain").otherwise("general")

@@ -179,7 +179,7 @@ def routes(spark, sf_dir):
     return (
         frame(spark, sf_dir, QUESTIONS)
         .withColumn("route", routing.classify(question))
-        .select("id", "route.*", *[routing.gate(g, question).alias(f"gate_{g}") for g in routing.GATES], *[c.alias(f"intent_{n}") for n, c in intent.items()], routing.disease_code(question).alias("code"), routing.first_match(question, routing.COVERAGE_HINTS).alias("hint"), routing.keyword(question, routing.TERMS_COVERAGES).alias("terms_hint"), question.rlike(routing.SEGMENT).alias("domain"))
+        .select("id", "route.*", *[routing.gate(g, question).alias(f"gate_{g}") for g in routing.GATES], *[c.alias(f"intent_{n}") for n, c in intent.items()], routing.disease_code(question).alias("code"), routing.first_match(question, routing.COVERAGE_HINTS).alias("hint"), routing.keyword(question, routing.TERMS_COVERAGES).alias("terms_hint"), (routing.segment(question) == "domain").alias("domain"))
     )
 
 
@@ -197,7 +197,7 @@ select id, strategy, case when strategy = 'bm25_heavy' then 'structured_lookup'
   case strategy when 'bm25_heavy' then 3 when 'dense_heavy' then 8 else 6 end as dense_factor, case strategy when 'bm25_heavy' then 8 when 'dense_heavy' then 3 else 6 end as bm25_factor,
   {', '.join(f'{has(p)} as gate_{n}' for n, p in routing.GATES.items())},
   {_first_sql([(w, w) for w in routing.PAYOUT_COVERAGES])} as intent_coverage, {_first_sql(routing.CAUSES, True)} as intent_cause, {_first_sql(routing.AGES, True)} as intent_age_band, {_first_sql(routing.PERIODS, True)} as intent_period_bucket,
-  coalesce(nullif(regexp_extract(question, '[A-Z]\\d{{2}}(?:\\.\\d)?'), ''), {_first_sql(routing.DISEASE_CODES)}) as code, {_first_sql(routing.COVERAGE_HINTS)} as hint, {_first_sql([(w, w) for w in routing.TERMS_COVERAGES])} as terms_hint, {has(routing.SEGMENT)} as domain
+  coalesce(nullif(regexp_extract(question, '[A-Z]\\d{{2}}(?:\\.\\d)?'), ''), {_first_sql(routing.DISEASE_CODES)}) as code, {_first_sql(routing.COVERAGE_HINTS)} as hint, {_first_sql([(w, w) for w in routing.TERMS_COVERAGES])} as terms_hint, {has('|'.join(routing.SEGMENT))} as domain
 from k
 """
 
