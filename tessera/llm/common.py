@@ -64,19 +64,23 @@ def settle(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: list[str]) -> DataFrame:
-    """Left join with a settled right side of unique keys, of which n says how many left rows each may meet.
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join with a settled right side of unique keys, of which n says how many left rows each may meet.
 
-    Keys with more than HOT_ROWS and a HOT_SHARE of all n go to every task (at most 1 / HOT_SHARE rows); left
-    rows that meet one of them are dealt out by a hash of the columns spread, all others by their keys.
+    Keys with more than HOT_ROWS and a HOT_SHARE of all n go to every task (at most 1 / HOT_SHARE rows), so left
+    rows that meet one of them do not move (inner), or are dealt out by a hash of the columns spread (left);
+    all others move by their keys.
     """
     others = [c for c in right.columns if c not in keys]
     bound = max(HOT_ROWS, (right.agg(F.sum(n)).first()[0] or 0) * HOT_SHARE)
-    own = F.struct(*others)
-    hot = right.filter(F.col(n) > bound).select(*keys, own.alias("_hot"))
+    hot, cold = right.filter(F.col(n) > bound), right.filter(F.col(n) <= bound)
     if hot.isEmpty():
-        return left.join(right, keys, "left")
-    cold = right.filter(F.col(n) <= bound).select(*keys, own.alias("_cold"), F.lit(0).cast("bigint").alias("_salt"))
+        return left.join(right, keys, how).select(*left.columns, *others)
+    if how == "inner":
+        rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+        return left.join(F.broadcast(hot), keys).select(*left.columns, *others).union(rest.select(*left.columns, *others))
+    hot = hot.select(*keys, F.struct(*others).alias("_hot"))
+    cold = cold.select(*keys, F.struct(*others).alias("_cold"), F.lit(0).cast("bigint").alias("_salt"))
     met = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*spread)))
     joined = met.join(cold, [*keys, "_salt"], "left")
     return joined.select(*left.columns, *[F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in others])

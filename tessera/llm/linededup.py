@@ -127,7 +127,7 @@ def dedup_lines(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
         short = short.groupBy("h1", "h2").agg(F.min(F.struct("oid", "th", "pos")).alias("kept"), spots.alias("n")).filter("n > 1")
         fate = fate.unionByName(short.select("h1", "h2", "n", F.lit(None).cast("boolean").alias("near"), "kept"))
     gone = (F.col("m") >= exact_chars) & F.col("kept").isNotNull() & (F.coalesce("near", F.lit(False)) | (F.col("kept") != F.struct("oid", "th", "pos")))
-    flags = lookup(lines.select("oid", "th", "pos", "m", "h1", "h2"), settle(fate), ["h1", "h2"], "n", ["oid", "th", "pos"]).select("oid", "th", "pos", gone.alias("gone"))
+    flags = lookup(lines.select("oid", "th", "pos", "m", "h1", "h2"), settle(fate), ["h1", "h2"], "n", ["oid", "th", "pos"], "left").select("oid", "th", "pos", gone.alias("gone"))
     flags = flags.groupBy("oid", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "gone"))).alias("flags")).filter(F.exists("flags", lambda x: x.gone)).select("oid", "th", F.transform("flags", lambda x: x.gone).alias("gone"))
     own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("oid"), F.xxhash64("text").alias("th"))
     joined = own.join(flags, ["oid", "th"], "left")

@@ -3,7 +3,7 @@
 Repeats of LENGTH bytes are found in two steps. A window of LENGTH bytes is known by its minimizer, the
 GRAM bytes in it of least hash, so equal windows meet under one key, and runs of windows with the same
 minimizer make one string. Strings whose key is met once hold no repeat; where all strings of a key are
-equal, all of them is repeated. For all other keys the different strings go to tasks that build the
+equal, all of them is repeated. For all other keys one of each of the different strings goes to tasks that build the
 transform of each shard of them and merge these: the interleaving of all shards' suffixes by their first
 k bytes is refined to k + 1 bytes by a stable pass over the transforms' characters, without a comparison of
 suffixes. Blocks of suffixes that are equal so far are the intervals of common prefix k; those of one
@@ -20,15 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_map, row_map, settle, table, text_bytes
+from tessera.llm.common import column_map, lookup, row_map, settle, table, text_bytes
 from tessera.llm.shingles import mixed, powers
 
 #: Bytes of a repeat, of a minimizer, and of the part of a text that is scanned at once.
 LENGTH, GRAM, SCAN = 200, 64, 4 << 20
 #: Bytes of strings that are merged at once, and of a shard.
 MERGE_BYTES, SHARD_BYTES = 4 << 20, 1 << 18
-#: Keys with more occurrences than this and than a HOT_SHARE of all are hot: at most 1 / HOT_SHARE of them.
-HOT, HOT_SHARE = 5000, 1e-5
+#: Bytes of different strings of one key that go to a merge; the windows of keys with more are keys of their own.
+KEY_BYTES = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -56,36 +56,43 @@ def scans(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield at, np.frombuffer(text, np.uint8, min(SCAN + LENGTH - 1, len(text) - at), at)
 
 
-def occurrences(rows: DataFrame, hot: list[int] | None = None) -> DataFrame:
-    """h, s, uid, start, size of each run's string in rows of (uid, text); s is a hash of all its bytes.
+_OCCURRENCE = "h bigint, s bigint, uid bigint, start bigint, size int"
+_OCCURRENCE_ARROW = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("size", pa.int32())])
 
-    With a list of hot keys: of the windows of runs with these keys alone, h being a hash of the window.
-    """
-    shared = None if hot is None else rows.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
 
-    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-        keys = None if shared is None else shared.value
+def occurrences(rows: DataFrame) -> DataFrame:
+    """h, s, uid, start, size of each run's string in rows of (uid, text); h is of its minimizer, s a hash of all its bytes."""
 
+    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            digest, pair = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
+            digest = xxhash.xxh64_intdigest
             for uid, text in rows:
                 for at, data in scans(text):
                     first, count, h = runs(data)
-                    if keys is None:
-                        begin, size = first + at, count + LENGTH - 1
-                    else:
-                        own = np.isin(h, keys)
-                        begin = np.concatenate([np.arange(a, a + n) for a, n in zip(first[own].tolist(), count[own].tolist())] or [np.zeros(0, np.int64)]) + at
-                        size = np.full(len(begin), LENGTH)
-                        h = np.fromiter((pair(text[a : a + LENGTH]) for a in begin.tolist()), np.uint64, len(begin))
+                    begin, size = first + at, count + LENGTH - 1
                     s = np.fromiter((digest(text[a : a + n]) for a, n in zip(begin.tolist(), size.tolist())), np.uint64, len(begin))
                     if len(begin):
                         yield h.view(np.int64), s.view(np.int64), np.full(len(begin), uid), begin.astype(np.int64), size.astype(np.int32)
 
         return step
 
-    schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("size", pa.int32())])
-    return column_map(rows, "h bigint, s bigint, uid bigint, start bigint, size int", start, schema)
+    return column_map(rows, _OCCURRENCE, start, _OCCURRENCE_ARROW)
+
+
+def windows_of(rows: DataFrame) -> DataFrame:
+    """As occurrences, of each window of some strings, in rows of (uid, text, strings array<struct<start, size>>): h and s are two hashes of its bytes."""
+
+    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+            digest, pair = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
+            for uid, text, strings in rows:
+                begin = np.concatenate([np.arange(x["start"], x["start"] + x["size"] - LENGTH + 1) for x in strings])
+                h, s = (np.fromiter((f(text[a : a + LENGTH]) for a in begin.tolist()), np.uint64, len(begin)).view(np.int64) for f in (pair, digest))
+                yield h, s, np.full(len(begin), uid), begin.astype(np.int64), np.full(len(begin), LENGTH, np.int32)
+
+        return step
+
+    return column_map(rows, _OCCURRENCE, start, _OCCURRENCE_ARROW)
 
 
 # ---- shards and their merge
@@ -228,26 +235,30 @@ def merged_repeats(strings: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """uid, spans array<struct<a, b>> of bytes in repeats, for rows (uid, text binary) that have any. Spans may overlap."""
-    found = occurrences(rows)
-    keys = settle(found.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("x"), F.max("s").alias("y")).filter("n > 1"))
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    hot = [r.h for r in keys.filter(F.col("n") > max(HOT, total * HOT_SHARE)).select("h").collect()]
-    cold = keys.filter(F.col("n") <= max(HOT, total * HOT_SHARE))
-    met = settle(found.join(cold.select("h", (F.col("x") != F.col("y")).alias("several")), "h"))
-    whole = met.filter(~F.col("several")).select("uid", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    """uid, spans array<struct<a, b>> of bytes in repeats, for settled rows (uid, text binary) that have any. Spans may overlap."""
+    found = settle(occurrences(rows))
+    keys = settle(found.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("x"), F.max("s").alias("y")).filter("n > 1").select("h", "n", (F.col("x") != F.col("y")).alias("several")))
+    met = settle(lookup(found, keys, ["h"], "n", ["uid", "start"]).drop("n"))
     several = met.filter("several")
     strings = settle(several.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "size")).alias("at")))
-    wanted = strings.groupBy("at.uid").agg(F.collect_list(F.struct("h", "s", "at.start", "at.size")).alias("pieces"))
+    bulk = strings.groupBy("h").agg(F.sum("at.size").alias("bytes"), F.sum("n").alias("n")).filter(F.col("bytes") > KEY_BYTES).select("h", "n", F.lit(True).alias("wide"))
+    bulk = settle(bulk)
+    wide = not bulk.isEmpty()
+    narrow = lookup(strings.withColumnRenamed("n", "copies"), bulk, ["h"], "n", ["s"], "left").filter("wide is null") if wide else strings.withColumnRenamed("n", "copies")
+    wanted = narrow.groupBy("at.uid").agg(F.collect_list(F.struct("h", "s", "at.start", "at.size")).alias("pieces"))
     pieces = rows.join(wanted, "uid").select("text", F.explode("pieces").alias("p")).select("p.h", "p.s", F.expr("substring(text, int(p.start + 1), p.size)").alias("piece"))
-    again = strings.filter("n > 1").select("h", "s", F.lit(0).cast("long").alias("first"), (F.col("at.size") - LENGTH).cast("long").alias("last"))
-    runs_of = merged_repeats(pieces).union(again)
-    part = several.join(runs_of, ["h", "s"]).select("uid", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b"))
-    spans = whole.union(part)
-    if hot:  # so common that their strings would fill a task: their windows are counted one by one, added up before they move
-        windows = occurrences(rows, [h & ((1 << 64) - 1) for h in hot])
-        counted = windows.groupBy("h", "s").agg(F.count("*").alias("n")).filter("n > 1").select("h", "s")
-        spans = spans.union(windows.join(counted, ["h", "s"]).select("uid", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
+    ends = [F.lit(0).cast("long").alias("first"), (F.col("at.size") - LENGTH).cast("long").alias("last")]
+    runs_of = merged_repeats(pieces).union(narrow.filter("copies > 1").select("h", "s", *ends))
+    runs_of = settle(runs_of.groupBy("h", "s").agg(F.collect_list(F.struct("first", "last")).alias("runs")).join(narrow.select("h", "s", "copies"), ["h", "s"]))
+    part = lookup(several.drop("several"), runs_of, ["h", "s"], "copies", ["uid", "start"]).select("uid", "start", F.explode("runs").alias("r"))
+    span = lambda a, b: (a.alias("a"), b.alias("b"))
+    spans = met.filter(~F.col("several")).select("uid", *span(F.col("start"), F.col("start") + F.col("size")))
+    spans = spans.union(part.select("uid", *span(F.col("start") + F.col("r.first"), F.col("start") + F.col("r.last") + LENGTH)))
+    if wide:  # so many different strings that they would fill a task: their windows are counted one by one, added up before they move
+        of_text = lookup(several.drop("several"), bulk, ["h"], "n", ["uid", "start"]).groupBy("uid").agg(F.collect_list(F.struct("start", "size")).alias("strings"))
+        windows = settle(windows_of(rows.join(of_text, "uid")))
+        counted = settle(windows.groupBy("h", "s").agg(F.count("*").alias("n")).filter("n > 1"))
+        spans = spans.union(lookup(windows, counted, ["h", "s"], "n", ["uid", "start"]).select("uid", *span(F.col("start"), F.col("start") + LENGTH)))
     return spans.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -257,10 +268,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Returns a row for each row: doc_id, text binary (the
     bytes as they were), kept binary (those left, which need not be whole characters), spans
     array<struct<a, b>> (maximal removed runs, end exclusive). Matches never cross rows, overlaps count,
-    and the input is judged, not what is left. A null text is empty. Repeated rows repeat each other. An
-    empty table gives none.
+    and the input is judged, not what is left. A null text is empty. Repeated rows repeat each other; very long
+    texts are scanned whole, SCAN bytes at a time. An empty table gives none. Rows are written once, so that
+    their numbers stay the same however often they are read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")))
     joined = rows.join(repeated_spans(rows.select("uid", "text")), "uid", "left").select("doc_id", "text", "spans")
 
     def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:

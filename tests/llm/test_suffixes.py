@@ -28,9 +28,9 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("hot", [5000, 2])
-def test_against_all_windows(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("key_bytes", [4 << 20, 300])
+def test_against_all_windows(spark, monkeypatch, key_bytes):
+    monkeypatch.setattr(suffixes, "KEY_BYTES", key_bytes)
     for rows in (passages(), hard_documents()):
         got = suffixes.remove_repeats(frame(spark, rows)).collect()
         have = [(r.doc_id, len(r.text), sum(s.b - s.a for s in r.spans), len(r.spans), bytes(r.kept)) for r in got]
@@ -55,3 +55,23 @@ def test_suffix_array():
     for n in (1, 2, 17, 200):
         text = draw.integers(0, 3, n).astype(np.int16)
         assert suffixes.suffix_array(text).tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
+
+
+def test_scans_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(suffixes, "SCAN", 1000)
+    for n in (0, 199, 200, 999, 1000, 1199, 1200, 5000):
+        text = bytes(i % 251 for i in range(n))
+        at = [a + i for a, data in suffixes.scans(text) for i in range(len(data) - suffixes.LENGTH + 1)]
+        assert at == list(range(max(0, n - suffixes.LENGTH + 1)))
+
+
+def test_query_and_a_very_long_text(spark, tmp_path):
+    import hashlib
+
+    long = " ".join(words(300_000, 5, 100_000))
+    rows = [*passages(), *hard_documents(), (900, long + long[:300]), (901, long[-250:])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffixes.op2_suffix_dedup(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = [(d, n, gone, spans, hashlib.sha256(kept).hexdigest()) for d, n, gone, spans, kept in brute(rows)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
