@@ -196,3 +196,66 @@ def render_nodes(nodes: Column) -> Column:
     """Markdown of ordered layout nodes (level, content): headings under as many signs as their level, six at most."""
     shown = F.transform(nodes, lambda n: F.when(n.level > 0, F.concat(F.repeat(F.lit("#"), F.least(n.level, F.lit(6))), F.lit(" "), n.content)).otherwise(n.content))
     return F.array_join(shown, "\n\n")
+
+
+#: Titles of clauses as lists or plain lines give them; what follows round brackets must be blank, as references go on at once.
+ARTICLE_TITLE = r"^\s*[-*]?\s*(제\s*\d+\s*조(?:\s*의\s*\d+)?\s*(?:【[^】]*】|\([^)]*\)(?=\s|$)))\s*(.*)$"
+
+
+def repaired_line(line: Column) -> Column:
+    """Lines (array) that a line of markdown becomes: none for leaders of a table of contents, a heading that ends as a sentence does becomes text, a clause's title becomes a heading of level five with what follows on a line of its own."""
+    line = F.regexp_replace(F.regexp_replace(line, r"!\[[^\]]*\]\([^)]*\)", ""), r"(?i)<br\s*/?>", " ")
+    s = strip(line)
+    title = strip(F.regexp_extract(s, r"^#{1,6}\s+(.*)$", 1))
+    fragment = title.rlike(r"(?:다|요|음|함|됨|임)\s*[.。]$") & ~title.rlike(r"제\s*\d+\s*[조관장절편]|별표|【")
+    rest = strip(F.regexp_extract(s, ARTICLE_TITLE, 2))
+    promoted = F.array_compact(F.array(F.concat(F.lit("##### "), strip(F.regexp_extract(s, ARTICLE_TITLE, 1))), F.nullif(rest, F.lit(""))))
+    return (
+        F.when(s.rlike(r"\.{4,}|·{5,}|…{3,}"), F.array().cast("array<string>"))
+        .when(s.rlike(r"^#{1,6}\s+"), F.array(F.when(fragment, title).otherwise(line)))
+        .when(s.rlike(ARTICLE_TITLE), promoted)
+        .otherwise(F.array(line))
+    )
+
+
+def repair_headings(text: Column) -> Column:
+    """A markdown text with repaired_line() for each of its lines."""
+    return F.array_join(F.flatten(F.transform(F.split(text, "\n"), repaired_line)), "\n")
+
+
+def clean_coverage(name: Column) -> Column:
+    """A coverage's name without break tags, white space in one form."""
+    return strip(F.regexp_replace(F.replace(name, F.lit("<br>"), F.lit(" ")), r"\s+", " "))
+
+
+def plain_coverage(name: Column) -> Column:
+    """As clean_coverage, without what stands in brackets."""
+    return clean_coverage(F.regexp_replace(name, r"\([^)]*\)", ""))
+
+
+def converted_well(types: Column) -> Column:
+    """Whether a converter's element types (array) have headings and no mere pieces of text."""
+    return F.array_contains(types, "heading") & ~F.array_contains(types, "text chunk")
+
+
+def page_count(text: Column) -> Column:
+    """Page markers of a text, one at least."""
+    return F.greatest(F.regexp_count(text, F.lit("(?m)" + PAGE_MARKER)), F.lit(1))
+
+
+def pdf_pages(content: Column) -> Column:
+    """The largest count of pages that a PDF's bytes state, 200 where they state none."""
+    counts = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"/Count\s+(\d+)"), F.lit(1)).cast("array<int>")
+    return F.coalesce(F.array_max(counts), F.lit(200))
+
+
+def page_span(own: Column, marks: Column) -> tuple[Column, Column]:
+    """First and last page of a section: the lesser of its heading's page and its first mark, and its last mark or else the heading's page."""
+    return F.least(own, F.array_min(marks)), F.coalesce(F.array_max(marks), own)
+
+
+def rider_title(line: Column) -> Column:
+    """Title of a numbered coverage if a heading is one, else null: no clause, and none of the words of terms and conditions."""
+    t = strip(F.regexp_replace(strip(line), r"^[# ]+|[# ]+$", ""))
+    other = t.contains("정하지") | t.rlike(r"^제\s*\d+\s*조") | t.rlike(r"용어|풀이|경우|명령|소비자|지났을|무효|금지|처리|제한|해당하는|예금자|가이드|목\s*차|요약|보호제도")
+    return F.when(strip(line).startswith("#") & ~other & t.rlike(r"^\d+(-\d+)?\.\s{0,2}\S{2,}"), t)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.barrier import written
+
 #: BM25's constants and that of rank fusion; queries whose vectors go to all workers at once.
 K1, B, RRF_K, QUERY_BLOCK = 1.2, 0.75, 60, 4096
 
@@ -65,13 +67,16 @@ def dense(questions: DataFrame, vectors: DataFrame, limit: int, own: bool = Fals
     """query_id, id, score, rank by cosine of (query_id, vector) with (id, vector): exact.
 
     Questions go to all workers in blocks of a bounded number; each batch of vectors gives its best for each,
-    and the best of these are ranked. own: whether a vector may be found for the question of the same id.
+    and the best of these are ranked. Null vectors, and those with null components, take no part. own: whether a vector may be found for the question of the same id.
     """
+    questions, vectors = (frame.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())) for frame in (questions, vectors))
     n = questions.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
+    found = vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
     for i in range(blocks):
         rows = questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        if not rows:
+            continue
         ids = np.array([r.query_id for r in rows], np.int64)
         matrix = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
@@ -93,7 +98,7 @@ def dense(questions: DataFrame, vectors: DataFrame, limit: int, own: bool = Fals
                 yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(at[order.ravel()][keep]), pa.array(s[keep])], ["query_id", "id", "score"])
 
         part = vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(best, "query_id bigint, id bigint, score double")
-        found = part if found is None else found.union(part)
+        found = found.union(part)
     return top(found, limit)
 
 
@@ -131,12 +136,18 @@ def sufficient(hits: DataFrame, questions: DataFrame, threshold: float = 0.3) ->
 
 
 def corrective(questions: DataFrame, search: Callable[[DataFrame], DataFrame], rewrite: Callable[[Column], Column], retries: int = 2, threshold: float = 0.3) -> DataFrame:
-    """Hits of each question; those that are not enough are rewritten and searched again, a fixed number of times."""
-    hits = search(questions).withColumn("attempt", F.lit(0))
+    """Hits of each question; those that are not enough are rewritten and searched again, a fixed number of times.
+
+    Questions and hits of an attempt are written before the next, so plans do not grow; without questions left there is none.
+    """
+    hits = written(search(questions).withColumn("attempt", F.lit(0)))
+    last = hits
     for attempt in range(1, retries + 1):
-        last = hits.filter(F.col("attempt") == attempt - 1)
-        questions = sufficient(last, questions, threshold).filter("not enough").select("query_id").join(questions, "query_id").withColumn("question", rewrite(F.col("question")))
-        hits = hits.unionByName(search(questions).withColumn("attempt", F.lit(attempt)))
+        questions = written(sufficient(last, questions, threshold).filter("not enough").select("query_id").join(questions, "query_id").withColumn("question", rewrite(F.col("question"))))
+        if questions.isEmpty():
+            break
+        last = written(search(questions).withColumn("attempt", F.lit(attempt)))
+        hits = hits.unionByName(last)
     last = hits.groupBy("query_id").agg(F.max("attempt").alias("attempt"))
     return hits.join(last, ["query_id", "attempt"])
 
@@ -177,7 +188,10 @@ def fit_budget(context: Column, budget: Column | int) -> Column:
 
 
 def hybrid(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 10, factor: int = 6) -> DataFrame:
-    """Dense and lexical search, fused, reranked: query_id, id, score, fused, rank. questions: query_id, question, vector."""
-    index = postings(chunks)
+    """Dense and lexical search, fused, reranked: query_id, id, score, fused, rank. questions: query_id, question, vector.
+
+    The postings are kept by the executors, as the search and the second score both need them more than once.
+    """
+    index = postings(chunks).persist()
     fused = fuse(dense(questions.select("query_id", "vector"), vectors, k * factor), bm25(questions, index, k * factor), limit=k * 3)
     return rerank(fused, coverage_score(questions, index, fused), k)

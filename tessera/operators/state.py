@@ -57,3 +57,12 @@ def replace_documents(spark: SparkSession, rows: DataFrame, path: str, partition
 def checked(rows: DataFrame, **rules) -> DataFrame:
     """Rows whose columns meet all the given conditions; a query that meets one that doesn't fails with its name."""
     return reduce(lambda d, rule: d.filter(F.when(rule[1], F.lit(True)).otherwise(F.raise_error(F.lit(f"not valid: {rule[0]}")).cast("boolean"))), rules.items(), rows)
+
+
+def count_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def recent(rows: DataFrame, at: str, since, key: str) -> DataFrame:
+    """Rows from a time on, the latest first, with their place in that order."""
+    return rows.filter(F.col(at) >= F.lit(since)).orderBy(F.desc(at), key)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import facts
+from tessera.operators.barrier import once
 
 
 def _plain(text: Column) -> Column:
@@ -26,7 +27,7 @@ def verify(answers: DataFrame, judge=None) -> DataFrame:
     reversed meaning.
     """
     a, c = F.col("answer"), F.col("context")
-    staged = answers.withColumns({
+    staged = once(answers, {
         "__refs": _plain(a), "__sources": _plain(c), "__full": F.array_distinct(F.concat(facts.canonicals(facts.article_refs(c)), facts.canonicals(facts.appendix_refs(c)))),
         "__numbers": facts.numeric_facts(a), "__facts": facts.numeric_facts(c), "__claims": facts.claims(a),
     })

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -77,3 +81,29 @@ def running_counts(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 4)]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
+
+
+def task_chain(stream: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], failed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Runs every batch of documents through named steps in turn and returns the rows of each: step, and what it gave, as JSON.
+
+    Each step's rows of a batch overwrite themselves if the batch comes again, so a chain that stops is taken up at the batch
+    it was in. failed: rows that a step may not take (a condition by anti join), which go no further.
+    """
+    spark = stream.sparkSession
+    out = scratch(spark)
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch
+        for i, (name, step) in enumerate(steps):
+            rows = step(rows if failed is None else failed(rows))
+            path = f"{out}/{i:02d}-{name}/batch={number}"
+            rows.write.mode("overwrite").parquet(path)
+            rows = spark.read.parquet(path)
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    found = None
+    for i, (name, _) in enumerate(steps):
+        part = spark.read.parquet(f"{out}/{i:02d}-{name}")
+        part = part.select(F.lit(name).alias("step"), F.to_json(F.struct(*[c for c in part.columns if c != "batch"])).alias("row"))
+        found = part if found is None else found.union(part)
+    return found
