@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import routing
+from tessera.operators.barrier import once
 
 AXES = ("cause", "age_band", "period_bucket")
 NO_RULE = "관련 지급규칙을 찾지 못했습니다(→RAG)."
@@ -19,7 +20,7 @@ def select_payout(questions: DataFrame, rules: DataFrame) -> DataFrame:
     it, which a window over the candidates tells. The most shared words win, then rules without a period, then
     the rules' order (ord).
     """
-    asked = questions.withColumns({f"ask_{n}": c for n, c in routing.payout_intent(F.col("question")).items()}).filter(F.col("ask_coverage").isNotNull())
+    asked = once(questions, {f"ask_{n}": c for n, c in routing.payout_intent(F.col("question")).items()}).filter(F.col("ask_coverage").isNotNull())
     names = rules.select("coverage").distinct().withColumn("key", F.explode(F.array_compact(F.array(*[F.when(F.col("coverage").contains(w), F.lit(w)) for w in routing.PAYOUT_COVERAGES]))))
     pairs = asked.join(names.join(rules, "coverage"), F.col("ask_coverage") == F.col("key"))
     mine = Window.partitionBy("id")
@@ -53,7 +54,7 @@ def format_terms() -> Column:
 
 def resolve_product(questions: DataFrame, products: DataFrame) -> DataFrame:
     """A base product for each question that names one of the known coverages; ties to the least id."""
-    hinted = questions.withColumn("hint", routing.keyword(F.col("question"), routing.TERMS_COVERAGES)).filter(F.col("hint").isNotNull())
+    hinted = once(questions, {"hint": routing.keyword(F.col("question"), routing.TERMS_COVERAGES)}).filter(F.col("hint").isNotNull())
     keys = products.filter(F.col("parent_policy_id").isNull()).withColumn("key", F.explode(F.array_compact(F.array(*[F.when(F.col("product_name").contains(w) | F.col("coverage_name").contains(w), F.lit(w)) for w in routing.TERMS_COVERAGES]))))
     w = Window.partitionBy("id").orderBy("product_id")
     return hinted.join(keys, F.col("hint") == F.col("key")).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "key", "hint")
@@ -131,7 +132,7 @@ def cascade(questions: DataFrame, rules: DataFrame, products: DataFrame, ranges:
     gated = lambda g: questions.filter(routing.gate(g, F.col("question")))
     payout = select_payout(gated("payout"), rules).select("id", format_payout().alias("payout"))
     terms = resolve_product(gated("terms"), products).select("id", format_terms().alias("terms"))
-    asked = gated("coverage").select("id", routing.disease_code(F.col("question")).alias("code"), routing.first_match(F.col("question"), routing.COVERAGE_HINTS).alias("coverage")).filter(F.col("code").isNotNull())
+    asked = once(gated("coverage"), {"code": routing.disease_code(F.col("question")), "coverage": routing.first_match(F.col("question"), routing.COVERAGE_HINTS)}).select("id", "code", "coverage").filter(F.col("code").isNotNull())
     coverage = judge_coverage(asked, ranges).select("id", F.concat_ws(" ", "verdict", "coverage", "redirect_coverage", "evidence").alias("coverage"))
     named = resolve_product(gated("exclusion"), products).select("id", "product_id", "resolution_note")
     said = format_exclusions(exclusions, products.select("product_id", "resolution_note"))

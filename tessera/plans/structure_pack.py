@@ -144,16 +144,35 @@ def asof(spark, sf_dir):
 
 
 def merged(spark, sf_dir):
-    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 10).alias("seq"), F.col("l_returnflag").alias("heading_path"), F.col("l_linenumber").alias("start_page")).dropDuplicates(["doc", "seq"])
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 10).alias("seq"), F.col("l_returnflag").alias("heading_path"), F.col("l_linenumber").alias("start_page")).groupBy("doc", "seq", "start_page").agg(F.min("heading_path").alias("heading_path"))
     seen = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(1000).alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("A")).alias("heading_path"), F.lit(3).alias("start_page"))
     return structure.merge_recognised(chunks, seen)
 
 
+MERGED_SQL = """
+with c as (select l_orderkey as doc, l_linenumber * 10 as seq, min(l_returnflag) as h, l_linenumber as page from lineitem group by l_orderkey, l_linenumber), e as (select doc, max(seq) as e from c group by 1),
+r as (select o_orderkey as doc, e, case when o_orderkey % 2 = 0 then coalesce((select max(seq) from c where c.doc = o_orderkey and h = 'A'), e) + 0.5 else coalesce((select min(seq) from c where c.doc = o_orderkey and page > 3) - 0.5, e + 0.5) end as at_ from orders join e on e.doc = o_orderkey),
+u as (select doc, seq, false as recognised, cast(seq as double) as at_ from c union all select doc, 1000, true, at_ from r)
+select doc, cast(seq as int) as seq, recognised, cast(row_number() over (partition by doc order by at_, recognised, seq) as int) as new_seq from u
+"""
+
+
 def fixed(spark, sf_dir):
     return chunking.fixed_chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")).select("doc", "part", "first", "end", F.md5("content").alias("content_md5"))
 
 
 
+#: Windows one after the other: each ends behind the last blank, line or sentence end in its second half, and the next begins 150 before.
+FIXED_SQL = r"""
+with recursive t as (select doc_id as doc, text, length(text) as n from documents where length(text) > 0),
+w as (select doc, text, n, 0 as at_, case when n <= 800 then n when length(regexp_extract(substr(text, 1, 800), '(?s)^(.*[\n .])', 1)) > 401 then length(regexp_extract(substr(text, 1, 800), '(?s)^(.*[\n .])', 1)) else 800 end as e from t
+ union all select doc, text, n, a, case when a + 800 < n and length(regexp_extract(substr(text, a + 1, 800), '(?s)^(.*[\n .])', 1)) > 401 then a + length(regexp_extract(substr(text, a + 1, 800), '(?s)^(.*[\n .])', 1)) else a + 800 end
+ from (select *, at_ + case when e - at_ > 150 then e - at_ - 150 else 400 end as a from w where n > 800) where a < n),
+p as (select doc, at_, e, case when n <= 800 then text else regexp_replace(substr(text, at_ + 1, e - at_), '^\s+|\s+$', '', 'g') end as c from w)
+select doc, cast(row_number() over (partition by doc order by at_) as int) as part, cast(at_ as int) as first, cast(e as int) as end, md5(c) as content_md5 from p where c <> ''
+"""
+
+
 
 def adaptive(spark, sf_dir):
     marked = structure.heading_paths(lines(spark, sf_dir))
@@ -173,7 +192,7 @@ QUERIES = {
     "d18_contract_terms": (terms, TERMS_SQL),
     "w16_reading_order": (layout, LAYOUT_SQL),
     "j12_nearest_before": (asof, "select p.user_id as doc, p.event_id as id, m.value from (select * from events where event_type <> 'purchase') p asof left join (select * from events where event_type = 'purchase') m on p.user_id = m.user_id and p.event_id >= m.event_id"),
-    "j14_merge_recognised": (merged, None),
-    "d5_fixed_chunks": (fixed, None),
+    "j14_merge_recognised": (merged, MERGED_SQL),
+    "d5_fixed_chunks": (fixed, FIXED_SQL),
     "d1_adaptive_chunks": (adaptive, None),
 }

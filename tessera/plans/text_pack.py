@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import sources
 from tessera.functions import facts, guards, routing, text
 from tessera.plans.base import frame, table
 
@@ -118,7 +119,7 @@ from t
 
 def normalised(spark, sf_dir):
     source = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.lit("  \t \n\n\n\n“end” —  x ····· y  ")).alias("text"))
-    return source.select("doc_id", F.md5(text.squeeze(F.col("text"))).alias("normalised_md5"), text.token_count(F.col("text")).alias("tokens"), F.md5(text.scoring_form(F.col("text"))).alias("scoring_md5"))
+    return source.select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normalised_md5"), text.token_count(F.col("text")).alias("tokens"), F.md5(text.scoring_form(F.col("text"))).alias("scoring_md5"))
 
 
 _T = "translate(text, ' 　‘’“”–—​‌‍﻿', '  ''''\"\"--')"
@@ -278,6 +279,20 @@ p as (select doc, text, list_transform(regexp_extract_all(text, '(?m)^<!-- page:
 select doc, list_min(pages) as first_page, list_max(pages) as last_page, cast(greatest(len(pages), 1) as int) as pages, cast(len(regexp_split_to_array(text, '<!-- page:\d+ -->')) as int) as parts from p
 """
 
+
+
+def markdown_pages(spark, sf_dir):
+    docs = frame(spark, sf_dir, LINES).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("text"))
+    return sources.markdown_pages(docs).select("doc", "page", F.md5("content").alias("content_md5"))
+
+
+MARKDOWN_PAGES_SQL = rf"""
+with d as (select doc, string_agg(line, chr(10) order by pos, line) as text from ({LINES}) group by doc),
+p as (select doc, unnest(list_prepend(null, regexp_extract_all(text, '<!-- page:(\d+) -->', 1))) as page, unnest(regexp_split_to_array(text, '<!-- page:\d+ -->')) as c from d),
+c as (select doc, cast(page as int) as page, {strip_sql('c')} as c from p)
+select doc, page, md5(c) as content_md5 from c where page is not null or c <> ''
+"""
+
 QUERIES = {
     "g1_mask_pii_documents": (mask_documents, _mask_sql("select doc_id, text from documents", "doc_id")),
     "g1_mask_pii_turns": (mask_turns, _mask_sql(GUARDED, "id")),
@@ -291,5 +306,6 @@ QUERIES = {
     "q1_routes_and_intents": (routes, _routes_sql()),
     "v1_references_and_facts": (references, REFERENCES_SQL),
     "v7_verify_answers": (verification, _verification_sql()),
-    "sc9_pages_of_markdown": (page_split, PAGES_SQL),
+    "ag32_page_range": (page_split, PAGES_SQL),
+    "sc9_pages_of_markdown": (markdown_pages, MARKDOWN_PAGES_SQL),
 }
