@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its least node) for every node with a link. edges: a, b of an ordered type; loops and repeats do no harm.
 
     A round is two joins and two aggregations on links; the number of rounds grows with the logarithm of the
-    longest chain. Each round is kept in the shared folder, and compared with the last by count and hashes.
+    longest chain. A node of very many links is one key of the joins, whose side of links adaptive execution
+    splits, as the other side has one row for it. Each round is kept in the shared folder, and compared with the last by count and hashes.
     """
     edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
