@@ -49,7 +49,7 @@ def markdown_pages(docs: DataFrame) -> DataFrame:
 
 
 def layout_nodes(spark: SparkSession, trees: DataFrame) -> DataFrame:
-    """doc, page, id, x0, y1, level, content of all text nodes of layout trees (doc, tree as JSON), however deep."""
+    """doc, page, id, x0, y1, level, content of all text nodes of layout trees (doc, tree as JSON), however deep; a tree that is null or no JSON has none."""
     import json
 
     import pandas as pd
@@ -58,15 +58,20 @@ def layout_nodes(spark: SparkSession, trees: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for doc, tree in zip(frame.doc, frame.tree):
-                stack, i = [json.loads(tree)], 0
+                try:
+                    stack, i = [json.loads(tree)] if tree else [], 0
+                except ValueError:
+                    continue
                 while stack:
                     node = stack.pop()
                     if isinstance(node, list):
                         stack += reversed(node)
                         continue
+                    if not isinstance(node, dict):
+                        continue
                     stack += reversed(node.get("kids") or [])
                     if node.get("content"):
-                        box = node.get("bounding box") or [None, None, None, None]
+                        box = [*(node.get("bounding box") or []), None, None, None, None]
                         rows.append((doc, node.get("page number"), i, box[0], box[3], node.get("heading level"), node["content"]))
                         i += 1
             yield pd.DataFrame(rows, columns=["doc", "page", "id", "x0", "y1", "level", "content"])
@@ -77,3 +82,36 @@ def layout_nodes(spark: SparkSession, trees: DataFrame) -> DataFrame:
 def write_report(section: DataFrame, path: str) -> None:
     """A section of a report as JSON lines."""
     section.write.mode("overwrite").json(path)
+
+
+GOLDEN_SCHEMA = "doc string, section string, field string, expected string, evidence string, labeler string"
+
+
+def read_golden(spark: SparkSession, path: str, schema: str = GOLDEN_SCHEMA) -> DataFrame:
+    """Rows of a golden set in JSON lines; lines that are no JSON are left out."""
+    rows = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The measures of a report in JSON, one object a file: metric, value, in long form; null where the report has none."""
+    rows = spark.read.schema("measures map<string, double>, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.select(F.explode_outer("measures").alias("metric", "value")).filter("metric is not null")
+
+
+def scroll(points: DataFrame, payload: list[str], after=None, page: int = 1000) -> DataFrame:
+    """The next page of points by id with some of their payload: a full scan goes on from the last id of the page before."""
+    rows = points if after is None else points.filter(F.col("id") > after)
+    return rows.select("id", *payload).orderBy("id").limit(page)
+
+
+def sample(points: DataFrame, n: int) -> DataFrame:
+    """n points (id and others) of least hash of their id: the same ones whenever asked."""
+    return points.orderBy(F.xxhash64("id"), "id").limit(n)
+
+
+def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    """path and page count of PDF files, as their bytes state it."""
+    from tessera.functions import text
+
+    return spark.read.format("binaryFile").load(path).select("path", text.pdf_pages(F.col("content")).alias("pages"))
