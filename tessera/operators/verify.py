@@ -31,7 +31,7 @@ def verify(answers: DataFrame, judge=None) -> DataFrame:
         "__refs": _plain(a), "__sources": _plain(c), "__full": F.array_distinct(F.concat(facts.canonicals(facts.article_refs(c)), facts.canonicals(facts.appendix_refs(c)))),
         "__numbers": facts.numeric_facts(a), "__facts": facts.numeric_facts(c), "__claims": facts.claims(a),
     })
-    staged = staged.withColumns({
+    staged = once(staged, {
         "missing_refs": facts.missing(F.col("__refs"), F.col("__sources")),
         "mismatches": facts.missing(_forms(F.col("__numbers")), _forms(F.col("__facts"))),
     })
@@ -39,7 +39,7 @@ def verify(answers: DataFrame, judge=None) -> DataFrame:
     units = F.transform("mismatches", lambda m: F.substring_index(m, ":", -1))
     checked = F.transform("__claims", lambda x: F.struct((F.size(_plain(x)) + F.size(facts.numeric_facts(x)) > 0).alias("verifiable"), F.arrays_overlap(_plain(x), F.col("__sources")).alias("supported")))
     verdict = None if judge is None else judge(a, c)
-    out = staged.withColumns({
+    out = once(staged, {
         "risk": facts.risk(F.col("missing_refs"), units),
         "failure": facts.failure(F.col("missing_refs"), wrong, F.col("__full"), F.col("__facts"), verdict),
         "__checked": checked,
