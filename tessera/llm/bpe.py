@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +13,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_map, table
+from tessera.llm.common import kept, row_map, table
 
 #: White space as Unicode has it (property White_Space), which is what the pattern's \s means to tiktoken.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs at whose ends the pattern always ends a match: a word with one blank before it, or white space.
 UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries each worker keeps of units and pieces, the first that it meets; longer ones than KEPT_CHARS are not kept.
-KEPT, KEPT_CHARS = 900_000, 48
+KEPT, KEPT_CHARS = 500_000, 48
 #: What a leaf holds where no pair of live tokens with a rank starts.
 NONE = 1 << 62
 
@@ -130,9 +129,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-@lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
-    return Codec(read_ranks(path), pattern)
+    return kept(f"{path} {pattern}", lambda: Codec(read_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, round_trip: bool = True) -> DataFrame:

@@ -101,6 +101,17 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task under a name. It keeps one thing at a time: a worker that goes on to another operator lets go of what the last one kept."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def row_map(frame: DataFrame, schema: str, start: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]], arrow: pa.Schema) -> DataFrame:
     """Rows through a Python generator in Arrow batches.
 

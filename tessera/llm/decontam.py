@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_map, scratch, settle, table, text_bytes
+from tessera.llm.common import kept, row_map, scratch, settle, table, text_bytes
 from tessera.llm.shingles import NEAR, SHINGLE_WORDS, shingled, word_hashes
 
 #: Fingerprints of 64 bits are cut into so many blocks; those within NEAR_BITS of one block are looked up. All pairs within RADIUS bits are found.
@@ -203,16 +203,6 @@ def parts_of(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield [(r.item_id, bytes(r.text)) for r in items.filter(own == i).collect()]
 
 
-_index: dict[str, Index] = {}
-
-
-def _made(name: str, items: list[tuple[int, bytes]]) -> Index:
-    if name not in _index:
-        _index.clear()
-        _index[name] = Index(items)
-    return _index[name]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of documents that are near copies of benchmark items: doc_id, item_id, first_word, end_word, similarity.
 
@@ -231,7 +221,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-            index = _made(name, shared.value)
+            index = kept(name, lambda: Index(shared.value))
 
             def flush(held: list[tuple]) -> Iterator[tuple]:
                 for (doc_id, _), found in zip(held, index.matches(text for _, text in held)):
@@ -284,7 +274,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _holds(shared, name: str) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
-        index, out, held, size = _made(name, shared.value), [], [], 0
+        index, out, held, size = kept(name, lambda: Index(shared.value)), [], [], 0
         for text in texts:
             held.append(text)
             size += len(text)

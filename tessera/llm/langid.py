@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, row_map, sample_bound, table
+from tessera.llm.common import held_out, kept, row_map, sample_bound, table
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -25,7 +25,7 @@ SAMPLE_DOCS = 600
 #: Rounds of expectation maximisation, and what a piece without expected count weighs.
 ROUNDS, SMOOTH = 3, 0.02
 #: Words whose scores each worker keeps, the first that it meets; longer ones than KEPT_CHARS are not kept.
-KEPT, KEPT_CHARS = 500_000, 40
+KEPT, KEPT_CHARS = 300_000, 40
 UNDETERMINED = "und"
 
 
@@ -207,23 +207,18 @@ def train(docs: DataFrame, path: str) -> Models:
     return Models(langs, [fitted[lang] for lang in langs], vocabulary(path))
 
 
-_seen: dict[str, Models] = {}
-
-
-def _kept(name: str, shared) -> Models:
-    """A worker's copy of the models of that name, which keeps the words it has met from task to task."""
-    if (own := _seen.get(name)) is None:
-        _seen.clear()
-        own = _seen[name] = Models.__new__(Models)
-        own.langs, own.table, own.floor = shared.value
-        own.rows, own.scores = {}, np.zeros((1024, len(own.langs)))
+def _copy(shared) -> Models:
+    """A worker's copy of shared models, which keeps the words it has met."""
+    own = Models.__new__(Models)
+    own.langs, own.table, own.floor = shared.value
+    own.rows, own.scores = {}, np.zeros((1024, len(own.langs)))
     return own
 
 
 def _on_workers(spark: SparkSession, models: Models) -> Callable[[], Models]:
     name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((models.langs, models.table, models.floor))
-    return lambda: _kept(name, shared)
+    return lambda: kept(name, lambda: _copy(shared))
 
 
 def language(spark: SparkSession, models: Models, text: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, row_map, settle, table, text_bytes
+from tessera.llm.common import held_out, kept, row_map, settle, table, text_bytes
 
 #: Stands for the end of a text among tokens: white space, so no word is the same.
 END = b" "
@@ -306,9 +306,6 @@ def _average(encoded: DataFrame, items: int, start, seed: int) -> LogBilinear:
     return LogBilinear.unpack(flat, items)
 
 
-_sums: dict[str, np.ndarray] = {}
-
-
 def _kept_sums(model: LogBilinear, name: str, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Log sums of contexts; those of a model with few enough items are kept by the worker from task to task."""
     n = len(model.b) + 1
@@ -316,14 +313,11 @@ def _kept_sums(model: LogBilinear, name: str, y: np.ndarray, x: np.ndarray) -> n
     if n * n > TABLE:
         met, back = np.unique(keys, return_inverse=True)
         return model.log_sums(met % n, met // n)[back]
-    if name not in _sums:
-        _sums.clear()
-        _sums[name] = np.full(n * n, np.nan, np.float32)
-    kept = _sums[name]
-    new = np.unique(keys[np.isnan(kept[keys])])
+    sums = kept(name, lambda: np.full(n * n, np.nan, np.float32))
+    new = np.unique(keys[np.isnan(sums[keys])])
     if len(new):
-        kept[new] = model.log_sums(new % n, new // n)
-    return kept[keys]
+        sums[new] = model.log_sums(new % n, new // n)
+    return sums[keys]
 
 
 def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) -> DataFrame:
