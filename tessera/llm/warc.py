@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,6 +26,9 @@ SPLIT_BYTES, READ_BYTES, LEVEL = 16 << 20, 1 << 18, 4
 EMPTY = zlib.compressobj(LEVEL, zlib.DEFLATED, 31).flush()
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload binary, payload_bytes bigint, payload_digest string, file string, at bigint"
 
+_TYPES = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
+_RECORD_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in RECORD_SCHEMA.split(", "))])
+
 
 def member(record: bytes) -> bytes:
     """Whole gzip members that hold a record; the last byte is zero in any case."""
@@ -171,6 +175,17 @@ def _open(path: str):
     return store.open_input_file(place)
 
 
+def _reaches(path: str) -> bool:
+    """Whether tasks can open files of the path's store themselves."""
+    if path.startswith("file:") or "://" not in path:
+        return True
+    try:
+        pyarrow.fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
 def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Files under a folder with their lengths, by the store's own listing."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -182,8 +197,12 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Data
     """Records of all archives under path: one row each, of RECORD_SCHEMA; payload is null for revisits.
 
     Files are cut into byte ranges that need not meet members' bounds; a task owns the records that
-    start inside its range, and reads past the end for the last. Empty files and folders give none.
+    start inside its range, and reads past the end for the last. Empty files and folders give none; so do
+    members that are cut off or hold no record. Files of a store that only Hadoop knows come through Spark's binary source,
+    each whole (at most 2 GB).
     """
+    if not _reaches(path):
+        return _read_whole(spark, path)
     splits = [(name, size, a, min(size, a + split_bytes)) for name, size in files(spark, path) for a in range(0, size, split_bytes)]
     frame = spark.createDataFrame(splits, "file string, size bigint, start bigint, stop bigint").repartition(max(1, len(splits)), F.monotonically_increasing_id())
 
@@ -197,9 +216,21 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Data
 
         return step
 
-    types = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
-    schema = pa.schema([(n, types[t]) for n, t in (x.split() for x in RECORD_SCHEMA.split(", "))])
-    return row_map(frame, RECORD_SCHEMA, begin, schema)
+    return row_map(frame, RECORD_SCHEMA, begin, _RECORD_ARROW)
+
+
+def _read_whole(spark: SparkSession, path: str) -> DataFrame:
+    def begin() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for name, content in rows:
+                for at, body in members(io.BytesIO(content), len(content), 0, len(content)):
+                    if (found := parse(body)) is not None:
+                        yield (*found.values(), name, at), len(body)
+
+        return step
+
+    frame = spark.read.format("binaryFile").load(path).filter(~F.col("path").rlike(r"/[_.][^/]*$")).select("path", "content")
+    return row_map(frame, RECORD_SCHEMA, begin, _RECORD_ARROW)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

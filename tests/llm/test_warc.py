@@ -64,3 +64,16 @@ def test_false_magic_and_long_members(tmp_path):
             found += [(at, len(body)) for at, body in warc.members(f, len(data), a, min(len(data), a + 50))]
     assert [n for _, n in found] == [len(record), (17 << 20) + 10, len(record)]
     assert warc.parse(record)["payload"] == b"payload"
+
+
+def test_a_store_that_only_hadoop_knows(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./w", f"file://{tmp_path}")
+    path = "viewfs://tests/w/archive"
+    warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string"), path)
+    assert sorted(map(str, result(warc.read(spark, path)))) == sorted(map(str, expected(ROWS)))
+
+
+def test_a_member_that_is_cut_off(spark, tmp_path):
+    record = warc.member(warc.record("urn:page:1", "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None))
+    (tmp_path / "a.warc.gz").write_bytes(record + record[: len(record) // 2])
+    assert result(warc.read(spark, f"file:{tmp_path}")) == [(1, 7, hashlib.sha1(b"payload").hexdigest(), "response", None)]
