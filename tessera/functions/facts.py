@@ -125,7 +125,3 @@ def failure(missing_refs: Column, mismatches: Column, source_refs: Column, sourc
     unit = F.exists(mismatches, lambda m: m.unit.isin(CRITICAL) & close(m.value, m.unit, source_facts))
     out = F.when(F.size(missing_refs) > 0, F.when(neighbour, "generation_error").otherwise("retrieval_gap")).when(unit, "unit_error")
     return (out if judged is None else out.when(judged, "semantic_mismatch")).otherwise("minor")
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

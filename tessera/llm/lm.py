@@ -155,10 +155,11 @@ class LogBilinear:
     def train(self, rows: np.ndarray, noise: np.ndarray, draw: np.random.Generator, squares: list[np.ndarray], epochs: int) -> None:
         """Noise-contrastive estimation over rows of ids (the item before the last, the last, the item), in minibatches of matrix products. A minibatch takes its rows from all over."""
         sums, log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
+        rows = np.ascontiguousarray(rows.T)  # a row's ids side by side
         small = np.int16 if len(self.r) < 1 << 15 else np.int64
-        steps = max(1, rows.shape[1] // min(BATCH, max(256, rows.shape[1] // 64)))
+        steps = max(1, len(rows) // min(BATCH, max(256, len(rows) // 64)))
         for step in np.concatenate([draw.permutation(steps) for _ in range(epochs)]).tolist():
-            y, x, w = rows[:, step::steps]
+            y, x, w = np.ascontiguousarray(rows[step::steps].T)
             false = np.minimum(np.searchsorted(sums, draw.random(NOISE) * sums[-1]), len(noise) - 1)
             rx, ry, rw, rf = self.r[x], self.r[y], self.r[w], self.r[false]
             q = rx @ self.c1 + ry @ self.c2

@@ -204,3 +204,17 @@ def register(documents: DataFrame, first: str = "00") -> tuple[DataFrame, DataFr
 def offsets(lines: DataFrame) -> DataFrame:
     """Adds the character at which each line begins, in the joined text."""
     return lines.withColumn("at", F.sum(F.length("line") + 1).over(_before()) - F.length("line") - 1)
+
+
+def chunk_pages(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc, seq, start_page, end_page of chunks (doc, seq, content) of a document given as lines: the share of characters before and up to a chunk's end is mapped to the lines, and the last page mark there counts; null before the first."""
+    own = offsets(lines)
+    marks = own.select("doc", "at", text.page_of(F.col("line")).alias("value")).filter("value is not null")
+    raw = own.groupBy("doc").agg(F.max(F.col("at") + F.length("line")).alias("raw"))
+    w = Window.partitionBy("doc")
+    end = F.sum(F.length("content")).over(w.orderBy("seq"))
+    edges = chunks.select("doc", "seq", (end - F.length("content")).alias("a"), end.alias("b"), F.greatest(F.sum(F.length("content")).over(w), F.lit(1)).alias("total")).join(raw, "doc")
+    points = edges.select("doc", "seq", "raw", "total", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("n")), F.struct(F.lit(1).alias("side"), F.col("b").alias("n")))).alias("e"))
+    points = points.select("doc", (F.col("seq") * 2 + F.col("e.side")).alias("id"), F.floor(F.col("e.n") / F.col("total") * F.col("raw")).alias("at"))
+    found = structure.nearest_before(points, marks.withColumn("at", F.col("at").cast("bigint")))
+    return found.groupBy("doc", F.floor(F.col("id") / 2).alias("seq")).agg(F.min("value").alias("start_page"), F.max("value").alias("end_page"))

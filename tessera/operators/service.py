@@ -132,6 +132,14 @@ def answer(questions: DataFrame, chunks: DataFrame, tables: Rules | None = None,
     return by_rule.unionByName(by_model, allowMissingColumns=True).withColumn("is_refusal", quality.is_refusal(F.col("answer")))
 
 
+def assemble(final: Column, payout: Column, reasons: Column, pending: Column, terms: Column, note: Column) -> Column:
+    """An answer from what the rule tables tell about a question, a line for each part that is there: verdict, payout, reasons (array) of exclusion, what is to be looked up, terms, note."""
+    line = lambda label, c: F.concat(F.lit(f"• {label}"), c)
+    named = F.when(F.size(F.coalesce(reasons, F.array().cast("array<string>"))) > 0, F.array_join(reasons, ", "))
+    parts = F.array_compact(F.array(line("보장: ", final), line("지급: ", payout), line("면책 사유: ", named), line("주의: ", pending), line("", terms), line("", note)))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(F.lit("관련 정보를 찾지 못했습니다(→RAG)."))
+
+
 def citations(claims: DataFrame) -> DataFrame:
     """Claims of verify.provenance() that some chunk supports."""
     return claims.filter(F.size("chunk_ids") > 0)

@@ -303,6 +303,37 @@ def offsets(spark, sf_dir):
     return ingest.offsets(contract(spark, sf_dir)).select("doc", "pos", "at")
 
 
+def chunk_pages(spark, sf_dir):
+    own = lines(spark, sf_dir)
+    chunks = own.groupBy("doc", F.floor((F.col("pos") - 1) / 3).alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("content"))
+    return ingest.chunk_pages(own, chunks)
+
+
+CHUNK_PAGES_SQL = rf"""
+with l as (select doc, pos, line, coalesce(sum(length(line) + 1) over (partition by doc order by pos rows between unbounded preceding and 1 preceding), 0) as a from ({MARKDOWN})),
+m as (select doc, a, try_cast(nullif(regexp_extract(line, '^<!-- page:(\d+) -->', 1), '') as int) as page from l), r as (select doc, max(a + length(line)) as raw from l group by 1),
+c as (select doc, (pos - 1) // 3 as seq, length(string_agg(line, chr(10) order by pos)) as n from l group by 1, 2), e as (select *, sum(n) over (partition by doc order by seq) as z, sum(n) over (partition by doc) as total from c),
+p as (select e.doc, seq, floor(k / total * raw) as at_ from (select doc, seq, total, unnest([z - n, z]) as k from e) e join r on r.doc = e.doc),
+f as (select p.doc, p.seq, p.at_, arg_max(page, m.a) as page from p left join m on m.doc = p.doc and page is not null and m.a <= p.at_ group by 1, 2, 3)
+select doc, seq, min(page) as start_page, max(page) as end_page from f group by 1, 2
+"""
+
+
+def assembled(spark, sf_dir):
+    from tessera.operators import service
+
+    p = table(spark, sf_dir, "part")
+    some = lambda n, c: F.when(F.col("p_partkey") % n > 0, c)
+    reasons = F.when(F.col("p_partkey") % 5 > 1, F.array("p_brand", F.lit("고의"))).when(F.col("p_partkey") % 5 == 1, F.array().cast("array<string>"))
+    return p.select("p_partkey", service.assemble(some(2, F.lit("보장")), some(3, F.col("p_type")), reasons, some(4, F.lit("확인")), some(2, F.col("p_brand")), some(6, F.lit("준용"))).alias("answer"))
+
+
+ASSEMBLED_SQL = """
+with a as (select p_partkey, concat_ws(chr(10), case when p_partkey % 2 > 0 then '• 보장: 보장' end, case when p_partkey % 3 > 0 then '• 지급: ' || p_type end, case when p_partkey % 5 > 1 then '• 면책 사유: ' || p_brand || ', 고의' end, case when p_partkey % 4 > 0 then '• 주의: 확인' end, case when p_partkey % 2 > 0 then '• ' || p_brand end, case when p_partkey % 6 > 0 then '• 준용' end) as answer from part)
+select p_partkey, case when answer = '' then '관련 정보를 찾지 못했습니다(→RAG).' else answer end as answer from a
+"""
+
+
 def density(spark, sf_dir):
     return quality.density(parsed(spark, sf_dir), 60)
 
@@ -337,5 +368,7 @@ QUERIES = {
     "s15_coverage_names": (names, r"with n as (select p_partkey, ' ' || p_type || '<br>(x ' || p_brand || ')  y ' as n from part) select p_partkey, trim(regexp_replace(replace(n, '<br>', ' '), '\s+', ' ', 'g')) as clean, trim(regexp_replace(replace(regexp_replace(n, '\([^)]*\)', '', 'g'), '<br>', ' '), '\s+', ' ', 'g')) as plain from n"),
     "n4_offsets": (offsets, f"select doc, pos, cast(coalesce(sum(length(line) + 1) over (partition by doc order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as at from ({CONTRACT})"),
     "n13_density": (density, f"with {PARSED}, x as (select doc, count(distinct run) as contracts, count(*) as clauses, cast(sum(length(body)) as bigint) as chars from p group by 1) select *, round(chars / clauses, 6) as chars_each, chars / clauses > 60 as suspect from x"),
+    "d4_chunk_pages": (chunk_pages, CHUNK_PAGES_SQL),
+    "q13_assembled_answers": (assembled, ASSEMBLED_SQL),
     "n7_exclusion_titles": (titles, f"with {PARSED} select doc, jo, title, cast(1 as int) as rank from p where regexp_matches(title, '지급하지 않|지급하지아니|보상하지 않|보장하지 않|면책') qualify row_number() over (partition by doc order by run, jo) = 1"),
 }

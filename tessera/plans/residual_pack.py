@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import routing, text
 from tessera.operators import evaluation as ev
-from tessera.operators import structure
+from tessera.operators import retrieval, service, structure, verify
 from tessera.plans.base import frame, table
 from tessera.plans.structure_pack import _CLAUSES, MARKDOWN, lines
 
@@ -68,7 +68,79 @@ def lengths(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.avg(text.token_count(F.col("text"))), 6).alias("avg_len"))
 
 
+HITS = "select o_custkey % 100 as query_id, o_orderkey as id, round(o_totalprice / 600000, 6) as score from orders where o_custkey % 7 > 0"
+
+
+def enough(spark, sf_dir):
+    asked = frame(spark, sf_dir, "select distinct c_custkey % 120 as query_id from customer")
+    return retrieval.sufficient(frame(spark, sf_dir, HITS), asked)
+
+
+ENOUGH_SQL = f"with b as (select query_id, max(score) as top1 from ({HITS}) group by 1), a as (select distinct c_custkey % 120 as query_id from customer) select a.query_id, top1, coalesce(top1 >= 0.3, false) as enough from a left join b on a.query_id = b.query_id"
+TABLE_LINES = "select o_custkey % 200 as doc, o_orderkey as pos, case o_orderkey % 5 when 0 then concat('| ', o_orderstatus, ' |') when 1 then '|---|' when 2 then case when o_custkey % 3 = 0 then '| a | b |' else ' | one | ' end when 3 then '| x |' else case when o_custkey % 4 = 0 then 'text' else '|  y  |' end end as line from orders"
+
+
+def junk(spark, sf_dir):
+    return structure.junk_tables(frame(spark, sf_dir, TABLE_LINES)).withColumn("segment", F.col("segment").cast("long"))
+
+
+JUNK_SQL = r"""
+with l as (select *, trim(line) as s, starts_with(trim(line), '|') and ends_with(trim(line), '|') as t from (""" + TABLE_LINES + r""")),
+c as (select *, coalesce(cast(t <> lag(t) over (partition by doc order by pos) as int), 0) as ch from l), g as (select *, sum(ch) over (partition by doc order by pos) as segment from c),
+x as (select *, regexp_replace(s, '^\|+|\|+$', '', 'g') as i from g where t)
+select doc, cast(segment as bigint) as segment, bool_and(regexp_matches(i, '^[\s\-:]+$') or not contains(i, '|')) as junk from x group by 1, 2
+"""
+
+
+def pieces(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    return d.select("doc_id", F.size(text.sentence_parts(F.col("text"))).alias("sentences"), F.length(text.without_nul(F.concat("text", F.lit("\x00a\x00")))).alias("chars"))
+
+
+PIECES_SQL = r"select doc_id, cast(len(list_filter(regexp_split_to_array(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda s: s <> '')) as int) as sentences, cast(length(text) + 1 as int) as chars from documents where text is not null"
+
+
+def rendered(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", (F.col("l_partkey") % 9).cast("int").alias("level"), F.col("l_returnflag").alias("content")))).alias("n"))
+    return rows.select("l_orderkey", text.render_nodes(F.transform("n", lambda x: F.struct(x.level.alias("level"), x.content.alias("content")))).alias("text"))
+
+
+RENDERED_SQL = "select l_orderkey, string_agg(case when l_partkey % 9 > 0 then repeat('#', cast(least(l_partkey % 9, 6) as int)) || ' ' else '' end || l_returnflag, chr(10) || chr(10) order by l_linenumber, l_partkey, l_returnflag) as text from lineitem group by 1"
+
+
+def signals(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(routing.signal(F.col("value") / 100).alias("signal")).agg(F.count("*").alias("n"), F.min(routing.context_budget(F.length("event_type") * 100)).alias("budget"))
+
+
+SIGNALS_SQL = "select case when value / 100 >= 0.7 then 'up' when value / 100 >= 0.4 then 'reformulated' else 'down' end as signal, count(*) as n, cast(min(5888 - length(event_type) * 100) as int) as budget from events group by 1"
+CLAIMS = "select c_custkey as id, concat('제', cast(c_custkey % 5 + 1 as string), '조에 따라 지급', chr(10), '근거 없는 말', chr(10), '제', cast(c_custkey % 3 + 2 as string), '조와 제', cast(c_custkey % 4 + 1 as string), '조 참조') as answer from customer"
+SUPPORT = "select o_custkey as id, o_orderkey as chunk_id, concat('본문 제', cast(o_orderkey % 6 + 1 as string), '조 내용') as content from orders"
+
+
+def provenance(spark, sf_dir):
+    return verify.provenance(frame(spark, sf_dir, CLAIMS), frame(spark, sf_dir, SUPPORT)).select("id", "claim_no", "claim", F.array_join("chunk_ids", ",").alias("chunks"), (F.size("chunk_ids") > 0).alias("cited"))
+
+
+PROVENANCE_SQL = f"""
+with c as (select id, unnest(string_split(answer, chr(10))) as claim, generate_subscripts(string_split(answer, chr(10)), 1) - 1 as claim_no from ({CLAIMS})), r as (select distinct id, claim_no, unnest(regexp_extract_all(claim, '제(\\d+)조', 1)) as n from c),
+m as (select r.id, claim_no, list_sort(list(distinct chunk_id)) as ids from r join ({SUPPORT}) s on s.id = r.id and contains(content, '제' || n || '조') group by 1, 2)
+select c.id, cast(c.claim_no as int) as claim_no, claim, coalesce(array_to_string(ids, ','), '') as chunks, ids is not null as cited from c left join m on m.id = c.id and m.claim_no = c.claim_no
+"""
+
+
+def cited(spark, sf_dir):
+    return service.citations(verify.provenance(frame(spark, sf_dir, CLAIMS), frame(spark, sf_dir, SUPPORT))).groupBy("id").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "pf5_sufficient": (enough, ENOUGH_SQL),
+    "pf7_junk_tables": (junk, JUNK_SQL),
+    "s8_pieces": (pieces, PIECES_SQL),
+    "s19_rendered": (rendered, RENDERED_SQL),
+    "q18_signals": (signals, SIGNALS_SQL),
+    "j15_provenance": (provenance, PROVENANCE_SQL),
+    "v15_citations": (cited, f"select id, count(*) as n from ({PROVENANCE_SQL}) where cited group by 1"),
     "s24_names_and_ids": (names, NAMES_SQL),
     "ag20_set_scores": (sets, SETS_SQL),
     "ag33_catalogue": (catalogue, r"with n as (select p_type as name from part union all select replace(p_type, ' ', '') from part union all select ' ' || p_brand from part), c as (select trim(regexp_replace(name, '\s+', ' ', 'g')) as name, regexp_replace(name, '\s', '', 'g') as k from n) select name from c qualify row_number() over (partition by k order by contains(name, ' ') desc, name) = 1"),
