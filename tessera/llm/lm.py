@@ -19,7 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, kept, row_map, settle, table, text_bytes
@@ -234,8 +234,43 @@ def learn(model: LogBilinear, ids: list[np.ndarray], noise: np.ndarray, seed: in
     model.train(rows, noise, np.random.default_rng(seed), model.squares(), min(EPOCHS, max(1, LEAST_TOKENS // rows.shape[1])))
 
 
+_ENCODED = "uid bigint, doc_id bigint, held boolean, h bigint, n_tokens bigint, n_known bigint, base double, inside double, items binary, rare array<binary>"
+
+
+def encode(docs: DataFrame, head: Head, held: Column | None = None) -> DataFrame:
+    """Texts (doc_id, text) as items, settled, with what counts of the head tell of them: n_tokens, n_known, base score and log10 of the words' parts of their groups without the words in rare. held marks texts that training leaves out."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+
+    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+        head = shared.value
+        unit = float(np.log10(head.tokens + head.distinct + 1))
+        log_count = np.append(head.log_count, 0.0)  # of no place: a word that the head lacks
+
+        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for uid, doc_id, held, h, text in rows:
+                words = tokens_of(text)
+                places = _places(head.place, words)
+                ids = head.ids(places, words)
+                logs = log_count[places]
+                grouped = ids >= head.own
+                rare = [words[i] for i in np.flatnonzero(places[:-1] < 0).tolist()]
+                inside = float(logs[grouped].sum() - head.group_log[ids[grouped] - head.own].sum())
+                yield (uid, doc_id, held, h, len(places), int((places >= 0).sum()), float(logs.sum()) - unit * len(places), inside, ids.astype(np.int32).tobytes(), rare), 4 * len(places) + 20 * len(rare)
+
+        return step
+
+    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if held is None else held).alias("held"), F.xxhash64("doc_id", "text").alias("h"), text_bytes().alias("text"))
+    types = [("uid", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()), ("items", pa.binary()), ("rare", pa.list_(pa.binary()))]
+    return settle(row_map(own, _ENCODED, start, pa.schema(types)))
+
+
 def fit(docs: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
-    """Trains on every given text (doc_id, text), in ROUNDS rounds.
+    """fit_encoded() on every given text (doc_id, text)."""
+    return fit_encoded(encode(docs, head), head, seed)
+
+
+def fit_encoded(encoded: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
+    """Trains on every encoded text that is not held out, in ROUNDS rounds.
 
     Texts as items are dealt into parts of about PART_TOKENS tokens by a hash of id and text, so the parts, and up to
     rounding the model, do not depend on how the input is partitioned. In a round every part starts from the common
@@ -245,25 +280,10 @@ def fit(docs: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
     model = LogBilinear.begin(head)
     if not head.tokens:
         return model
-    context = docs.sparkSession.sparkContext
+    context = encoded.sparkSession.sparkContext
     noise = np.exp(head.item_log * 0.75)
-    shared = context.broadcast(head)
-
-    def encode() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-        head = shared.value
-
-        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            for h, text in rows:
-                words = tokens_of(text)
-                ids = head.ids(_places(head.place, words), words).astype(np.int32).tobytes()
-                yield (h, ids), len(ids)
-
-        return step
-
-    own = docs.select(F.xxhash64("doc_id", "text").alias("h"), text_bytes().alias("text"))
-    encoded = row_map(own, "h bigint, ids binary", encode, pa.schema([("h", pa.int64()), ("ids", pa.binary())]))
     parts = max(1, -(-head.tokens // PART_TOKENS))
-    encoded = settle(encoded.repartition(parts, "h").sortWithinPartitions("h", "ids").select(F.spark_partition_id().alias("part"), "ids"))
+    encoded = settle(encoded.filter("not held").select("h", F.col("items").alias("ids")).repartition(parts, "h").sortWithinPartitions("h", "ids").select(F.spark_partition_id().alias("part"), "ids"))
     for turn in range(ROUNDS):
         start = context.broadcast((noise, model.pack()))
         model = _average(encoded, head.items, start, seed + turn)
@@ -322,71 +342,58 @@ def _kept_sums(model: LogBilinear, name: str, y: np.ndarray, x: np.ndarray) -> n
 
 
 def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) -> DataFrame:
+    """score_encoded() of every given text (doc_id, text)."""
+    return score_encoded(encode(docs, head), counts, head, model)
+
+
+def score_encoded(encoded: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) -> DataFrame:
     """Scores of every whole text.
 
-    docs: doc_id, text; other columns are ignored. Returns a row for each row: doc_id, n_tokens, n_known,
+    Of docs (doc_id, text) other columns are ignored. Returns a row for each row: doc_id, held, n_tokens, n_known,
     base_score (add-one unigram), score (log10 probability by the model). A null or empty text is its end
     alone. Repeated rows are scored each; very long texts whole. An empty table gives none. Words of the head are
     looked up; all others meet their counts in a join by word, none of them frequent enough to fill a task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((head, model))
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
 
     def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-        head, model = shared.value
+        model = shared.value
         before1, before2 = model.r @ model.c1, model.r @ model.c2
 
-        def flush(held: list[tuple]) -> Iterator[tuple]:
-            at = np.concatenate([h[2] for h in held])
-            y, x, w = contexts([h[4] for h in held], head.items)
-            begin = np.concatenate([[0], np.cumsum([len(h[2]) for h in held])[:-1]])
+        def flush(uids: list[int], ids: list[np.ndarray]) -> Iterator[tuple]:
+            y, x, w = contexts(ids, len(model.b))
             logs = np.empty(len(w), np.float64)
             for i in range(0, len(w), 1 << 16):
                 s = slice(i, i + (1 << 16))
                 logs[s] = np.einsum("ij,ij->i", before1[x[s]] + before2[y[s]], model.r[w[s]])
             logs += model.b[w] - _kept_sums(model, name, y, x)
-            logs /= np.log(10)
-            known = at >= 0
-            log_count = np.where(known, head.log_count[np.maximum(at, 0)] if len(head.log_count) else 0.0, 0.0)
-            inside = np.zeros(len(w))  # a word's part of its group; unseen and rare words get theirs by the join
-            grouped = np.flatnonzero(w >= head.own)
-            inside[grouped] = log_count[grouped] - head.group_log[w[grouped] - head.own]
-            base = np.add.reduceat(log_count, begin)
-            total = np.add.reduceat(logs + inside, begin)
-            n_known = np.add.reduceat(known.astype(np.int64), begin)
-            unit = np.log10(head.tokens + head.distinct + 1)
-            for (uid, doc_id, places, rare, _), b, t, m in zip(held, base, total, n_known):
-                yield (uid, doc_id, len(places), int(m), float(b - unit * len(places)), float(t), rare), 80 + 20 * len(rare)
+            begin = np.concatenate([[0], np.cumsum([len(i) for i in ids])[:-1]])
+            yield from (((uid, t), 24) for uid, t in zip(uids, (np.add.reduceat(logs, begin) / np.log(10)).tolist()))
 
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            held, size = [], 0
-            for uid, doc_id, text in rows:
-                words = tokens_of(text)
-                at = _places(head.place, words)
-                held.append((uid, doc_id, at, [words[i] for i in np.flatnonzero(at[:-1] < 0).tolist()], head.ids(at, words)))
-                size += len(at)
+            uids, ids, size = [], [], 0
+            for uid, items in rows:
+                uids.append(uid)
+                ids.append(np.frombuffer(items, np.int32).astype(np.int64))
+                size += len(ids[-1])
                 if size >= CHUNK:
-                    yield from flush(held)
-                    held, size = [], 0
-            if held:
-                yield from flush(held)
+                    yield from flush(uids, ids)
+                    uids, ids, size = [], [], 0
+            if uids:
+                yield from flush(uids, ids)
 
         return step
 
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("total", pa.float64()), ("rare", pa.list_(pa.binary()))])
-    rows = row_map(
-        docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")),
-        "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, total double, rare array<binary>",
-        start,
-        schema,
-    )
+    logs = row_map(encoded.select("uid", "items"), "uid bigint, model double", start, pa.schema([("uid", pa.int64()), ("model", pa.float64())]))
     own = F.concat(F.unhex(F.lit("FF")), F.col("uid").cast("string").cast("binary"))  # no word: so rows of texts spread too
-    of_text = ["doc_id", "n_tokens", "n_known", "base", "total"]
-    rows = rows.select("uid", *of_text, F.posexplode(F.concat(F.array(own), "rare")).alias("at", "word"))
+    of_text = ["doc_id", "held", "n_tokens", "n_known", "base", "inside"]
+    rows = encoded.select("uid", *of_text, F.posexplode(F.concat(F.array(own), "rare")).alias("at", "word"))
     rows = rows.select("uid", "word", *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in of_text])
     rare = _tail(counts, head.least).select("word", F.log10(F.col("n") + 1).alias("part"))
-    totals = rows.join(rare, "word", "left").groupBy("uid").agg(*[F.max(c).alias(c) for c in of_text], F.count("part").alias("met"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("parts"))
-    return totals.select("doc_id", "n_tokens", (F.col("n_known") + F.col("met")).alias("n_known"), (F.col("base") + F.col("parts")).alias("base_score"), (F.col("total") + F.col("parts")).alias("score"))
+    rows = rows.join(rare, "word", "left").drop("word").unionByName(logs, allowMissingColumns=True)
+    totals = rows.groupBy("uid").agg(*[F.max(c).alias(c) for c in (*of_text, "model")], F.count("part").alias("met"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("parts"))
+    return totals.select("doc_id", "held", "n_tokens", (F.col("n_known") + F.col("met")).alias("n_known"), (F.col("base") + F.col("parts")).alias("base_score"), (F.col("model") + F.col("inside") + F.col("parts")).alias("score"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,6 +402,6 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = docs.filter(~out)
     counts = settle(count_words(training))
     head = head_of(counts)
-    model = fit(training, head)
-    scored = score(docs, counts, head, model)
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(head.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    encoded = encode(docs, head, out)
+    scored = score_encoded(encoded, counts, head, fit_encoded(encoded, head))
+    return scored.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(head.tokens).cast("long").alias("train_tokens"), "base_score", "score")
