@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, decontam, langid, linededup, lm, minhash, secrets, suffixes, topk, warc
+from tessera.llm import bpe, decontam, langid, linededup, lm, minhash, packing, secrets, suffixes, topk, warc
 
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_near_duplicates": (minhash.op8_near_duplicates, minhash.OP8_SQL),
     "op9_lm_score": (lm.op9_lm_score, None),
     "op10_byte_bpe": (bpe.op10_byte_bpe, None),
+    "op12_packing": (packing.op12_packing, None),
 }
 
 
