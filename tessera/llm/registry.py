@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, decontam, divergence, langid, linededup, lm, minhash, packing, secrets, suffixes, topk, warc
+from tessera.llm import bpe, decontam, divergence, langid, lexical, linededup, lm, minhash, packing, secrets, suffixes, topk, warc
 
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_byte_bpe": (bpe.op10_byte_bpe, None),
     "op11_divergence": (divergence.op11_divergence, divergence.OP11_SQL),
     "op12_packing": (packing.op12_packing, None),
+    "op13_lexical": (lexical.op13_lexical, lexical.OP13_SQL),
 }
 
 
