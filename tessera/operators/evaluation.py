@@ -32,20 +32,6 @@ def score_table(rows: DataFrame, expected: Column, predicted: Column, *by: str)
     return out.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
 
 
-def percentile(values: Column, p: float) -> Column:
-    """The report's percentile of a group: nearest lower rank under a hundred values, interpolated from there on."""
-    n = F.count(values)
-    ordered = F.sort_array(F.collect_list(values))
-    low = F.get(ordered, F.least(n - 1, F.floor(n * p / 100)).cast("int"))
-    return F.when(n < 100, low).otherwise(F.percentile(values, p / 100))
-
-
-def lower_rank(values: Column, share: float) -> Column:
-    """The value at the index int(n * share) of the sorted values of a group."""
-    n = F.count(values)
-    return F.get(F.sort_array(F.collect_list(values)), F.least(n - 1, F.floor(n * share)).cast("int"))
-
-
 def histogram_bin(value: Column, low: float = 0.0, width: float = 0.1, bins: int = 10) -> Column:
     """Bin on a fixed grid in doubles; what lies outside goes to the outer bins."""
     return F.least(F.greatest(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(bins - 1)).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import ranks
 
 #: Targets of the decision table, and bounds of the gate.
 RECALL_5, RECALL_3, FAITHFULNESS, RELEVANCY, GAP = 0.95, 0.90, 0.80, 0.80, 0.1
@@ -55,13 +56,11 @@ def diagnose(runs: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, least, median and the value at the lower rank of 95 in a hundred, by ranks within the group: values are sorted, not gathered."""
-    w = Window.partitionBy(by)
-    ranked = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"), F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda rank: F.max(F.when(F.col("k") == rank, F.col("v")))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    p95 = F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1)
-    return ranked.groupBy(by).agg(F.max("n").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("least"), F.round((at(low) + at(high)) / 2, 6).alias("median"), at(p95).alias("p95"))
+    """Mean, least, median and the value at the lower rank of 95 in a hundred of each group."""
+    n = F.col("n")
+    wanted = {"least": F.lit(0), "low": F.floor((n + 1) / 2) - 1, "high": F.floor(n / 2), "p95": ranks.lower_rank(0.95)}
+    found = ranks.at_ranks(rows, [by], value, wanted, {"mean": F.round(F.avg("v"), 6)})
+    return found.select(by, "n", "mean", "least", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "p95")
 
 
 def basic_stats(answers: DataFrame, by: str) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.evaluation import histogram_bin, lower_rank, percentile
+from tessera.operators import ranks
+from tessera.operators.evaluation import histogram_bin
 
 
 def volume(traces: DataFrame) -> DataFrame:
@@ -31,7 +32,9 @@ def decomposition(traces: DataFrame) -> DataFrame:
 
 def rerank_top1(traces: DataFrame) -> DataFrame:
     top1 = traces.select(F.get("scores", F.lit(0)).alias("s")).filter(F.col("s").isNotNull())
-    return top1.agg(F.count("*").alias("n"), F.round(F.avg("s"), 4).alias("mean"), *[F.round(percentile(F.col("s"), p), 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90, 99)])
+    names = {f"p{p}": p for p in (10, 25, 50, 75, 90, 99)}
+    found = ranks.percentiles(top1, [], "s", names, {"mean": F.round(F.avg("v"), 4)})
+    return found.select("n", "mean", *[F.round(name, 6).alias(name) for name in names])
 
 
 def rerank_histogram(traces: DataFrame) -> DataFrame:
@@ -51,8 +54,8 @@ def verification(traces: DataFrame) -> DataFrame:
 
 
 def groundedness(traces: DataFrame) -> DataFrame:
-    g = F.col("groundedness")
-    return traces.filter(g.isNotNull()).agg(F.count("*").alias("n"), F.round(F.avg(g), 4).alias("mean"), lower_rank(g, 0.5).alias("p50"), lower_rank(g, 0.95).alias("p95"), F.min(g).alias("least"))
+    wanted = {"p50": ranks.lower_rank(0.5), "p95": ranks.lower_rank(0.95), "least": F.lit(0)}
+    return ranks.at_ranks(traces, [], "groundedness", wanted, {"mean": F.round(F.avg("v"), 4)})
 
 
 def provenance(traces: DataFrame) -> DataFrame:
@@ -61,7 +64,8 @@ def provenance(traces: DataFrame) -> DataFrame:
 
 def latency(traces: DataFrame) -> DataFrame:
     spans = traces.select(F.explode("spans").alias("span", "ms"))
-    return spans.groupBy("span").agg(F.count("*").alias("n"), F.round(percentile(F.col("ms"), 50), 6).alias("p50"), F.round(percentile(F.col("ms"), 95), 6).alias("p95"))
+    found = ranks.percentiles(spans, ["span"], "ms", {"p50": 50, "p95": 95})
+    return found.select("span", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def errors(traces: DataFrame) -> DataFrame:
@@ -104,5 +108,7 @@ def feedback(signals: DataFrame, traces: DataFrame) -> DataFrame:
 
 def load_summary(runs: DataFrame) -> DataFrame:
     """By concurrency: requests, rate and latency percentiles; and the level of the highest rate."""
-    one = runs.groupBy("concurrency").agg(F.count("*").alias("requests"), F.round(F.sum(F.col("ok").cast("long")) / F.max("wall_s"), 6).alias("qps"), *[lower_rank(F.col("ms"), p / 100).alias(f"p{p}") for p in (50, 95, 99)])
-    return one.crossJoin(F.broadcast(one.agg(F.max_by("concurrency", F.struct("qps", -F.col("concurrency"))).alias("peak"))))
+    rate = runs.groupBy("concurrency").agg(F.count("*").alias("requests"), F.round(F.sum(F.col("ok").cast("long")) / F.max("wall_s"), 6).alias("qps"))
+    times = ranks.at_ranks(runs, ["concurrency"], "ms", {f"p{p}": ranks.lower_rank(p / 100) for p in (50, 95, 99)}).drop("n")
+    one = rate.join(times, "concurrency", "left")
+    return one.crossJoin(F.broadcast(rate.agg(F.max_by("concurrency", F.struct("qps", -F.col("concurrency"))).alias("peak"))))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import sources
-from tessera.operators import chunking, evaluation, retrieval, rules, state, structure, traces
+from tessera.operators import chunking, evaluation, ranks, retrieval, rules, state, structure, traces
 from tessera.plans import rules_pack
 
 RULE = "ord int, coverage string, cause string, age_band string, period_bucket string, rate_pct int, per_unit string, limit_days int, reduction_rate_pct int, reduction_period string, reduction_cause string"
@@ -76,7 +76,7 @@ def test_histogram_and_percentile(spark):
     bins = spark.createDataFrame([(x,) for x in (0.3, 0.6, 0.7, -0.1, 1.0, 1.7)], "x double").select(evaluation.histogram_bin(F.col("x")).alias("b")).collect()
     assert [r.b for r in bins] == [2, 5, 6, 0, 9, 9]
     for n, want in ((99, 49.0), (100, 49.5)):
-        got = spark.range(n).select(F.col("id").cast("double").alias("x")).agg(evaluation.percentile(F.col("x"), 50).alias("p")).first().p
+        got = ranks.percentiles(spark.range(n), [], "id", {"p": 50}).first().p
         assert got == want
 
 
@@ -93,7 +93,7 @@ def test_corrective_search_rewrites(spark):
     corpus = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id long, content string")
 
     def search(questions):
-        index = retrieval.postings(corpus)
+        index = retrieval.build(corpus)
         return retrieval.bm25(questions, index, 3)
 
     questions = spark.createDataFrame([(1, "alpha"), (2, "unknown")], "query_id long, question string")
