@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.barrier import written
+from tessera.operators.postings import Index, asked, bm25, build, top
+from tessera.shared import written
 
-#: BM25's constants and that of rank fusion; queries whose vectors go to all workers at once.
-K1, B, RRF_K, QUERY_BLOCK = 1.2, 0.75, 60, 4096
+#: The constant of rank fusion; queries whose vectors go to all workers at once.
+RRF_K, QUERY_BLOCK = 60, 4096
 
 
 def chunk_filter(chunks: DataFrame, service_code: str | None = None, document_id: str | None = None, start_page: int | None = None, end_page: int | None = None, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
@@ -31,38 +32,6 @@ def chunk_filter(chunks: DataFrame, service_code: str | None = None, document_id
     return chunks
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """id, term, tf, dl of (id, content)."""
-    words = chunks.select("id", tokens(F.col("content")).alias("w")).withColumn("dl", F.size("w"))
-    return words.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def bm25(questions: DataFrame, index: DataFrame, limit: int, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, id, score, rank: the best of each question (query_id, question) by BM25 over postings.
-
-    Only terms that some question has take part in the sums; the corpus statistics are one row.
-    """
-    lengths = index.select("id", "dl").distinct()
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    frequency = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = frequency.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(df.crossJoin(F.broadcast(stats)), "term").join(frequency, "term").groupBy("query_id", "id").agg(F.sum(idf * weight).alias("score"))
-    return top(scored.withColumn("score", F.round("score", 6)), limit)
-
-
-def top(scored: DataFrame, limit: int, *ties: str) -> DataFrame:
-    """Adds rank within query_id by falling score, then ties, then id, and keeps the first so many."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.desc(t) for t in ties], "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-
-
 def dense(questions: DataFrame, vectors: DataFrame, limit: int, own: bool = False) -> DataFrame:
     """query_id, id, score, rank by cosine of (query_id, vector) with (id, vector): exact.
 
@@ -112,14 +81,12 @@ def fuse(*ranked: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
     return top(rows.select("query_id", "id", F.round(sum(parts[1:], parts[0]), 9).alias("score")), limit)
 
 
-def coverage_score(questions: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
+def coverage_score(questions: DataFrame, index: Index, pairs: DataFrame) -> DataFrame:
     """Stand-in for a cross-encoder: the share of a question's term weight (inverse document frequency) that a chunk holds."""
-    n = index.select("id").distinct().agg(F.count("*").alias("n"))
-    terms = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0)))).alias("w"))
+    weight = F.log(1 + index.n / (1 + F.coalesce("df", F.lit(0))))
+    weighted = asked(questions).join(index.frequency, "term", "left").select("query_id", "term", weight.alias("w"))
     total = weighted.groupBy("query_id").agg(F.sum("w").alias("all"))
-    held = pairs.join(weighted, "query_id").join(index.select("id", "term"), ["id", "term"]).groupBy("query_id", "id").agg(F.sum("w").alias("held"))
+    held = pairs.join(weighted, "query_id").join(index.postings.select("id", "term"), ["id", "term"]).groupBy("query_id", "id").agg(F.sum("w").alias("held"))
     return pairs.join(held, ["query_id", "id"], "left").join(total, "query_id").select("query_id", "id", F.round(F.coalesce("held", F.lit(0.0)) / F.col("all"), 6).alias("score"))
 
 
@@ -188,10 +155,7 @@ def fit_budget(context: Column, budget: Column | int) -> Column:
 
 
 def hybrid(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 10, factor: int = 6) -> DataFrame:
-    """Dense and lexical search, fused, reranked: query_id, id, score, fused, rank. questions: query_id, question, vector.
-
-    The postings are kept by the executors, as the search and the second score both need them more than once.
-    """
-    index = postings(chunks).persist()
-    fused = fuse(dense(questions.select("query_id", "vector"), vectors, k * factor), bm25(questions, index, k * factor), limit=k * 3)
+    """Dense and lexical search, fused, reranked: query_id, id, score, fused, rank. questions: query_id, question, vector."""
+    index = build(chunks)
+    fused = written(fuse(dense(questions.select("query_id", "vector"), vectors, k * factor), bm25(questions, index, k * factor), limit=k * 3))
     return rerank(fused, coverage_score(questions, index, fused), k)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import guards, routing
-from tessera.operators import ingest, quality, retrieval, rules, verify
-from tessera.operators.barrier import written
+from tessera.operators import ingest, postings, quality, retrieval, rules, verify
+from tessera.shared import written
 
 #: What a model is asked by type of question; the context and the question follow.
 PROMPTS = {
@@ -83,7 +83,7 @@ def prefetch(questions: DataFrame, index: DataFrame, vectors: DataFrame | None,
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = 10, models: Models | None = None) -> DataFrame:
     """Hits of routed questions: query_id, id, score, fused, rank. chunks: id, content."""
     models = models or Models()
-    index = retrieval.postings(chunks)
+    index = retrieval.build(chunks)
     fused = prefetch(questions, index, vectors, k)
     return retrieval.rerank(fused, models.rerank(questions, index, fused), k)
 
@@ -154,7 +154,7 @@ def take_in(lines: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Ca
 
 def embed(rows: DataFrame, width: int = 64) -> DataFrame:
     """Stand-in for an embedder: id and a unit vector of hashed two-character runs of the content; null without any."""
-    grams = F.transform(retrieval.tokens(F.col("content")), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
+    grams = F.transform(postings.tokens(F.col("content")), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
     counts = rows.select("id", F.explode(grams).alias("i")).groupBy("id", "i").agg(F.count("*").cast("double").alias("x"))
     own = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return own.select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))).alias("vector"))

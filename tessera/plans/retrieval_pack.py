@@ -41,7 +41,7 @@ def _inputs(spark, sf_dir):
 
 def bm25(spark, sf_dir):
     questions, chunks, _ = _inputs(spark, sf_dir)
-    return rt.bm25(questions, rt.postings(chunks).persist(), 60).select("query_id", "id", "score", "rank")
+    return rt.bm25(questions, rt.build(chunks), 60).select("query_id", "id", "score", "rank")
 
 
 def dense(spark, sf_dir):
@@ -51,7 +51,7 @@ def dense(spark, sf_dir):
 
 def fused(spark, sf_dir):
     questions, chunks, vectors = _inputs(spark, sf_dir)
-    return rt.fuse(rt.dense(questions, vectors, 60), rt.bm25(questions, rt.postings(chunks).persist(), 60), limit=30).select("query_id", "id", "score", "rank")
+    return rt.fuse(rt.dense(questions, vectors, 60), rt.bm25(questions, rt.build(chunks), 60), limit=30).select("query_id", "id", "score", "rank")
 
 
 def hybrid(spark, sf_dir):
@@ -103,7 +103,7 @@ def shares(spark, sf_dir):
 def siblings(spark, sf_dir):
     questions, _, _ = _inputs(spark, sf_dir)
     chunks = _windows(spark, sf_dir)
-    index = rt.postings(chunks.select("id", "content"))
+    index = rt.build(chunks.select("id", "content"))
     hits = rt.bm25(questions, index, 3)
     parts = rt.expand_siblings(hits, chunks)
     return parts.select("query_id", "document_id", "heading_path", "part_index", F.md5("content").alias("content_md5"))

@@ -31,7 +31,7 @@ def answers(spark, sf_dir):
 
 def prefetched(spark, sf_dir):
     questions, chunks, vectors = rp._inputs(spark, sf_dir)
-    return service.prefetch(service.routed(questions), retrieval.postings(chunks).persist(), vectors, 10).select("query_id", "id", "score", "rank")
+    return service.prefetch(service.routed(questions), retrieval.build(chunks), vectors, 10).select("query_id", "id", "score", "rank")
 
 
 _HAS = lambda p: f"regexp_matches(question, {q(p)})"

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from tessera.shared import path
 
 
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -28,12 +18,12 @@ def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it gave; a batch that comes again overwrites itself."""
     spark = stream.sparkSession
-    out, schema = scratch(spark), stream.schema
+    out, schema = path(spark, "stream"), stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
 
 
@@ -90,7 +80,7 @@ def task_chain(stream: DataFrame, steps: list[tuple[str, Callable[[DataFrame], D
     it was in. failed: rows that a step may not take (a condition by anti join), which go no further.
     """
     spark = stream.sparkSession
-    out = scratch(spark)
+    out = path(spark, "stream")
 
     def run(batch: DataFrame, number: int) -> None:
         rows = batch
@@ -100,7 +90,7 @@ def task_chain(stream: DataFrame, steps: list[tuple[str, Callable[[DataFrame], D
             rows.write.mode("overwrite").parquet(path)
             rows = spark.read.parquet(path)
 
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     found = None
     for i, (name, _) in enumerate(steps):
         part = spark.read.parquet(f"{out}/{i:02d}-{name}")
