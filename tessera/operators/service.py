@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import guards, routing
 from tessera.operators import ingest, postings, quality, retrieval, rules, verify
+from tessera.operators import models as models_
 from tessera.shared import written
 
 #: What a model is asked by type of question; the context and the question follow.
@@ -27,14 +28,16 @@ class Models:
     """The steps that models do, each a function that workers load what it needs for; the defaults are deterministic stand-ins.
 
     generate: (prompt, context, question) to an answer; regenerate: with a hint besides; rewrite: a question to another; judge: (answer, context)
-    to whether the meaning is reversed; rerank: (questions, index, pairs) to scores.
+    to whether the meaning is reversed; rerank: (questions, index, pairs) to scores; embed: arrays of terms to vectors. Those that need a
+    model make their function by models.per_worker(), so that every worker loads it once.
     """
 
     generate: Callable[[Column, Column, Column], Column] = lambda prompt, context, question: F.concat(question, F.lit("\n"), F.substring(context, 1, 400))
     regenerate: Callable[[Column, Column, Column, Column], Column] = lambda prompt, context, question, hint: F.concat(question, F.lit("\n"), F.substring(context, 1, 400))
     rewrite: Callable[[Column], Column] = lambda question: F.regexp_replace(question, r"[?？]|알려\s*줘|인가요|나요", "")
     judge: Callable[[Column, Column], Column] | None = None
-    rerank: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = retrieval.coverage_score
+    rerank: Callable[[DataFrame, retrieval.Index, DataFrame], DataFrame] = retrieval.coverage_score
+    embed: Callable[[Column], Column] = field(default_factory=models_.hashed)
 
 
 @dataclass
@@ -152,12 +155,10 @@ def take_in(lines: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Ca
     return {"lines": clean, "chunks": chunks, "vectors": None if embed is None else embed(chunks), "tables": ingest.load(lines)}
 
 
-def embed(rows: DataFrame, width: int = 64) -> DataFrame:
-    """Stand-in for an embedder: id and a unit vector of hashed two-character runs of the content; null without any."""
-    grams = F.transform(postings.tokens(F.col("content")), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
-    counts = rows.select("id", F.explode(grams).alias("i")).groupBy("id", "i").agg(F.count("*").cast("double").alias("x"))
-    own = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return own.select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))).alias("vector"))
+def embed(rows: DataFrame, model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id and vector of rows (id, content) that have a term, by a model as models.per_worker() makes it: from arrays of terms; a stand-in if none is given."""
+    terms = postings.tokens(F.col("content"))
+    return rows.select("id", terms.alias("terms")).filter(F.size("terms") > 0).select("id", (model or models_.hashed())(F.col("terms")).alias("vector"))
 
 
 def run(questions: DataFrame, collect: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], Column]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PACKS: list[str] = ["retrieval_pack", "text_pack", "rules_pack", "structure_pack", "analytics_pack", "relational_pack", "residual_pack", "quality_pack", "ingest_pack", "service_pack"]
+PACKS: list[str] = ["retrieval_pack", "text_pack", "rules_pack", "structure_pack", "analytics_pack", "relational_pack", "residual_pack", "quality_pack", "ingest_pack", "service_pack", "index_pack"]
 FLAGSHIP = "hybrid_retrieval"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,35 +51,51 @@ def markdown_pages(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.explode(numbered).alias("p")).select("doc", F.col("p.page").cast("int").alias("page"), F.regexp_replace("p.content", r"^\s+|\s+$", "").alias("content")).filter("page is not null or content <> ''")
 
 
+@F.udtf(returnType="page int, id int, depth int, x0 double, y1 double, level int, content string")
+class LayoutNodes:
+    """Text nodes of one layout tree (JSON with nested `kids`), in reading order: a table function, in SQL as layout_nodes(tree)."""
+
+    def eval(self, tree: str | None) -> Iterator[tuple]:
+        try:
+            stack = [(json.loads(tree), 0)] if tree else []
+        except (ValueError, RecursionError):
+            return
+        i = 0
+        while stack:
+            node, depth = stack.pop()
+            if isinstance(node, list):
+                stack += [(kid, depth) for kid in reversed(node)]
+            elif isinstance(node, dict):
+                kids = node.get("kids")
+                stack += [(kid, depth + 1) for kid in reversed(kids)] if isinstance(kids, list) else []
+                if node.get("content"):
+                    box = node.get("bounding box")
+                    box = [*(box if isinstance(box, list) else []), None, None, None, None]
+                    yield _whole(node.get("page number")), i, depth, _real(box[0]), _real(box[3]), _whole(node.get("heading level")), str(node["content"])
+                    i += 1
+
+
+def _whole(x: object) -> int | None:
+    return int(x) if isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) < 1 << 31 else None
+
+
+def _real(x: object) -> float | None:
+    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+
+
 def layout_nodes(spark: SparkSession, trees: DataFrame) -> DataFrame:
-    """doc, page, id, x0, y1, level, content of all text nodes of layout trees (doc, tree as JSON), however deep; a tree that is null or no JSON has none."""
-    import json
-
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for doc, tree in zip(frame.doc, frame.tree):
-                try:
-                    stack, i = [json.loads(tree)] if tree else [], 0
-                except ValueError:
-                    continue
-                while stack:
-                    node = stack.pop()
-                    if isinstance(node, list):
-                        stack += reversed(node)
-                        continue
-                    if not isinstance(node, dict):
-                        continue
-                    stack += reversed(node.get("kids") or [])
-                    if node.get("content"):
-                        box = [*(node.get("bounding box") or []), None, None, None, None]
-                        rows.append((doc, node.get("page number"), i, box[0], box[3], node.get("heading level"), node["content"]))
-                        i += 1
-            yield pd.DataFrame(rows, columns=["doc", "page", "id", "x0", "y1", "level", "content"])
-
-    return trees.select("doc", "tree").mapInPandas(run, "doc bigint, page int, id int, x0 double, y1 double, level int, content string")
+    """doc, page, id, depth, x0, y1, level, content of all text nodes of layout trees (doc, tree as JSON), however deep.
+
+    Nodes come out row by row, so a tree's nodes are never held together. A tree that is null, empty or no JSON has none; a page, place or
+    level that is no number is null.
+    """
+    nodes = LayoutNodes(F.col("tree").outer())
+    return trees.select("doc", "tree").lateralJoin(nodes).select("doc", "page", "id", "depth", "x0", "y1", "level", "content")
+
+
+def register_functions(spark: SparkSession) -> None:
+    """layout_nodes for SQL: select doc, n.* from trees, lateral layout_nodes(tree) n."""
+    spark.udtf.register("layout_nodes", LayoutNodes)
 
 
 def write_report(section: DataFrame, path: str) -> None:
