@@ -78,9 +78,11 @@ def contracts(lines: DataFrame, parsed: DataFrame, reach: int = 400) -> DataFram
     plain = F.col("line").contains("특별약관") | clean.startswith("보통약관")
     size = F.sum(F.length("line") + 1).over(_before())
     own = lines.select("doc", "pos", (size - F.length("line") - 1).alias("begin"), size.alias("end"), F.when(heading, clean).alias("head"), F.when(plain, clean).alias("line"))
-    at = own.join(runs.select("doc", "run", F.col("first_pos").alias("pos")), ["doc", "pos"]).select("doc", "run", F.col("pos").alias("first_pos"), F.col("begin").alias("from"))
-    named = own.filter("head is not null or line is not null")
-    near = at.join(named, "doc").filter((F.col("pos") < F.col("first_pos")) & (F.col("end") > F.col("from") - reach)).groupBy("doc", "run").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("pos"))).alias("head"), F.max_by("line", F.when(F.col("line").isNotNull(), F.col("pos"))).alias("plain"))
+    # the last of each kind before a line; if it is too far away, so are all before it
+    last = lambda c: F.last(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("text"))), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    near = own.withColumns({"h": last("head"), "l": last("line")}).join(runs.select("doc", "run", F.col("first_pos").alias("pos")), ["doc", "pos"])
+    within = lambda c: F.when(F.col(f"{c}.end") > F.col("begin") - reach, F.col(f"{c}.text"))
+    near = near.select("doc", "run", within("h").alias("head"), within("l").alias("plain"))
     return runs.join(near, ["doc", "run"], "left").select("doc", "run", "first_jo", "last_jo", "n", "first_pos", F.coalesce("head", "plain", F.lit("")).alias("heading"))
 
 

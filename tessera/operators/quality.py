@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import ranks
+from tessera.operators import ranks, substrings
 
 #: Targets of the decision table, and bounds of the gate.
 RECALL_5, RECALL_3, FAITHFULNESS, RELEVANCY, GAP = 0.95, 0.90, 0.80, 0.80, 0.1
@@ -192,16 +192,20 @@ def density(parsed: DataFrame, most_chars: int = 30_000) -> DataFrame:
 def anchor_ranks(hits: DataFrame, anchors: DataFrame) -> DataFrame:
     """query_id and the least rank of a hit (query_id, rank, content) that holds one of the question's anchors (query_id, anchor), both without white space in lower case."""
     tight = lambda c: F.lower(F.regexp_replace(c, r"\s", ""))
-    own = anchors.groupBy("query_id").agg(F.collect_list(tight(F.col("anchor"))).alias("anchors"))
-    found = hits.join(own, "query_id").withColumn("t", tight(F.col("content"))).withColumn("hit", F.exists("anchors", lambda a: F.col("t").contains(a)))
-    return found.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
+    needles = anchors.select("query_id", tight(F.col("anchor")).alias("needle")).distinct().withColumn("nid", F.col("needle"))
+    texts = hits.select("query_id", F.col("rank").alias("tid"), tight(F.col("content")).alias("text"))
+    best = substrings.containing(texts, needles, ["query_id"]).groupBy("query_id").agg(F.min("tid").alias("first"))
+    asked = hits.select("query_id").distinct().join(anchors.select("query_id").distinct(), "query_id")
+    return asked.join(best, "query_id", "left")
 
 
 def first_either_way(wanted: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """For each wanted (key, id, name) the first rule (key, ord, name) whose name is part of the wanted one or has it as a part; both names meet by key."""
-    rule = rules.select(key, "ord", F.col("name").alias("rule"))
-    both = wanted.join(rule, key, "left").withColumn("ok", F.col("rule").contains(F.col("name")) | F.col("name").contains(F.col("rule")))
-    return both.groupBy(key, "id", "name").agg(F.min(F.when(F.col("ok"), F.struct("ord", "rule"))).alias("r")).select(key, "id", "name", "r.ord", "r.rule")
+    """For each wanted (key, id, name) the first rule (key, ord, name; ord tells rules of a key apart) whose name is part of the wanted one or has it as a part; both names meet by key."""
+    names, rule = wanted.select(key, "name").distinct(), rules.select(key, "ord", F.col("name").alias("rule"))
+    inside = substrings.containing(rule.select(key, F.col("ord").alias("tid"), F.col("rule").alias("text")), names.select(key, F.col("name").alias("nid"), F.col("name").alias("needle")), [key]).select(key, F.col("nid").alias("name"), F.col("tid").alias("ord"))
+    around = substrings.containing(names.select(key, F.col("name").alias("tid"), F.col("name").alias("text")), rule.select(key, F.col("ord").alias("nid"), F.col("rule").alias("needle")), [key]).select(key, F.col("tid").alias("name"), F.col("nid").alias("ord"))
+    first = inside.union(around).groupBy(key, "name").agg(F.min("ord").alias("ord")).join(rule, [key, "ord"])
+    return wanted.select(key, "id", "name").join(first, [key, "name"], "left").select(key, "id", "name", "ord", "rule")
 
 
 def annex_refs_open(docs: DataFrame, annexes: DataFrame) -> DataFrame:

@@ -49,33 +49,30 @@ def running_page(lines: DataFrame) -> DataFrame:
     return lines.withColumn("page", F.last(text.page_of(F.col("line")), ignorenulls=True).over(_before()))
 
 
+def _numbered(lines: DataFrame, by_heading: bool = False) -> DataFrame:
+    """Adds kind (table or text), whether a line is a heading, and the number of its block."""
+    marked = lines.withColumns({"kind": F.when(text.is_table_line(F.col("line")), "table").otherwise("text"), "titled": text.heading(F.col("line"))[0].isNotNull()})
+    change = F.coalesce((F.col("kind") != F.lag("kind").over(_order())).cast("int"), F.lit(0))
+    if by_heading:
+        change = F.when(F.col("titled"), 1).otherwise(change)
+    return marked.withColumn("change", change).withColumn("segment", F.sum("change").over(_before()))
+
+
 def segments(lines: DataFrame, by_heading: bool = False) -> DataFrame:
     """Blocks of table lines and of other lines in order: doc, segment, kind, first_pos, n, content.
 
     by_heading: a heading begins a block too, and is not part of its content.
     """
-    kind = F.when(text.is_table_line(F.col("line")), "table").otherwise("text")
-    marked = lines.withColumn("kind", kind)
-    change = F.coalesce((F.col("kind") != F.lag("kind").over(_order())).cast("int"), F.lit(0))
-    titled = text.heading(F.col("line"))[0].isNotNull()
-    if by_heading:
-        change = F.when(titled, 1).otherwise(change)
-    numbered = marked.withColumn("change", change).withColumn("segment", F.sum("change").over(_before()))
-    kept = F.when(~titled, F.struct("pos", "line")) if by_heading else F.struct("pos", "line")
+    kept = F.when(~F.col("titled"), F.struct("pos", "line")) if by_heading else F.struct("pos", "line")
     content = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x.line), "\n")
-    return numbered.groupBy("doc", "segment", "kind").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"), text.strip(content).alias("content")).filter("content <> ''")
+    return _numbered(lines, by_heading).groupBy("doc", "segment", "kind").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"), text.strip(content).alias("content")).filter("content <> ''")
 
 
 def junk_tables(lines: DataFrame) -> DataFrame:
-    """Blocks of table lines that have a single column."""
+    """Blocks of table lines that have a single column; a line knows its block from the window that numbers them."""
     inner = F.regexp_replace(text.strip(F.col("line")), r"^\|+|\|+$", "")
     single = inner.rlike(r"^[\s\-:]+$") | ~inner.contains("|")
-    tables = lines.withColumn("single", single)
-    blocks = segments(lines).filter("kind = 'table'").select("doc", "segment", "first_pos", "n")
-    own = tables.join(blocks, "doc").filter((F.col("pos") >= F.col("first_pos")) & text.is_table_line(F.col("line")))
-    w = Window.partitionBy("doc", "pos").orderBy(F.desc("first_pos"))
-    own = own.withColumn("k", F.row_number().over(w)).filter("k = 1")
-    return own.groupBy("doc", "segment").agg(F.min("single").alias("junk"))
+    return _numbered(lines).filter("kind = 'table'").groupBy("doc", "segment").agg(F.min(single).alias("junk"))
 
 
 def clauses(lines: DataFrame) -> DataFrame:
@@ -195,9 +192,12 @@ def merge_recognised(chunks: DataFrame, recognised: DataFrame) -> DataFrame:
     last = chunks.groupBy("doc", "heading_path").agg(F.max("seq").alias("after"))
     ends = chunks.groupBy("doc").agg(F.max("seq").alias("end"))
     with_heading = recognised.filter(F.col("heading_path").isNotNull()).join(last, ["doc", "heading_path"], "left").join(ends, "doc").select(*recognised.columns, (F.coalesce("after", "end") + 0.5).alias("at"))
-    later = recognised.filter(F.col("heading_path").isNull()).alias("r").join(chunks.select("doc", "seq", F.col("start_page").alias("page")).alias("c"), "doc", "left")
-    first = later.groupBy(*[F.col(f"r.{c}") for c in recognised.columns if c != "doc"], "doc").agg(F.min(F.when(F.coalesce("page", F.lit(0)) > F.coalesce(F.col("r.start_page"), F.lit(0)), F.col("c.seq"))).alias("before"))
-    without = first.join(ends, "doc").select(*recognised.columns, F.coalesce(F.col("before") - 0.5, F.col("end") + 0.5).alias("at"))
+    # the first chunk of a later page is one whose page is higher than all before it; of these the pages rise
+    seen = F.max("page").over(Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    steps = chunks.select("doc", "seq", F.coalesce("start_page", F.lit(0)).alias("page")).withColumn("seen", seen).filter(F.col("page") > F.coalesce("seen", F.lit(-1)))
+    rest = recognised.filter(F.col("heading_path").isNull()).select("doc", F.struct(*recognised.columns).alias("id"), (-F.coalesce("start_page", F.lit(0)) - 0.5).alias("at"))
+    first = nearest_before(rest, steps.select("doc", (-F.col("page")).cast("double").alias("at"), F.col("seq").alias("value")))
+    without = first.join(ends, "doc").select(*[F.col("id")[c].alias(c) for c in recognised.columns], F.coalesce(F.col("value") - 0.5, F.col("end") + 0.5).alias("at"))
     rows = chunks.withColumns({"at": F.col("seq").cast("double"), "recognised": F.lit(False)}).unionByName(with_heading.unionByName(without).withColumns({"at": F.col("at").cast("double"), "recognised": F.lit(True)}).withColumnRenamed("id", "seq"))
     order = Window.partitionBy("doc").orderBy("at", "recognised", "seq")
     return rows.withColumn("new_seq", F.row_number().over(order)).select("doc", "seq", "recognised", "new_seq")
