@@ -45,7 +45,10 @@ def interval_join(spark, sf_dir):
 
 
 def approximate(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median_qty"))
+    """Exact figures, and whether the approximate ones are as near as they promise: a deviation of 5 in a hundred (four of them), and ranks within one in a hundred."""
+    own = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.05).alias("about"), F.percentile_approx("l_quantity", 0.5, 10000).alias("middle"))
+    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(own), "l_returnflag").groupBy("l_returnflag", "parts", "about").agg(F.avg((F.col("l_quantity") < F.col("middle")).cast("double")).alias("below"), F.avg((F.col("l_quantity") <= F.col("middle")).cast("double")).alias("upto"))
+    return rows.select("l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) <= 0.2 * F.col("parts")).alias("parts_near"), ((F.col("below") <= 0.51) & (F.col("upto") >= 0.49)).alias("median_near"))
 
 
 def json_props(spark, sf_dir):
@@ -72,6 +75,18 @@ def feedback_stream(spark, sf_dir):
     return windows.drain(windows.late_feedback(stream().filter("event_type <> 'purchase'"), signals))
 
 
+def feedback_so_far(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    signals = events.filter("event_type = 'purchase'").withColumn("trace_id", F.col("event_id") - 1)
+    return windows.late_feedback_so_far(events.filter("event_type <> 'purchase'"), signals)
+
+
+FEEDBACK_SQL = """
+with s as (select event_id as signal_id, event_id - 1 as of_, ts as signalled from events where event_type = 'purchase'), t as (select event_id as trace_id, ts as traced, value from events where event_type <> 'purchase'),
+w as (select least((select max(signalled) from s), (select max(traced) from t)) - interval 2 hours as passed)
+select signal_id, trace_id, value from s left join t on of_ = trace_id and traced <= signalled and traced >= signalled - interval 1 hour where trace_id is not null or signalled < (select passed from w)
+"""
+
 STREAMS = {
     "st3_daily_windows": (_instant(lambda e: windows.tumbling(e).withColumn("start", F.date_format("start", "yyyy-MM-dd"))), "select strftime(ts, '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2"),
     "st_sliding_windows": (_instant(lambda e: windows.sliding(e).withColumn("start", F.unix_seconds("start"))), "with w as (select unnest([0, 7200, 14400]) as o, cast(floor(epoch(ts) / 7200) * 7200 as bigint) as s from events) select s - o as start, count(*) as n from w group by 1"),
@@ -80,11 +95,12 @@ STREAMS = {
     "st4_span_totals": (_instant(windows.span_totals), "select user_id, event_type, round(sum(value), 2) as ms, count(*) as n from events group by 1, 2"),
     "st_distinct_within": (_stream(lambda e: windows.distinct_within(e, ["event_id"]).select("event_id", "event_type")), "select distinct event_id, event_type from events"),
     "st_stateful_counts": (_stream(windows.running_counts, "update"), "select user_id, count(*) as n, round(sum(value), 4) as total from events group by user_id"),
-    "st5_late_feedback": (feedback_stream, None),
+    "st5_late_feedback": (feedback_stream, FEEDBACK_SQL),
+    "st5_late_feedback_replayed": (feedback_so_far, FEEDBACK_SQL),
 }
 
 QUERIES = {name: (_sql(text), text) for name, text in SQL.items()} | {
     "rel_interval_join": (interval_join, "select p.event_id as purchase, c.event_id as click from events p join events c on p.user_id = c.user_id and p.event_type = 'purchase' and c.event_type = 'click' and c.ts <= p.ts and c.ts >= p.ts - interval 10 minutes"),
-    "rel_approximate": (approximate, None),
+    "rel_approximate": (approximate, "select l_returnflag, count(distinct l_partkey) as parts, true as parts_near, true as median_near from lineitem group by 1"),
     "rel_json": (json_props, "with k as (select cast(json_extract(props, '$.k') as int) as k from events) select k % 10 as bucket, count(*) as n, cast(sum(k) as bigint) as total from k group by 1"),
 } | STREAMS

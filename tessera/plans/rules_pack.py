@@ -41,15 +41,25 @@ j as (select id, code, case when h is not null then '보장' when t is not null
   case when h is not null then code || ' ∈ ' || h[2] || ' 범위 ' || h[3] when t is not null then code || '는 ' || t[2] || ' 범위(' || t[3] || ') — ' || coverage || ' 아님' else code || ' 어느 범위에도 없음 → RAG/전문가' end as evidence from m)
 """
 _EXCLUSION_ONE = "list_filter([" + ", ".join("case when " + " or ".join(f"contains(coalesce(body, ''), {q(w)})" for w in ws) + f" then '{tag}' end" for tag, ws in routing.EXCLUSION_TAGS) + "], lambda t: t is not null)"
-_EXCLUSIONS = f"""
-xt as (select product_id, jo, list_sort({_EXCLUSION_ONE}) as tags from ({EXCLUSIONS})),
+
+
+def _exclusions_sql(rows: str, notes: str) -> str:
+    return f"""
+xt as (select product_id, jo, list_sort({_EXCLUSION_ONE}) as tags from ({rows})),
 xu as (select product_id, jo, unnest(tags) as tag, generate_subscripts(tags, 1) as i from xt),
 xo as (select product_id, string_agg(tag, '·' order by jo, i) as tags from (select product_id, tag, min(jo) as jo, arg_min(i, jo) as i from xu group by 1, 2) group by 1),
 xr as (select product_id, string_agg('제' || jo || '조', ' · ' order by jo) as refs from xt group by 1),
 xa as (select p.product_id, coalesce(nullif(concat_ws('  ', case when xo.tags is not null then '지급 제외(면책) 사유: ' || xo.tags || ' 등 (' || xr.refs || ') — 상세는 해당 조 확인 필요' when xr.refs is not null then '지급 제외(면책): ' || xr.refs || ' 참조 — 확인 필요' end,
   case when contains(coalesce(resolution_note, ''), '준용') then '※ 공통면책(전쟁·임신·위험활동 등)은 ' || coalesce(nullif(replace(regexp_extract(resolution_note, '제\\s*\\d+\\s*조'), ' ', ''), ''), '주계약') || ' 준용 소관 — 주계약 미확보로 확인 필요' end), ''), '면책(지급 제외) 조를 찾지 못했습니다(→RAG).') as answer
-  from ({PRODUCTS}) p left join xr using (product_id) left join xo using (product_id))
+  from ({notes}) p left join xr using (product_id) left join xo using (product_id))
 """
+
+
+_EXCLUSIONS = _exclusions_sql(EXCLUSIONS, PRODUCTS)
+#: Excluding clauses that suppliers stand for, by product for each nation, and what the products defer to.
+CLAUSES_OF_NATIONS = """select concat('S', cast(s_nationkey as string)) as product_id, s_suppkey as jo, '지급하지 않는 사유' as title,
+  case s_suppkey % 6 when 0 then '피보험자가 고의로 자신을 해친 경우, 임신, 출산' when 1 then '전쟁, 내란, 음주운전' when 2 then '특별한 사유' when 3 then '글라이더, 무면허 운전' when 4 then '출산 또는 혁명' end as body from supplier"""
+NOTES_OF_NATIONS = "select concat('S', cast(n_nationkey as string)) as product_id, case n_nationkey % 4 when 0 then '청약철회는 제 12 조 준용' when 1 then '준용' when 2 then '없음' end as resolution_note from nation"
 _GATED = lambda g: f"(select * from ({QUESTIONS}) where regexp_matches(question, {q(routing.GATES[g])}))"
 CASCADE_SQL = f"""
 with a as ({_ASK} {_GATED('payout')}), {_PAY},
@@ -82,7 +92,7 @@ def reconciled(spark, sf_dir):
 
 
 def exclusions(spark, sf_dir):
-    return rules.format_exclusions(frame(spark, sf_dir, EXCLUSIONS), frame(spark, sf_dir, PRODUCTS).select("product_id", "resolution_note"))
+    return rules.format_exclusions(frame(spark, sf_dir, CLAUSES_OF_NATIONS), frame(spark, sf_dir, NOTES_OF_NATIONS))
 
 
 def cascade(spark, sf_dir):
@@ -95,6 +105,6 @@ QUERIES = {
     "q10_coverage": (coverage, f"with k as ({CODES}), {_JUDGE} select * from j"),
     "q11_reconciled": (reconciled, f"""with k as ({CODES}), {_JUDGE}, b as (select id, verdict, case verdict when '보장' then coverage when '미보장' then redirect_coverage end as pays from j),
 a as ({_ASK} (select id, pays || ' 얼마 지급' as question from b where pays is not null)), {_PAY} select b.id, b.verdict, b.pays, pay.answer as payout from b left join pay on b.id = pay.id"""),
-    "q6_exclusions": (exclusions, f"with {_EXCLUSIONS.strip()} select * from xa"),
+    "q6_exclusions": (exclusions, f"with {_exclusions_sql(CLAUSES_OF_NATIONS, NOTES_OF_NATIONS).strip()} select * from xa"),
     "q12_cascade": (cascade, CASCADE_SQL),
 }

@@ -60,6 +60,20 @@ def late_feedback(traces: DataFrame, signals: DataFrame, within: str = "1 hour")
     return s.join(t, on, "left").select("signal_id", "trace_id", "value")
 
 
+def late_feedback_so_far(traces: DataFrame, signals: DataFrame, within: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """What late_feedback() has given once all these rows have come in order of time: signals without a trace only from before the watermark.
+
+    The watermark lies by the delay behind the earlier of the last signal and the last trace; a later signal may still meet a trace. Both
+    sides meet by trace, so nothing but the two last times is the same for all.
+    """
+    t = traces.select(F.col("event_id").alias("trace_id"), F.col("ts").alias("traced"), "value")
+    s = signals.select(F.col("event_id").alias("signal_id"), F.col("trace_id").alias("of"), F.col("ts").alias("signalled"))
+    on = (F.col("of") == F.col("trace_id")) & (F.col("traced") <= F.col("signalled")) & (F.col("traced") >= F.col("signalled") - F.expr(f"interval {within}"))
+    ends = [frame.agg(F.max("ts")).first()[0] for frame in (traces, signals)]
+    passed = F.lit(None if None in ends else min(ends)).cast("timestamp") - F.expr(f"interval {delay}")
+    return s.join(t, on, "left").filter(F.col("trace_id").isNotNull() | (F.col("signalled") < passed)).select("signal_id", "trace_id", "value")
+
+
 def running_counts(events: DataFrame) -> DataFrame:
     """Rows of each user so far, with state of its own: user_id, n, last, given anew with each batch."""
 
