@@ -19,13 +19,21 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+# Blanks that are one or none, quotation marks and dashes, and what they become.
+BLANKS, NOTHING = "\u00a0\u3000", "\u200b\u200c\u200d\ufeff"
+DOUBLE_QUOTES, SINGLE_QUOTES = "「」『』\u201c\u201d\u201e\u201f\u00ab\u00bb", "\u2018\u2019\u201a\u201b"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
+REPLACED = BLANKS + DOUBLE_QUOTES + SINGLE_QUOTES + DASHES + NOTHING
+REPLACEMENTS = " " * len(BLANKS) + '"' * len(DOUBLE_QUOTES) + "'" * len(SINGLE_QUOTES) + "-" * len(DASHES)
+
+
 def squeeze(text: Column) -> Column:
     """White space, quotes and dashes in one form: everything of the normaliser but the compatibility composition."""
-    text = F.translate(text, " 　‘’“”–—​‌‍﻿", "  ''\"\"--")
+    text = F.translate(text, REPLACED, REPLACEMENTS)
     text = F.regexp_replace(text, "\t", "    ")
     text = F.regexp_replace(text, "·{3,}", " ")
     text = F.regexp_replace(text, "…{2,}", " ")
-    text = F.regexp_replace(text, "(?m)[ \t]+$", "")
+    text = F.regexp_replace(text, "[ \t]+\n", "\n")
     text = F.regexp_replace(text, "\n{3,}", "\n\n")
     return F.regexp_replace(text, " {2,}", " ")
 

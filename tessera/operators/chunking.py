@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+from tessera.operators import structure
+
 #: Characters of a text, table and least chunk; of a window and its overlap.
 TEXT_MAX, TABLE_MAX, LEAST, WINDOW, OVERLAP = 1200, 2400, 300, 800, 150
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
@@ -75,7 +79,7 @@ def table_rows(text: str, most: int = TABLE_MAX) -> list[str]:
     if len(text) <= most or len(rows) <= 2 or not rows[heads:]:
         return [text]
     head = "\n".join(rows[:heads])
-    return [head + "\n" + body for body in pack(rows[heads:], most - len(head) - 1, "\n")]
+    return [head + "\n" + body for body in pack(rows[heads:], most - len(head) - 2, "\n")]
 
 
 def html_table(html: str) -> str:
@@ -136,8 +140,112 @@ def adaptive_chunks(segments: DataFrame) -> DataFrame:
             rows = [(doc, path, pos, i, kind, c) for doc, path, pos, kind, content in zip(frame.doc, frame.path, frame.first_pos, frame.kind, frame.content) for i, c in enumerate(table_rows(content) if kind == "table" else paragraphs(content))]
             yield pd.DataFrame(rows, columns=["doc", "path", "first_pos", "i", "kind", "content"])
 
-    from pyspark.sql import Window
-
     cut = segments.select("doc", "path", "first_pos", "kind", "content").mapInPandas(run, "doc bigint, path string, first_pos bigint, i int, kind string, content string")
     own = Window.partitionBy("doc", "path")
     return cut.select("doc", "path", F.row_number().over(own.orderBy("first_pos", "i")).alias("part_index"), F.count("*").over(own).alias("part_total"), "kind", "content")
+
+
+NOISE = re.compile(r"!\[image\s+\d+\]|.*·{5}|.*…{3}|[-–—]\s*\d+\s*[-–—]$|\d+\s*[-–—]$|(?i:page\s+)?\d+\s*/\s*\d+$|(?i:page)\s+\d+\s+(?i:of)\s+\d+$", re.DOTALL)
+
+
+def _is_table(line: str) -> bool:
+    line = line.strip()
+    return line.startswith("|") and line.endswith("|")
+
+
+def blocks(lines: list[str]) -> list[tuple[bool, list[str]]]:
+    """Runs of table lines (true) and of others, in order."""
+    return [(kind, list(run)) for kind, run in itertools.groupby(lines, _is_table)]
+
+
+def clean(raw: str) -> str:
+    """A node's text without tables of one column, page marks and noise, as text.is_noise_line() and structure.junk_tables() have them by line."""
+    kept: list[str] = []
+    for table, run in blocks(raw.split("\n")):
+        inner = [line.strip().strip("|") for line in run]
+        if not table or any("|" in x and not re.match(r"[\s\-:]+$", x) for x in inner):
+            kept += run
+    marks = (s for s in kept if not re.match(tx.PAGE_MARKER, s))
+    solid = (s for s in marks if not NOISE.match(s.strip()) and not (0 < len(s.strip()) <= 2 and not re.search("[가-힣a-zA-Z0-9]", s)))
+    return "\n".join(re.sub(r"^#{7,}\s+", "", s) for s in solid).strip()
+
+
+def parts_of(body: str, text_max: int = TEXT_MAX, table_max: int = TABLE_MAX, least: int = LEAST) -> list[tuple[str, str]]:
+    """(kind, content) of a clean text: tables by rows, all else by paragraphs."""
+    out = []
+    for table, run in blocks(body.split("\n")):
+        content = "\n".join(run).strip()
+        if content and table:
+            out += [("table", part) for part in table_rows(content, table_max)]
+        elif content:
+            out += [("text", part) for part in ([content] if len(content) <= text_max else paragraphs(content, text_max, least))]
+    return out
+
+
+def page_spans(parts: list[str], raw: str, page: int | None) -> list[tuple[int | None, int | None]]:
+    """First and last page of each part of a node's text that begins on a page: marks count that lie before the same share of the raw as of the clean text.
+
+    A part that is not found (a table under a repeated head) has the span of the node.
+    """
+    marks, at = [], 0
+    for line in raw.split("\n"):
+        if m := re.match(tx.PAGE_MARKER, line):
+            marks.append((at, int(m[1])))
+        at += len(line) + 1
+    if not marks:
+        return [(page, page)] * len(parts)
+    numbers = [p for _, p in marks]
+    whole = (min(numbers) if page is None else min(page, *numbers), max(numbers))
+    full = clean(raw)
+    on = lambda place: next((p for a, p in reversed(marks) if a <= int(place / len(full) * len(raw))), page)
+    out, after = [], 0
+    for part in parts:
+        begin = full.find(part.strip(), after)
+        if begin < 0:
+            out.append(whole)
+            continue
+        after = begin + len(part.strip())
+        first, last = on(begin), on(after)
+        both = [p for p in (first, last) if p]
+        out.append((min(first, last), max(first, last)) if None not in (first, last) else (both[0], both[0]) if both else (None, None))
+    return out
+
+
+def chunk_markdown(docs: DataFrame) -> DataFrame:
+    """Chunks of markdown texts (doc, text) along their tree of headings: doc, node, part, heading, path, kind, part_index, part_total, first_page, last_page, content.
+
+    Texts are normalised and their headings repaired; every heading is a node with the lines up to the next, under the path of the open
+    headings. What comes before the first is one chunk (preamble), and a text without headings is one as a whole (no heading): these two
+    have no kind, path or parts. Nodes of a table of contents are left out, not those below them; nodes without text have no chunk. A
+    null text has none. A node's text is held in one task, a document's is not: nodes are windows and groups over lines.
+    """
+    fixed = F.flatten(F.transform(F.split(tx.normalize(F.col("text")), "\n"), tx.repaired_line))
+    again = F.split(F.array_join(fixed, "\n"), r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]")
+    lines = structure.running_page(structure.heading_paths(docs.filter(F.col("text").isNotNull()).select("doc", F.posexplode(again).alias("pos", "line"))))
+    order = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("node", F.sum(F.col("level").isNotNull().cast("int")).over(order))
+    first = lambda c: F.max(F.when(F.col("level").isNotNull(), F.col(c))).alias(c)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("pos", "line")))), lambda x: F.concat(x.line, F.lit("\n"))), "")
+    nodes = lines.groupBy("doc", "node").agg(first("title"), first("path"), first("page"), body.alias("raw"))
+    nodes = nodes.withColumn("headings", F.max("node").over(Window.partitionBy("doc"))).filter(~F.coalesce(tx.is_toc_heading(F.col("title")), F.lit(False)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc, node, title, path, page, raw, headings in frame.itertuples(index=False):
+                page, content = None if pd.isna(page) else int(page), clean(raw)
+                if not headings:
+                    rows.append((doc, 0, 0, "(no heading)", None, None, None, None, None, None, content or raw.strip()))
+                elif not node and content:
+                    own = [int(m[1]) for line in raw.split("\n") if (m := re.match(tx.PAGE_MARKER, line))]
+                    rows.append((doc, 0, 0, "(preamble)", None, None, None, None, min(own, default=None), max(own, default=None), content))
+                elif node and content:
+                    parts = parts_of(content)
+                    spans = page_spans([c for _, c in parts], raw, page)
+                    rows += [(doc, node, i, title, path, kind, i, len(parts), *span, c.strip()) for i, ((kind, c), span) in enumerate(zip(parts, spans), 1)]
+            out = pd.DataFrame(rows, columns=["doc", "node", "part", "heading", "path", "kind", "part_index", "part_total", "first_page", "last_page", "content"])
+            yield out.astype({c: "Int32" for c in ("part_index", "part_total", "first_page", "last_page")})
+
+    doc = docs.schema["doc"].dataType.simpleString()
+    columns = nodes.select("doc", "node", "title", "path", "page", "raw", "headings")
+    return columns.mapInPandas(run, f"doc {doc}, node bigint, part int, heading string, path string, kind string, part_index int, part_total int, first_page int, last_page int, content string")

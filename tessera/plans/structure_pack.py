@@ -180,6 +180,13 @@ def adaptive(spark, sf_dir):
     return chunking.adaptive_chunks(segments.withColumn("first_pos", F.col("first_pos").cast("long")))
 
 
+def tree_chunks(spark, sf_dir):
+    """Chunks of markdown made from documents: every seventh sentence is a heading, every eleventh is followed by a page mark."""
+    marked = F.transform(F.split("text", r"\. "), lambda s, i: F.when(i % 7 == 3, F.concat(F.repeat(F.lit("#"), (i % 5 + 1).cast("int")), F.lit(" "), s)).when(i % 11 == 5, F.concat(s, F.lit(".\n<!-- page:"), (i / 11).cast("int").cast("string"), F.lit(" -->"))).otherwise(F.concat(s, F.lit("."))))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.array_join(marked, "\n").alias("text"))
+    return chunking.chunk_markdown(docs).select("doc", "node", "part", "heading", "path", "kind", "part_index", "part_total", "first_page", "last_page", F.md5("content").alias("content_md5"))
+
+
 QUERIES = {
     "w12_heading_paths": (paths, PATHS_SQL),
     "w14_segments": (blocks, BLOCKS_SQL),
@@ -195,4 +202,5 @@ QUERIES = {
     "j14_merge_recognised": (merged, MERGED_SQL),
     "d5_fixed_chunks": (fixed, FIXED_SQL),
     "d1_adaptive_chunks": (adaptive, None),
+    "d1_tree_chunks": (tree_chunks, None),
 }

@@ -118,15 +118,15 @@ from t
 
 
 def normalised(spark, sf_dir):
-    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.lit("  \t \n\n\n\n“end” —  x ····· y  ")).alias("text"))
+    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.lit("  \t \n\n\n\n“end” —  x ····· y 「a」『b』„c‟ «d» ‘e’ ‚f‛ g‐h‒i–j―k−l  ")).alias("text"))
     return source.select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normalised_md5"), text.token_count(F.col("text")).alias("tokens"), F.md5(text.scoring_form(F.col("text"))).alias("scoring_md5"))
 
 
-_T = "translate(text, ' 　‘’“”–—​‌‍﻿', '  ''''\"\"--')"
-for _p, _r in ((r"\t", "    "), ("·{3,}", " "), ("…{2,}", " "), (r"(?m)[ \t]+$", ""), (r"\n{3,}", None), (" {2,}", " ")):
+_T = f"translate(text, {q(text.REPLACED)}, {q(text.REPLACEMENTS)})"
+for _p, _r in ((r"\t", "    "), ("·{3,}", " "), ("…{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", None), (" {2,}", " ")):
     _T = f"regexp_replace({_T}, '{_p}', " + ("chr(10) || chr(10)" if _r is None else f"'{_r}'") + ", 'g')"
 NORMALISED_SQL = rf"""
-with d as (select doc_id, text || '  ' || chr(9) || ' ' || chr(10) || chr(10) || chr(10) || chr(10) || '“end” —  x ····· y  ' as text from documents)
+with d as (select doc_id, text || '  ' || chr(9) || ' ' || chr(10) || chr(10) || chr(10) || chr(10) || '“end” —  x ····· y 「a」『b』„c‟ «d» ‘e’ ‚f‛ g‐h‒i–j―k−l  ' as text from documents)
 select doc_id, md5({_T}) as normalised_md5, cast(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) as int) as tokens, md5(lower(regexp_replace(text, '[\s.,;:!?()\[\]{{}}''"·\-]', '', 'g'))) as scoring_md5 from d
 """
 
