@@ -44,21 +44,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("oid", "th", "pos", F.btrim("line", F.lit(CUT)).alias("line")).withColumns({"m": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
+def _pieces(text: Column) -> Column:
+    """A text cut every BLOCK characters, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _running(pieces: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... pieces, each made from the one before."""
+    return F.aggregate(pieces, F.array(F.lit(0).cast("bigint")), lambda done, piece: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), piece))))
+
+
 def _variants(candidates: DataFrame) -> DataFrame:
-    """key, role, id: a row for each block of a line as the shorter one (role 0), two for each deletion: by the shorter line that it makes (1), and by place (2)."""
-    block = candidates.select("id", "m", "line", "low", "high", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / BLOCK).cast("int"))).alias("b"))
-    at = F.col("b") * BLOCK
-    block = block.select(
-        "id",
-        "m",
-        "low",
-        "high",
-        "b",
-        F.xxhash64(F.substring("line", F.lit(1), at)).alias("before"),
-        F.substring("line", at + 1, F.lit(BLOCK)).alias("middle"),
-        F.xxhash64(F.substring("line", at + BLOCK + 1, F.col("m"))).alias("behind"),
-        F.xxhash64(F.substring("line", at + BLOCK, F.col("m"))).alias("behind_short"),
-    )
+    """id, role, key, place: a row for each block of a line as the shorter one (role 0), two for each deletion: by the shorter line that it makes (1), and by place (2).
+
+    What is behind a block is cut every BLOCK characters from the block's end on, in the shorter line from one character before, so both
+    cuts of a line give the hashes behind all of its blocks.
+    """
+    pieces, shifted = _pieces(F.col("line")), _pieces(F.substring(F.col("line"), F.lit(BLOCK), F.col("m")))
+    from_right = lambda cut: F.reverse(_running(F.reverse(cut)))
+    parts = F.arrays_zip(_running(pieces).alias("before"), pieces.alias("middle"), F.slice(from_right(pieces), F.lit(2), F.size(pieces) + 1).alias("behind"), from_right(shifted).alias("behind_short"))
+    # a row holds its own block alone
+    block = candidates.select("id", "m", "low", "high", F.posexplode(parts).alias("b", "x")).filter(F.col("b") <= F.col("m") / BLOCK)
+    none = F.lit(0).cast("bigint")
+    block = block.select("id", "m", "low", "high", "b", "x.before", F.coalesce("x.middle", F.lit("")).alias("middle"), F.coalesce("x.behind", none).alias("behind"), F.coalesce("x.behind_short", none).alias("behind_short"))
     short = F.xxhash64("b", "before", F.substring("middle", 1, BLOCK - 1), "behind_short")
 
     def deleted(i: Column) -> Column:
@@ -66,12 +74,12 @@ def _variants(candidates: DataFrame) -> DataFrame:
         place = F.col("b") * BLOCK + i
         return F.when(
             (place >= F.col("low")) & (place <= F.col("high")),
-            F.array(F.struct(F.lit(1).alias("role"), F.xxhash64(F.lit("shorter"), F.col("m") - 1, rest).alias("key")), F.struct(F.lit(2).alias("role"), F.xxhash64(F.lit("place"), F.col("m"), place, rest).alias("key"))),
+            F.array(F.struct(F.lit(1).alias("role"), F.xxhash64(F.lit("shorter"), F.col("m") - 1, rest).alias("key"), place.alias("place")), F.struct(F.lit(2).alias("role"), F.xxhash64(F.lit("place"), F.col("m"), place, rest).alias("key"), place.alias("place"))),
         )
 
     inner = F.when(F.length("middle") > 0, F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), F.length("middle") - 1), deleted))))
-    own = F.array(F.struct(F.lit(0).alias("role"), F.xxhash64(F.lit("shorter"), F.col("m"), short).alias("key")))
-    return block.select("id", F.explode(F.concat(own, F.coalesce(inner, F.array_except(own, own)))).alias("v")).select("id", "v.role", "v.key")
+    own = F.array(F.struct(F.lit(0).alias("role"), F.xxhash64(F.lit("shorter"), F.col("m"), short).alias("key"), F.lit(-1).alias("place")))
+    return block.select("id", F.explode(F.concat(own, F.coalesce(inner, F.array_except(own, own)))).alias("v")).select("id", "v.*")
 
 
 def _near(first: DataFrame) -> DataFrame:
@@ -91,26 +99,29 @@ def _dropped(docs: DataFrame, first: DataFrame) -> DataFrame:
     high = F.when(F.col("first_same") == 1, m - 1).otherwise(F.floor(m / 2).cast("int"))
     candidates = settle(found.dropDuplicates(["h1", "h2"]).select("oid", "th", "pos", "line", "m", "h1", "h2", low.alias("low"), high.alias("high"), F.xxhash64("oid", "th", "pos").alias("id")))
     key = Window.partitionBy("key")
-    met = _variants(candidates).withColumns({"x": F.min("id").over(key), "y": F.max("id").over(key)}).filter("x <> y").select("key", "role", "id").distinct()
-    order = F.struct("oid", "th", "pos", "id")
-    met = met.join(candidates.select("id", "oid", "th", "pos"), "id").select("key", "role", "id", order.alias("at"))
+    met = _variants(candidates).withColumns({"x": F.min("id").over(key), "y": F.max("id").over(key)}).filter("x <> y").groupBy("key", "role", "id").agg(F.min("place").alias("place"))
+    order = F.struct("oid", "th", "pos", "id", "place")
+    met = met.join(candidates.select("id", "oid", "th", "pos"), "id").select("key", "role", "id", "place", order.alias("at"))
     by_role = [F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"r{r}") for r in range(3)]
     pairs = met.join(met.groupBy("key").agg(*by_role), "key")
     against = F.when(F.col("role") == 0, F.col("r1")).when(F.col("role") == 1, F.col("r0")).otherwise(F.col("r2"))
-    pairs = pairs.select("id", "at", against.alias("earlier")).filter("earlier < at").select("id", F.col("earlier.id").alias("earlier")).distinct()
+    pairs = pairs.withColumn("earlier", against).filter("earlier < at").select("id", "place", F.col("earlier.place").alias("there"), F.col("earlier.id").alias("earlier")).distinct()
     texts = candidates.select("id", "line", "h1", "h2")
     checked = pairs.join(texts, "id").join(texts.select(F.col("id").alias("earlier"), F.col("line").alias("other")), "earlier")
-    return checked.filter(F.levenshtein("line", "other", 1).between(0, 1)).select("h1", "h2").distinct()
+    # one edit apart: equal without the characters at these places (none, -1, of the shorter line)
+    without = lambda line, place: F.when(place < 0, line).otherwise(F.concat(F.substring(line, F.lit(1), place), F.substring(line, place + 2, F.length(line))))
+    same = without(F.col("line"), F.col("place")) == without(F.col("other"), F.col("there"))
+    return checked.filter(same).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact_chars: int = 1) -> DataFrame:
     """Documents without the lines that an earlier line equals or nearly equals.
 
     docs: doc_id, text and any others. Returns all columns of each row with text holding the lines that
     stay, and n_lines and n_removed long, which take the place of columns of these names; no other name
     matters. Very long texts and lines are treated whole. Lines end at a line feed and are compared without blanks, tabs and
-    carriage returns at both ends; lines of fewer than exact_chars characters stay, those of fewer than
-    MIN_CHARS go only where an earlier line is the same. Earlier is by doc_id (null last), then by place. A null
+    carriage returns at both ends; empty lines stay (and those of fewer than exact_chars characters), those of fewer than
+    MIN_CHARS go only where an earlier line is the same: one edit in them is more than a small change. Earlier is by doc_id (null last), then by place. A null
     text stays null and has no lines. Repeated rows are one document and keep the same lines. An empty table
     gives none.
     """
@@ -148,11 +159,11 @@ OP4_SQL = r"""
 with d as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 l as (select doc_id, unnest(ls) as raw, generate_subscripts(ls, 1) as pos from d),
 t as (select doc_id, pos, raw, trim(raw, ' ' || chr(9) || chr(13)) as f from l),
-a as (select f, min(row(doc_id, pos)) as first from t where length(f) >= 25 group by f),
-v as (select f, first, i, hash(length(f) - 1, substr(f, 1, i - 1) || substr(f, i + 1)) as k from (select f, first, unnest(range(1, length(f) + 1)) as i from a)),
+a as (select f, min(row(doc_id, pos)) as first from t where f <> '' group by f),
+v as (select f, first, i, hash(length(f) - 1, substr(f, 1, i - 1) || substr(f, i + 1)) as k from (select f, first, unnest(range(1, length(f) + 1)) as i from a where length(f) >= 25)),
 p as (select x.f, y.first as other, y.f as g from v x join v y on x.k = y.k and x.i = y.i and y.first < x.first
-  union select v.f, a.first, a.f from v join a on v.k = hash(length(a.f), a.f) and a.first < v.first
-  union select a.f, v.first, v.f from v join a on v.k = hash(length(a.f), a.f) and v.first < a.first),
+  union select v.f, a.first, a.f from v join a on length(a.f) >= 25 and v.k = hash(length(a.f), a.f) and a.first < v.first
+  union select a.f, v.first, v.f from v join a on length(a.f) >= 25 and v.k = hash(length(a.f), a.f) and v.first < a.first),
 n as (select distinct f from p where levenshtein(f, g) <= 1),
 g as (select t.doc_id, t.pos, t.raw, a.f is not null and (n.f is not null or a.first <> row(t.doc_id, t.pos)) as gone
   from t left join a on t.f = a.f left join n on t.f = n.f),

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import empty, hard_documents
@@ -23,9 +25,9 @@ def brute(rows):
             lines.append(((END if d is None else d, pos), line.strip(" \t\r")))
     first = {}
     for at, f in lines:
-        if len(f) >= linededup.MIN_CHARS:
+        if f:
             first[f] = min(at, first.get(f, at))
-    dropped = {f for f, at in first.items() if any(a < at and near(f, g) for g, a in first.items())}
+    dropped = {f for f, at in first.items() if len(f) >= linededup.MIN_CHARS and any(a < at and len(g) >= linededup.MIN_CHARS and near(f, g) for g, a in first.items())}
     out = []
     for d, t in rows:
         if t is None:
@@ -54,6 +56,15 @@ def test_against_all_pairs(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_long_lines(spark):
+    """Lines of 100,000 characters one edit apart, at places around the ends of blocks, in time that grows with their length."""
+    draw = random.Random(1)
+    base = "".join(draw.choices("abcdefé", k=100_000))
+    rows = [(1, base), (2, base[:63] + base[64:]), (3, base[:50_048] + "x" + base[50_048:]), (4, base[:-1] + "z"), (5, base[:128] + "zz" + base[128:])]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
 def test_pipeline_takes_out_short_repeats(spark):
     import corpus_pipeline
 
