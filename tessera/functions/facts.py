@@ -26,9 +26,8 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def _rows(text: Column, pattern: str, groups: int) -> Column:
-    """Array of structs g0..gn of every match; a group that took no part is ''."""
-    names = [f"g{i}" for i in range(groups + 1)]
-    return F.arrays_zip(*[_all(text, pattern, i).alias(n) for i, n in enumerate(names)])
+    """Array of structs g0..gn of every match; a group that took no part is ''. One pass over the text: groups are taken from the matches, as no pattern looks beyond its match."""
+    return F.transform(_all(text, pattern, 0), lambda m: F.struct(m.alias("g0"), *[F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, groups + 1)]))
 
 
 def _number(s: Column) -> Column:

@@ -11,8 +11,11 @@ from tessera.operators.barrier import once
 
 def _plain(text: Column) -> Column:
     """References by article number alone, and appendices."""
-    articles = F.transform(facts.article_refs(text), lambda r: F.concat(F.lit("제"), r.article.cast("string"), F.lit("조")))
-    return F.array_distinct(F.concat(articles, F.transform(facts.appendix_refs(text), lambda r: r.canonical)))
+    return _articles(facts.article_refs(text), F.transform(facts.appendix_refs(text), lambda r: r.canonical))
+
+
+def _articles(articles: Column, appendices: Column) -> Column:
+    return F.array_distinct(F.concat(F.transform(articles, lambda r: F.concat(F.lit("제"), r.article.cast("string"), F.lit("조"))), appendices))
 
 
 def _forms(numbers: Column) -> Column:
@@ -28,16 +31,18 @@ def verify(answers: DataFrame, judge=None) -> DataFrame:
     """
     a, c = F.col("answer"), F.col("context")
     staged = once(answers, {
-        "__refs": _plain(a), "__sources": _plain(c), "__full": F.array_distinct(F.concat(facts.canonicals(facts.article_refs(c)), facts.canonicals(facts.appendix_refs(c)))),
-        "__numbers": facts.numeric_facts(a), "__facts": facts.numeric_facts(c), "__claims": facts.claims(a),
+        "__articles": facts.article_refs(c), "__appendices": facts.canonicals(facts.appendix_refs(c)), "__refs": _plain(a),
+        "__numbers": facts.numeric_facts(a), "__facts": facts.numeric_facts(c),
+        "__claims": F.transform(facts.claims(a), lambda x: F.struct(_plain(x).alias("refs"), F.size(facts.numeric_facts(x)).alias("numbers"))),
     })
+    staged = once(staged, {"__sources": _articles(F.col("__articles"), F.col("__appendices")), "__full": F.array_distinct(F.concat(facts.canonicals(F.col("__articles")), F.col("__appendices")))})
     staged = once(staged, {
         "missing_refs": facts.missing(F.col("__refs"), F.col("__sources")),
         "mismatches": facts.missing(_forms(F.col("__numbers")), _forms(F.col("__facts"))),
     })
     wrong = F.filter("__numbers", lambda n: F.array_contains(F.col("mismatches"), n.canonical))
     units = F.transform("mismatches", lambda m: F.substring_index(m, ":", -1))
-    checked = F.transform("__claims", lambda x: F.struct((F.size(_plain(x)) + F.size(facts.numeric_facts(x)) > 0).alias("verifiable"), F.arrays_overlap(_plain(x), F.col("__sources")).alias("supported")))
+    checked = F.transform("__claims", lambda x: F.struct((F.size(x.refs) + x.numbers > 0).alias("verifiable"), F.arrays_overlap(x.refs, F.col("__sources")).alias("supported")))
     verdict = None if judge is None else judge(a, c)
     out = once(staged, {
         "risk": facts.risk(F.col("missing_refs"), units),
@@ -53,7 +58,7 @@ def verify(answers: DataFrame, judge=None) -> DataFrame:
         "warnings": F.array_compact(F.array(sample("references not in the sources (%d): %s", F.col("missing_refs")), sample("quantities not in the sources (%d): %s", F.col("mismatches")))),
         "hint": F.when(F.col("failure").isin("generation_error", "unit_error"), F.concat_ws("\n", F.concat(F.lit("use only: "), F.array_join(F.array_sort("__full"), ", ")), F.concat(F.lit("do not use: "), F.array_join(F.concat("missing_refs", "mismatches"), ", ")))),
     })
-    return out.drop("__refs", "__sources", "__full", "__numbers", "__facts", "__claims", "__checked")
+    return out.drop("__articles", "__appendices", "__refs", "__sources", "__full", "__numbers", "__facts", "__claims", "__checked")
 
 
 def provenance(answers: DataFrame, chunks: DataFrame) -> DataFrame:
