@@ -127,8 +127,9 @@ def expand_siblings(hits: DataFrame, chunks: DataFrame, window: int = 2) -> Data
     own = hits.select("query_id", "id", "rank").join(chunks, "id")
     first = Window.partitionBy("query_id", "document_id", "heading_path").orderBy("rank")
     best = own.withColumn("n", F.row_number().over(first)).filter("n = 1").select("query_id", "document_id", "heading_path", F.col("part_index").alias("hit"))
-    parts = best.join(chunks, ["document_id", "heading_path"]).filter(F.abs(F.col("part_index") - F.col("hit")) <= window)
-    return parts.select("query_id", "document_id", "heading_path", "part_index", "content").distinct()
+    # the parts wanted are named, so that no section is joined as a whole
+    wanted = best.withColumn("part_index", F.explode(F.sequence(F.col("hit") - window, F.col("hit") + window))).select("query_id", "document_id", "heading_path", "part_index").distinct()
+    return wanted.join(chunks, ["document_id", "heading_path", "part_index"]).select("query_id", "document_id", "heading_path", "part_index", "content").distinct()
 
 
 def sections(parts: DataFrame) -> DataFrame:

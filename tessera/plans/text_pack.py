@@ -242,7 +242,7 @@ def verification(spark, sf_dir):
     return verify(frame(spark, sf_dir, ANSWERS)).select("id", "risk", F.array_join("missing_refs", "|").alias("missing"), F.array_join("mismatches", "|").alias("mismatched"), "failure", "groundedness")
 
 
-def _verification_sql():
+def _verification_sql(more: str = ""):
     numbers = lambda x: f"list_transform({_numbers_sql(x)}, {_NUMBER_FORM})"
     plain = lambda x: f"list_transform(regexp_extract_all({x}, '{facts.ARTICLE}', 1), lambda a: '제' || cast(cast(a as int) as varchar) || '조')"
     a_refs, c_refs = (f"list_sort(list_distinct(list_concat({plain(x)}, {_appendices_sql(x)})))" for x in ("answer", "context"))
@@ -261,11 +261,25 @@ select v.id, case when len(miss) > 0 then 'hard_fail' when len(list_filter(mv, l
       or (try_cast(regexp_extract(x, '제\s*(\d+)\s*조', 1) as int) = try_cast(regexp_extract(y, '제\s*(\d+)\s*조', 1) as int) and (regexp_matches(x, '제\s*(\d+)\s*항') <> regexp_matches(y, '제\s*(\d+)\s*항')
         or (regexp_matches(x, '제\s*(\d+)\s*항') and abs(try_cast(regexp_extract(x, '제\s*(\d+)\s*항', 1) as int) - try_cast(regexp_extract(y, '제\s*(\d+)\s*항', 1) as int)) <= 1)))))) > 0)) > 0 then 'generation_error' else 'retrieval_gap' end
     when len(list_filter(mv, lambda x: x.u in ('KRW', 'DAYS', 'YEARS', 'PERCENT') and x.v <> 0 and len(list_filter(cn, lambda y: y.u = x.u and abs(x.v - y.v) / greatest(abs(x.v), abs(y.v)) < 0.5)) > 0)) > 0 then 'unit_error' else 'minor' end as failure,
-  case when g.verifiable > 0 then round(g.supported / g.verifiable, 3) end as groundedness
+  case when g.verifiable > 0 then round(g.supported / g.verifiable, 3) end as groundedness{more}
 from v join g on v.id = g.id
 """
 
 
+def warnings(spark, sf_dir):
+    """What a user is warned of, and what an answer that has to be made anew is told."""
+    from tessera.operators.verify import verify
+
+    return verify(frame(spark, sf_dir, ANSWERS)).select("id", F.array_join("warnings", "\n").alias("warnings"), "hint")
+
+
+WARNINGS_SQL = f"""
+select id, concat_ws(chr(10), case when len(ml) > 0 then 'references not in the sources (' || len(ml) || '): ' || array_to_string(ml[1:5], ', ') end, case when len(xl) > 0 then 'quantities not in the sources (' || len(xl) || '): ' || array_to_string(xl[1:5], ', ') end) as warnings,
+  case when failure in ('generation_error', 'unit_error') then 'use only: ' || array_to_string(fl, ', ') || chr(10) || 'do not use: ' || array_to_string(list_concat(ml, xl), ', ') end as hint
+from ({_verification_sql(", list_sort(miss) as ml, list_sort(mism) as xl, list_sort(cf) as fl")})
+"""
+
+
 def page_split(spark, sf_dir):
     docs = frame(spark, sf_dir, LINES).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("text"))
     low, high = text.page_range(F.col("text"))
@@ -306,6 +320,7 @@ QUERIES = {
     "q1_routes_and_intents": (routes, _routes_sql()),
     "v1_references_and_facts": (references, REFERENCES_SQL),
     "v7_verify_answers": (verification, _verification_sql()),
+    "v9_warnings_and_hints": (warnings, WARNINGS_SQL),
     "ag32_page_range": (page_split, PAGES_SQL),
     "sc9_pages_of_markdown": (markdown_pages, MARKDOWN_PAGES_SQL),
 }
