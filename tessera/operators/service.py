@@ -72,7 +72,7 @@ def routed(questions: DataFrame) -> DataFrame:
     return own.withColumns({"question": clean, "threats": threats}).withColumn("route", routing.classify(F.col("question")))
 
 
-def prefetch(questions: DataFrame, index: DataFrame, vectors: DataFrame | None, k: int) -> DataFrame:
+def prefetch(questions: DataFrame, index: retrieval.Index, vectors: DataFrame | None, k: int) -> DataFrame:
     """Fused hits of routed questions, each list as long as the question's own factor times k; without vectors the lexical list alone."""
     most = k * 8
     limit = questions.select("query_id", (F.col("route.bm25_factor") * k).alias("lexical_n"), (F.col("route.dense_factor") * k).alias("dense_n"))
@@ -83,11 +83,11 @@ def prefetch(questions: DataFrame, index: DataFrame, vectors: DataFrame | None,
     return retrieval.fuse(*lists, limit=k * 3)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = 10, models: Models | None = None) -> DataFrame:
-    """Hits of routed questions: query_id, id, score, fused, rank. chunks: id, content."""
+def retrieve(questions: DataFrame, chunks: DataFrame | retrieval.Index, vectors: DataFrame | None = None, k: int = 10, models: Models | None = None) -> DataFrame:
+    """Hits of routed questions: query_id, id, score, fused, rank. chunks: id, content, or their index."""
     models = models or Models()
-    index = retrieval.build(chunks)
-    fused = prefetch(questions, index, vectors, k)
+    index = chunks if isinstance(chunks, retrieval.Index) else retrieval.build(chunks)
+    fused = written(prefetch(questions, index, vectors, k))
     return retrieval.rerank(fused, models.rerank(questions, index, fused), k)
 
 
@@ -115,9 +115,9 @@ def answer(questions: DataFrame, chunks: DataFrame, tables: Rules | None = None,
     told = by_tables(asked, tables) if tables is not None and features.sql_route else none
     by_rule = asked.join(told, "query_id").select("query_id", "question", F.lit("sql").alias("strategy"), "route.query_type", F.col("told").alias("answer"), "pii_found", "threats")
     rest = written(asked.join(told, "query_id", "left_anti"))
-    hits = retrieval.corrective(rest, lambda q: retrieve(q, chunks.select("id", "content"), vectors, k, models), models.rewrite)
+    index = retrieval.build(chunks)
+    hits = written(retrieval.corrective(rest, lambda q: retrieve(q, index, vectors, k, models), models.rewrite))
     best = hits.groupBy("query_id").agg(F.max("attempt").alias("retries"), F.max("score").alias("top_score"))
-    hits = written(hits)
     context = retrieval.sections(retrieval.expand_siblings(hits, chunks))
     rows = rest.join(best, "query_id", "left").join(context, "query_id", "left").withColumn("prompt", prompt(F.col("route.query_type")))
     budget = routing.context_budget(F.floor(F.length(F.concat("prompt", "question")) / 2).cast("int"))
