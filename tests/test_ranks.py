@@ -71,3 +71,14 @@ def test_no_list_and_no_window_over_a_group(spark, monkeypatch):
     for plan in plans:
         assert "collect_list" not in plan and "percentile" not in plan
         assert "Window" not in plan or "HashAggregate" in plan.split("Window", 1)[1]
+
+
+def test_sketches_are_made_for_flags_not_parts(spark, tmp_path):
+    from tessera.plans import relational_pack
+
+    rows = [(f, p, float(q)) for f in "AN" for p in range(40) for q in range(1, 6)] + [("R", None, 1.0)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = relational_pack.approximate(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [("A", 40, True, True), ("N", 40, True, True), ("R", 0, True, True)]
+    made = [line.split("keys=[")[1].split("]")[0] for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "percentile_approx(" in line and "keys=[" in line]
+    assert made and all("l_partkey" not in keys for keys in made)
