@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import ranks, substrings
+from tessera.shared import written
 
 #: Targets of the decision table, and bounds of the gate.
 RECALL_5, RECALL_3, FAITHFULNESS, RELEVANCY, GAP = 0.95, 0.90, 0.80, 0.80, 0.1
 HANGUL_LEAST, FEWEST_CLAUSES, MOST_CLAUSES, LONGEST_CLAUSE = 0.30, 5, 60, 1600
+#: Ranks whose hits are searched for anchors first.
+FIRST = 64
 FRAGMENT_TAIL, STRUCTURE_MARK = r"(?:다|요|음|함|됨|임)\s*[.。]$", r"제\s*\d+\s*[조관장절편]|별표|【"
 
 
@@ -190,13 +193,25 @@ def density(parsed: DataFrame, most_chars: int = 30_000) -> DataFrame:
 
 
 def anchor_ranks(hits: DataFrame, anchors: DataFrame) -> DataFrame:
-    """query_id and the least rank of a hit (query_id, rank, content) that holds one of the question's anchors (query_id, anchor), both without white space in lower case."""
+    """query_id and the least rank of a hit (query_id, rank, content) that holds one of the question's anchors (query_id, anchor), both without white space in lower case.
+
+    Hits are searched from the first on, FIRST ranks at a time and then eight times as many, and only those of questions that have not found one: a later hit cannot be the least.
+    """
     tight = lambda c: F.lower(F.regexp_replace(c, r"\s", ""))
-    needles = anchors.select("query_id", tight(F.col("anchor")).alias("needle")).distinct().withColumn("nid", F.col("needle"))
-    texts = hits.select("query_id", F.col("rank").alias("tid"), tight(F.col("content")).alias("text"))
-    best = substrings.containing(texts, needles, ["query_id"]).groupBy("query_id").agg(F.min("tid").alias("first"))
-    asked = hits.select("query_id").distinct().join(anchors.select("query_id").distinct(), "query_id")
-    return asked.join(best, "query_id", "left")
+    needles = written(anchors.select("query_id", tight(F.col("anchor")).alias("needle")).distinct().withColumn("nid", F.col("needle")))
+    texts = written(hits.join(F.broadcast(needles.select("query_id").distinct()), "query_id", "left_semi").select("query_id", F.col("rank").alias("tid"), tight(F.col("content")).alias("text")))
+    asked = written(texts.groupBy("query_id").agg(F.min("tid").alias("least"), F.max("tid").alias("most")))
+    found, left, before, upto = None, asked, asked.agg(F.min("least")).first()[0], FIRST
+    while not left.isEmpty():
+        own = texts.filter((F.col("tid") >= before) & (F.col("tid") < before + upto)).join(F.broadcast(left), "query_id", "left_semi")
+        wanted = needles.join(F.broadcast(left), "query_id", "left_semi")
+        best = written(substrings.containing(own, wanted, ["query_id"]).groupBy("query_id").agg(F.min("tid").alias("first")))
+        found = best if found is None else found.union(best)
+        before, upto = before + upto, upto * 8
+        left = written(left.join(best, "query_id", "left_anti").filter(F.col("most") >= before))
+    if found is None:
+        return asked.select("query_id", F.lit(None).cast(texts.schema["tid"].dataType).alias("first"))
+    return asked.select("query_id").join(found, "query_id", "left")
 
 
 def first_either_way(wanted: DataFrame, rules: DataFrame, key: str) -> DataFrame:

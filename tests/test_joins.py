@@ -66,3 +66,21 @@ def test_blocks_of_one_column(spark):
     frame = spark.createDataFrame([(1, i, line) for i, line in enumerate(lines)], "doc int, pos int, line string")
     assert sorted((r.segment, r.junk) for r in structure.junk_tables(frame).collect()) == [(0, True), (2, False), (4, True)]
     assert structure.junk_tables(frame.filter(F.col("line") == "none")).count() == 0
+
+
+def test_anchors_by_ranks_and_marks_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FIRST", 2)
+    monkeypatch.setattr(substrings, "MARKS", 2)
+    texts = [(q, r, f"chunk {q} of rank {r} here") for q in (1, 2, 3, 4) for r in range(1, 40)] + [(5, 1, None), (6, 3, "no anchor of it")]
+    hits = spark.createDataFrame(texts, "query_id int, rank int, content string")
+    anchors = spark.createDataFrame([(1, "rank 37"), (1, "of rank 9"), (2, "1 of rank 3"), (3, "3 of rank 1"), (4, "k 4 o"), (5, "x"), (7, "y")], "query_id int, anchor string")
+    assert sorted(tuple(r) for r in quality.anchor_ranks(hits, anchors).collect()) == [(1, 9), (2, None), (3, 1), (4, 1), (5, None)]
+
+
+def test_only_runs_of_needles_are_shuffled(spark):
+    texts = spark.createDataFrame([("k", i, "abcdefghijkl" * 3) for i in range(9)], "k string, tid int, text string")
+    needles = spark.createDataFrame([("k", 1, "cdefghijk")], "k string, nid int, needle string")
+    found = substrings.containing(texts, needles, ["k"])
+    assert found.count() == 9
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert any("BroadcastHashJoin" in line and "run#" in line and "LeftSemi" in line for line in plan.splitlines())
