@@ -110,7 +110,7 @@ def answer(questions: DataFrame, chunks: DataFrame, tables: Rules | None = None,
     risk, failure, action, groundedness, escalation. Questions without a hit get the refusal.
     """
     models, features = models or Models(), features or Features()
-    asked = routed(questions)
+    asked = written(routed(questions))
     none = asked.select("query_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("told")).limit(0)
     told = by_tables(asked, tables) if tables is not None and features.sql_route else none
     by_rule = asked.join(told, "query_id").select("query_id", "question", F.lit("sql").alias("strategy"), "route.query_type", F.col("told").alias("answer"), "pii_found", "threats")

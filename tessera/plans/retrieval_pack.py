@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluation as ev
 from tessera.operators import retrieval as rt
 from tessera.plans.base import frame, table
+from tessera.shared import written
 
 #: Questions: the first sentence of the documents whose number is a multiple of 25 and that have a vector.
 QUESTIONS = "select d.doc_id as query_id, substring_index(d.text, '.', 1) as question, e.embedding as vector from documents d join embeddings e on d.doc_id = e.vec_id where d.doc_id % 25 = 0"
@@ -33,7 +34,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, fu
 
 
 def _inputs(spark, sf_dir):
-    questions = frame(spark, sf_dir, QUESTIONS)
+    questions = written(frame(spark, sf_dir, QUESTIONS))  # a search reads them several times
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return questions, chunks, vectors
