@@ -10,15 +10,16 @@ over all items, by batched matrix products, normalise each context.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,37 +29,56 @@ from tessera.llm.common import held_out, kept, row_map, settle, table, text_byte
 END = b" "
 #: Words whose counts every worker holds, at most; the others are joined. Words that are items of their own, at least; groups by the last bytes, at most; the model's width.
 HEAD, OWN, ENDINGS, WIDTH = 150_000, 1023, 512, 24
-#: Noise items for each minibatch, contexts in one, learning rate, rounds of training, and what a worker counts before it hands on.
-NOISE, BATCH, RATE, ROUNDS, KEPT = 32, 2048, 0.06, 2, 200_000
+#: Noise items for each minibatch, contexts in one, learning rate, and rounds of training.
+NOISE, BATCH, RATE, ROUNDS = 32, 2048, 0.06, 2
 #: Training tokens of a part, about, and those that a part is trained on at least in a round, in up to EPOCHS repeats.
 PART_TOKENS, LEAST_TOKENS, EPOCHS = 1_500_000, 600_000, 10
-#: Tokens scored at once; pairs of context items whose sums a worker keeps in a table.
-CHUNK, TABLE = 400_000, 1 << 24
+#: Tokens scored at once, bytes of texts taken into words at once, about; pairs of context items whose sums a worker keeps in a table.
+CHUNK, SLICE_BYTES, TABLE = 400_000, 16 << 20, 1 << 24
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Words of a text in UTF-8, A-Z in lower case, without the end."""
-    return (text or b"").lower().split()
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of batches, as many at once as have at most so many bytes in a column of bytes; one row at least."""
+    for batch in batches:
+        edges = _edges(batch.column(name)).astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(edges, edges[at] + most, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _edges(column: pa.Array) -> np.ndarray:
+    """Where each value of a column of bytes begins, and the end of the last."""
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+
+
+def _as(column: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The same bytes under another type, unchecked."""
+    _, edges, held = column.buffers()
+    return pa.Array.from_buffers(kind, len(column), [None, edges, held or pa.py_buffer(b"")], offset=column.offset)
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text in UTF-8 has, without the end, and the words of all one after the other, A-Z in lower case."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(_as(texts, pa.string())))
+    words = _as(split.flatten(), pa.binary())
+    some = np.diff(_edges(words)) > 0  # white space at a text's ends gives empty strings
+    edges = split.offsets.to_numpy()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(some)])[edges - edges[0]])
+    return sizes, words if some.all() else words.filter(pa.array(some))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word binary, n long over all the given texts, the end of each being the token END. Each task adds up before the shuffle."""
 
-    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            counts: Counter = Counter()
-            for (text,) in rows:
-                counts.update(tokens_of(text))
-                counts[END] += 1
-                if len(counts) > KEPT:
-                    yield from (((w, n), 40) for w, n in counts.items())
-                    counts.clear()
-            yield from (((w, n), 40) for w, n in counts.items())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE_BYTES):
+            met = pc.value_counts(words_of(part.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([met.field("values"), met.field("counts")], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([part.num_rows], pa.int64())], ["word", "n"])
 
-        return step
-
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-    return row_map(docs.select(text_bytes().alias("text")), "word binary, n bigint", start, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_bytes().alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def group_of(word: bytes, endings: int, splits: int) -> int:
@@ -88,11 +108,10 @@ class Head:
     def group(self, word: bytes) -> int:
         return group_of(word, self.endings, self.splits)
 
-    def ids(self, places: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """Items of tokens from their places (-1: not in the head); the end is the last token."""
+    def ids(self, places: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """Items of tokens from their places; those without one (-1) have their groups given in turn."""
         ids = self.item[places]
-        rest = np.flatnonzero(places < 0)
-        ids[rest] = [self.own + self.group(words[i]) if i < len(words) else self.own for i in rest.tolist()]
+        ids[places < 0] = self.own + groups
         return ids
 
 
@@ -158,14 +177,28 @@ class LogBilinear:
         rows = np.ascontiguousarray(rows.T)  # a row's ids side by side
         small = np.int16 if len(self.r) < 1 << 15 else np.int64
         steps = max(1, len(rows) // min(BATCH, max(256, len(rows) // 64)))
+        most = -(-len(rows) // steps)
+        c, c_squares = np.concatenate([self.c1, self.c2]), np.concatenate(squares[1:3])  # the contexts' two items side by side
+        # memory of a step, taken once: new pages at each would cost as much as the sums
+        index = np.empty(3 * most + NOISE, np.intp)
+        met, change, sorted_change, summed, square = (np.empty((len(index), WIDTH), np.float32) for _ in range(5))
+        both = np.empty((3, most, WIDTH), np.float32)
+        errors = np.empty((most, NOISE), np.float32)
         for step in np.concatenate([draw.permutation(steps) for _ in range(epochs)]).tolist():
-            y, x, w = np.ascontiguousarray(rows[step::steps].T)
-            false = np.minimum(np.searchsorted(sums, draw.random(NOISE) * sums[-1]), len(noise) - 1)
-            rx, ry, rw, rf = self.r[x], self.r[y], self.r[w], self.r[false]
-            q = rx @ self.c1 + ry @ self.c2
+            part = rows[step::steps]
+            n = len(part)
+            at = index[: 3 * n + NOISE]
+            at[: 2 * n : 2], at[1 : 2 * n : 2], at[2 * n : 3 * n] = part[:, 1], part[:, 0], part[:, 2]
+            at[3 * n :] = np.minimum(np.searchsorted(sums, draw.random(NOISE) * sums[-1]), len(noise) - 1)
+            w, false = at[2 * n : 3 * n], at[3 * n :]
+            r = np.take(self.r, at, 0, met[: len(at)], "clip")
+            rxy, rw, rf = r[: 2 * n].reshape(n, 2 * WIDTH), r[2 * n : 3 * n], r[3 * n :]
+            q, dq, other = both[:, :n]
+            np.matmul(rxy, c, out=q)
             own = self.b - log_noise
             true_error = np.einsum("ij,ij->i", q, rw) + own[w]
-            false_error = q @ rf.T + own[false]
+            false_error = np.matmul(q, rf.T, out=errors[:n])
+            false_error += own[false]
             for s in (true_error, false_error):  # to the probability of being no noise
                 np.clip(s, -30, 30, out=s)
                 np.negative(s, out=s)
@@ -173,26 +206,42 @@ class LogBilinear:
                 s += 1
                 np.reciprocal(s, out=s)
             true_error -= 1
-            share = np.float32(1 / len(w))
+            share = np.float32(1 / n)
             true_error *= share
             false_error *= share
-            dq = true_error[:, None] * rw
-            dq += false_error @ rf
+            np.matmul(false_error, rf, out=dq)
+            dq += np.multiply(true_error[:, None], rw, out=other)
             db = np.bincount(w, true_error, len(self.b)) + np.bincount(false, false_error.sum(0), len(self.b))
-            index = np.concatenate([x, y, w, false])
-            change = np.concatenate([dq @ self.c1.T, dq @ self.c2.T, true_error[:, None] * q, false_error.T @ q])
-            order = np.argsort(index.astype(small), kind="stable")
-            index = index[order]
-            first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-            self._step(self.r, squares[0], np.add.reduceat(change[order], first), index[first])
-            self._step(self.c1, squares[1], rx.T @ dq)
-            self._step(self.c2, squares[2], ry.T @ dq)
+            np.matmul(dq, c.T, out=change[: 2 * n].reshape(n, 2 * WIDTH))
+            np.multiply(true_error[:, None], q, out=change[2 * n : 3 * n])
+            np.matmul(false_error.T, q, out=change[3 * n : len(at)])
+            order = np.argsort(at.astype(small), kind="stable")
+            held = at[order]
+            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+            by_item = np.take(change, order, 0, sorted_change[: len(at)], "clip")
+            # two columns at a time, as the parts of complex numbers
+            np.add.reduceat(by_item.view(np.complex64), first, out=summed[: len(first)].view(np.complex64))
+            self._step_at(self.r, squares[0], summed[: len(first)], held[first], square[: len(first)], sorted_change[: len(first)])
+            self._step(c, c_squares, rxy.T @ dq)
             self._step(self.b, squares[3], db.astype(np.float32))
+        self.c1, self.c2 = np.split(c, 2)
+        squares[1], squares[2] = np.split(c_squares, 2)
+
+    @staticmethod
+    def _step(value: np.ndarray, squares: np.ndarray, change: np.ndarray) -> None:
+        squares += change * change
+        value -= RATE * change / np.sqrt(squares)
 
     @staticmethod
-    def _step(value: np.ndarray, squares: np.ndarray, change: np.ndarray, at=slice(None)) -> None:
-        squares[at] += change * change
-        value[at] -= RATE * change / np.sqrt(squares[at])
+    def _step_at(value: np.ndarray, squares: np.ndarray, change: np.ndarray, at: np.ndarray, square: np.ndarray, other: np.ndarray) -> None:
+        """_step() of the rows at, in the memory of square and other."""
+        np.take(squares, at, 0, square, "clip")
+        square += np.multiply(change, change, out=other)
+        squares[at] = square
+        change *= np.float32(RATE)
+        change /= np.sqrt(square, out=square)
+        np.subtract(np.take(value, at, 0, other, "clip"), change, out=other)
+        value[at] = other
 
     def squares(self) -> list[np.ndarray]:
         return [np.full_like(x, 1e-6) for x in self.arrays()]
@@ -203,34 +252,57 @@ class LogBilinear:
         own, weight = np.ascontiguousarray(self.r[:-1].T), np.exp(self.b)
         for i in range(0, len(x), 512):
             s = (self.r[x[i : i + 512]] @ self.c1 + self.r[y[i : i + 512]] @ self.c2) @ own
-            top = max(0.0, float(s.max(initial=0.0)) - 60)
-            if top:
-                s -= top
+            top = s.max(1)
+            top[np.abs(top) <= 60] = 0
+            if top.any():
+                s -= top[:, None]
             np.exp(s, out=s)
             out[i : i + 512] = np.log(s @ weight) + top
         return out
 
-
-def _places(place: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    """Places of words (-1: not in the head), the end's last."""
-    at = np.fromiter(map(place.get, words, [-1] * len(words)), np.int64, len(words))
-    return np.append(at, place.get(END, -1))
+    def table(self, items: np.ndarray) -> np.ndarray:
+        """log_sums() of all pairs of some items: [i, j] has items[j] before and items[i] before that.
+
+        An item's exponential is the product of one that x gives and one that y gives, so the sums of all pairs are one
+        matrix product, and exponentials are taken once for each x and y. Sums too small for the numbers' range are taken singly.
+        """
+        out = np.empty((len(items), len(items)), np.float32)
+        own = np.ascontiguousarray(self.r[:-1].T)
+
+        def parts(c: np.ndarray, at: np.ndarray, bias: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+            s = (self.r[at] @ c) @ own
+            s += bias
+            top = s.max(1)
+            s -= top[:, None]
+            return np.exp(s, out=s), top
+
+        for i in range(0, len(items), 2048):
+            y, top_y = parts(self.c2, items[i : i + 2048], self.b)
+            for j in range(0, len(items), 256):
+                x, top_x = parts(self.c1, items[j : j + 256], 0.0)
+                s = y @ x.T
+                low = np.argwhere(~(s > 1e-20))
+                s[tuple(low.T)] = 1
+                out[i : i + 2048, j : j + 256] = np.log(s, out=s) + (top_y[:, None] + top_x)
+                if len(low):
+                    low += (i, j)
+                    out[tuple(low.T)] = self.log_sums(items[low[:, 1]], items[low[:, 0]])
+        return out
 
 
-def contexts(ids: list[np.ndarray], begin: int) -> np.ndarray:
-    """Rows of the item before the last, the last, and the item, for the tokens of some texts one after the other."""
-    w = np.concatenate(ids)
-    ends = np.cumsum([len(x) for x in ids])
-    starts = np.concatenate([[0], ends[:-1]])
+def contexts(w: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """The items before the last and the last before each token of some texts, one after the other, which have so many tokens each."""
+    starts = np.cumsum(sizes) - sizes
     x, y = np.concatenate([[begin], w[:-1]]), np.concatenate([[begin, begin], w[:-2]])[: len(w)]
     x[starts] = y[starts] = begin
-    y[starts[ends - starts > 1] + 1] = begin
-    return np.stack([y, x, w])
+    y[starts[sizes > 1] + 1] = begin
+    return y, x
 
 
 def learn(model: LogBilinear, ids: list[np.ndarray], noise: np.ndarray, seed: int) -> None:
     """Trains on the items of some texts."""
-    rows = contexts(ids, len(model.b)).astype(np.int32)
+    w = np.concatenate(ids)
+    rows = np.stack([*contexts(w, np.array([len(x) for x in ids]), len(model.b)), w]).astype(np.int32)
     model.train(rows, noise, np.random.default_rng(seed), model.squares(), min(EPOCHS, max(1, LEAST_TOKENS // rows.shape[1])))
 
 
@@ -241,27 +313,39 @@ def encode(docs: DataFrame, head: Head, held: Column | None = None) -> DataFrame
     """Texts (doc_id, text) as items, settled, with what counts of the head tell of them: n_tokens, n_known, base score and log10 of the words' parts of their groups without the words in rare. held marks texts that training leaves out."""
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
-    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
         unit = float(np.log10(head.tokens + head.distinct + 1))
         log_count = np.append(head.log_count, 0.0)  # of no place: a word that the head lacks
-
-        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            for uid, doc_id, held, h, text in rows:
-                words = tokens_of(text)
-                places = _places(head.place, words)
-                ids = head.ids(places, words)
-                logs = log_count[places]
-                grouped = ids >= head.own
-                rare = [words[i] for i in np.flatnonzero(places[:-1] < 0).tolist()]
-                inside = float(logs[grouped].sum() - head.group_log[ids[grouped] - head.own].sum())
-                yield (uid, doc_id, held, h, len(places), int((places >= 0).sum()), float(logs.sum()) - unit * len(places), inside, ids.astype(np.int32).tobytes(), rare), 4 * len(places) + 20 * len(rare)
-
-        return step
+        known = pa.array(list(head.place), pa.binary())
+        end = head.place.get(END, -1)
+        for part in slices(batches, "text", SLICE_BYTES):
+            sizes, words = words_of(part.column("text"))
+            found = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+            rare = words.filter(pa.array(found < 0))
+            met = pc.dictionary_encode(rare)
+            groups = np.array([head.group(word) for word in met.dictionary.to_pylist()], np.int64)[met.indices.to_numpy()]
+            ends = np.cumsum(sizes + 1) - 1
+            word = np.ones(len(words) + len(sizes), bool)
+            word[ends] = False
+            places, ids = np.empty((2, len(word)), np.int64)
+            places[word], places[ends] = found, end
+            ids[word], ids[ends] = head.ids(found, groups), head.item[end] if end >= 0 else head.own
+            starts = ends - sizes
+            logs = log_count[places]
+            grouped = ids >= head.own
+            inside = np.where(grouped, logs, 0.0)
+            inside[grouped] -= head.group_log[ids[grouped] - head.own]
+            edges = pa.py_buffer(np.append(starts, len(ids)).astype(np.int32) * np.int32(4))
+            items = pa.Array.from_buffers(pa.binary(), len(sizes), [None, edges, pa.py_buffer(ids.astype(np.int32))])
+            lists = np.concatenate([[0], np.cumsum(found < 0)])[np.concatenate([[0], np.cumsum(sizes)])]
+            base, n_known, inside = (np.add.reduceat(v, starts) for v in (logs, (places >= 0).astype(np.int64), inside))
+            columns = [part.column(c) for c in ("uid", "doc_id", "held", "h")]
+            columns += [pa.array(sizes + 1, pa.int64()), pa.array(n_known), pa.array(base - unit * (sizes + 1)), pa.array(inside), items, pa.ListArray.from_arrays(pa.array(lists, pa.int32()), rare)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ENCODED.split(", ")])
 
     own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if held is None else held).alias("held"), F.xxhash64("doc_id", "text").alias("h"), text_bytes().alias("text"))
-    types = [("uid", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()), ("items", pa.binary()), ("rare", pa.list_(pa.binary()))]
-    return settle(row_map(own, _ENCODED, start, pa.schema(types)))
+    return settle(own.mapInArrow(run, _ENCODED))
 
 
 def fit(docs: DataFrame, head: Head, seed: int = 5) -> LogBilinear:
@@ -327,18 +411,19 @@ def _average(encoded: DataFrame, items: int, start, seed: int) -> LogBilinear:
     return LogBilinear.unpack(flat, items)
 
 
-def _kept_sums(model: LogBilinear, name: str, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Log sums of contexts; those of a model with few enough items are kept by the worker from task to task."""
+def _kept_sums(model: LogBilinear, name: str, frequent: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Log sums of contexts. Those of two frequent items are in a table that the worker keeps from task to task; each other one is taken once for all the given contexts."""
     n = len(model.b) + 1
-    keys = y * n + x
-    if n * n > TABLE:
-        met, back = np.unique(keys, return_inverse=True)
-        return model.log_sums(met % n, met // n)[back]
-    sums = kept(name, lambda: np.full(n * n, np.nan, np.float32))
-    new = np.unique(keys[np.isnan(sums[keys])])
-    if len(new):
-        sums[new] = model.log_sums(new % n, new // n)
-    return sums[keys]
+    table = kept(name, lambda: model.table(frequent))
+    place = np.full(n, -1)
+    place[frequent] = np.arange(len(frequent))
+    at_y, at_x = place[y], place[x]
+    out = table[at_y, at_x]
+    rest = np.flatnonzero((at_y < 0) | (at_x < 0))
+    if len(rest):
+        met, back = np.unique(y[rest] * n + x[rest], return_inverse=True)
+        out[rest] = model.log_sums(met % n, met // n)[back]
+    return out
 
 
 def score(docs: DataFrame, counts: DataFrame, head: Head, model: LogBilinear) -> DataFrame:
@@ -356,36 +441,27 @@ def score_encoded(encoded: DataFrame, counts: DataFrame, head: Head, model: LogB
     """
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
+    frequent = np.concatenate([[head.items], np.argsort(-head.item_log, kind="stable")])[: math.isqrt(TABLE)]  # the beginning first
 
-    def start() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         before1, before2 = model.r @ model.c1, model.r @ model.c2
-
-        def flush(uids: list[int], ids: list[np.ndarray]) -> Iterator[tuple]:
-            y, x, w = contexts(ids, len(model.b))
+        left, right, of_y = np.empty((3, 4096, WIDTH), np.float32)
+        for part in slices(batches, "items", 4 * CHUNK):
+            edges = _edges(part.column("items")) // 4
+            w = np.frombuffer(part.column("items").buffers()[2], np.int32)[edges[0] : edges[-1]].astype(np.int64)
+            y, x = contexts(w, np.diff(edges), len(model.b))
             logs = np.empty(len(w), np.float64)
-            for i in range(0, len(w), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                logs[s] = np.einsum("ij,ij->i", before1[x[s]] + before2[y[s]], model.r[w[s]])
-            logs += model.b[w] - _kept_sums(model, name, y, x)
-            begin = np.concatenate([[0], np.cumsum([len(i) for i in ids])[:-1]])
-            yield from (((uid, t), 24) for uid, t in zip(uids, (np.add.reduceat(logs, begin) / np.log(10)).tolist()))
-
-        def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-            uids, ids, size = [], [], 0
-            for uid, items in rows:
-                uids.append(uid)
-                ids.append(np.frombuffer(items, np.int32).astype(np.int64))
-                size += len(ids[-1])
-                if size >= CHUNK:
-                    yield from flush(uids, ids)
-                    uids, ids, size = [], [], 0
-            if uids:
-                yield from flush(uids, ids)
-
-        return step
-
-    logs = row_map(encoded.select("uid", "items"), "uid bigint, model double", start, pa.schema([("uid", pa.int64()), ("model", pa.float64())]))
+            for i in range(0, len(w), len(left)):
+                s = slice(i, i + len(left))
+                n = len(w[s])
+                np.take(before1, x[s], 0, left[:n], "clip")
+                left[:n] += np.take(before2, y[s], 0, of_y[:n], "clip")
+                logs[s] = np.einsum("ij,ij->i", left[:n], np.take(model.r, w[s], 0, right[:n], "clip"))
+            logs += model.b[w] - _kept_sums(model, name, frequent, y, x)
+            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(np.add.reduceat(logs, edges[:-1] - edges[0]) / np.log(10))], ["uid", "model"])
+
+    logs = encoded.select("uid", "items").mapInArrow(run, "uid bigint, model double")
     own = F.concat(F.unhex(F.lit("FF")), F.col("uid").cast("string").cast("binary"))  # no word: so rows of texts spread too
     of_text = ["doc_id", "held", "n_tokens", "n_known", "base", "inside"]
     rows = encoded.select("uid", *of_text, F.posexplode(F.concat(F.array(own), "rare")).alias("at", "word"))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.helpers import empty, frame, hard_documents, words
 from tessera.llm import lm
@@ -150,3 +151,50 @@ def test_query(spark, tmp_path):
     got = got.collect()
     assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
     assert all(r.score < 0 for r in got)
+
+
+def trained(spark, n=300):
+    rows = [(i, " ".join(words(n, 6 + i, 120))) for i in range(4)]
+    head = lm.head_of(lm.count_words(frame(spark, rows)), size=60, own=15)
+    return rows, head, lm.fit(frame(spark, rows), head)
+
+
+def test_sums_of_all_pairs_are_those_taken_singly(spark):
+    _, head, model = trained(spark)
+    items = np.random.default_rng(1).permutation(head.items + 1)
+    i, j = np.indices((len(items), len(items))).reshape(2, -1)
+    for _ in range(2):  # the second: exponentials beyond the numbers' range
+        got, want = model.table(items)[i, j], model.log_sums(items[j], items[i])
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=2e-5, atol=2e-4)
+        model.r *= np.float32(12)
+
+
+def test_frequent_contexts_are_summed_once_in_a_model_larger_than_the_table(spark, monkeypatch):
+    """A worker keeps the sums of frequent contexts however many items there are, and scores stay the model's."""
+    rows, head, model = trained(spark)
+    monkeypatch.setattr(lm, "TABLE", 100)
+    assert (head.items + 1) ** 2 > lm.TABLE
+    counts = lm.count_words(frame(spark, rows))
+    known = {bytes(r.word): r.n for r in counts.collect()}
+    for r in lm.score(frame(spark, rows), counts, head, model).collect():
+        assert abs(r.score - brute(model, head, known, dict(rows)[r.doc_id])) < 2e-4 * r.n_tokens
+    frequent = np.concatenate([[head.items], np.argsort(-head.item_log)])[:10]
+    y, x = np.random.default_rng(2).integers(0, head.items + 1, (2, 500))
+    singly = []
+    monkeypatch.setattr(lm.LogBilinear, "log_sums", lambda self, x, y, take=lm.LogBilinear.log_sums: singly.extend(zip(y.tolist(), x.tolist())) or take(self, x, y))
+    lm._kept_sums(model, "test of kept sums", frequent, y, x)
+    held = set(frequent.tolist())
+    assert sorted(singly) == sorted({(a, b) for a, b in zip(y.tolist(), x.tolist()) if not {a, b} <= held})
+
+
+def test_words_of_odd_bytes():
+    texts = [b"", b" ", b"\t A\x0bb\x0c\r\n", bytes(range(256)), "Ä É ß Z".encode(), b"\xff\xfe A\x85b", b"x" * 70000 + b" Y", b"", b"a  b"]
+    texts += [bytes([a, 65, b]) for a in range(256) for b in (32, 133)]
+    column = pa.array([b"before", *texts], pa.binary()).slice(1)
+    sizes, got = lm.words_of(column)
+    want = [t.lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and got.to_pylist() == [w for ws in want for w in ws]
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    for most in (1, 300, 1 << 20):
+        parts = [p.column("text").to_pylist() for p in lm.slices(iter([batch]), "text", most)]
+        assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(map(len, p)) <= most for p in parts)
