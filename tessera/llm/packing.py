@@ -10,8 +10,10 @@ the pieces of that length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,17 +32,27 @@ CAPACITY, END = 2048, 0
 MOST, LEAST, SPREAD, JOINED = 131072, 2048, 64, 8
 #: Repackings tried by a group that has no other to exchange with.
 TRIES = 24
-#: Strings each worker keeps the ids of; longer ones than KEPT_CHARS are not kept.
-KEPT, KEPT_CHARS = 600_000, 40
+#: Strings each worker keeps the ids of; longer ones than KEPT_CHARS are not kept, and longer ones than PARTED_CHARS not parted.
+KEPT, KEPT_CHARS, PARTED_CHARS = 1_200_000, 40, 160
 #: A blank that begins a word.
 BLANK = re.compile(r"(?<=\S) ")
+#: Marks but the apostrophe, which the byte-level pattern treats apart: it matches others in runs. Characters after which a run of marks is a match of its own, and those between which a line end is one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+BEFORE_MARKS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c not in "ªµº" or c in "0123456789")
+VISIBLE = BEFORE_MARKS | frozenset(MARKS + "'")
+#: One match: letters of the Latin blocks, digits, marks, or a line end.
+MATCH = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[{re.escape(MARKS)}]+|\n")
+#: How byte-level tokenizers write bytes: those that Latin-1 prints as they are, the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+WRITTEN = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 
 class Encoder(dict):
     """Ids of texts as little-endian 32-bit numbers, by one tokenizer whose words begin at a blank.
 
     The byte-level pattern always ends a match before a blank that follows something else than white space, so the strings
-    between such blanks are encoded by themselves, and those met before are looked up.
+    between such blanks are encoded by themselves, and those met before are looked up. A new one is parted at
+    marks and line ends, where matches end in any case, the parts are looked up too, and one of a single match goes to the merges at once.
     """
 
     def __init__(self, path: str):
@@ -50,13 +62,46 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = self.tokenizer.model
+        self.inner: dict[str, bytes] = {}  # parts that no blank begins
+        state = json.loads(self.tokenizer.to_str())
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.by_match = state["normalizer"] is None and bytewise.items() <= (state["pre_tokenizer"] or {}).items()
+
+    def match(self, text: str) -> bytes:
+        """Ids of a match of the pattern."""
+        found = self.merges.tokenize(text.encode().decode("latin-1").translate(WRITTEN))
+        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
+
+    def after(self, text: str) -> bytes:
+        """Ids of a part that no blank begins."""
+        found = self.inner.get(text)
+        if found is None:
+            found, parted = self.parts(text, self.after, "")
+            if len(text) <= KEPT_CHARS and len(self) + len(self.inner) < (KEPT // 2 if parted else KEPT):
+                self.inner[text] = found
+        return found
+
+    def parts(self, text: str, get: Callable[[str], bytes], blank: str) -> tuple[bytes, bool]:
+        """Ids of a string, which get() gives for what it begins with, and whether it was parted."""
+        if self.by_match and len(text) <= PARTED_CHARS:
+            stem = text.rstrip(MARKS)
+            if len(stem) < len(text) and stem[-1:] in BEFORE_MARKS:
+                return get(stem) + self.after(text[len(stem) :]), True
+            first, line, last = text.rpartition("\n")
+            if line and first[-1:] in VISIBLE and last[:1] in VISIBLE:
+                return get(first) + self.after(line) + self.after(last), True
+            if MATCH.fullmatch(text) and (text != "\n" or not blank):
+                return self.match(blank + text), False
+        return self.ids(blank + text), False
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.ids(" " + word)
-        if len(word) <= KEPT_CHARS and len(self) < KEPT:
+        found, parted = self.parts(word, self.__getitem__, " ")
+        # what can be put together from parts takes half of the room at most
+        if len(word) <= KEPT_CHARS and len(self) + len(self.inner) < (KEPT // 2 if parted else KEPT):
             self[word] = found
         return found
 

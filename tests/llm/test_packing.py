@@ -74,6 +74,24 @@ def test_ids_like_the_tokenizer(tokenizer, text):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_marks_and_line_ends_are_put_together_from_parts(tokenizer):
+    """Words with other marks or line ends at words met before ask nothing of the tokenizer; ids are its own for strings of all kinds."""
+    encoder = packing.Encoder(PATH)
+    encoder.encode("start " + "Over the hill, früher war 12 (and over a-b_c")
+    asked = []
+    ids = encoder.ids
+    encoder.ids = lambda text: asked.append(text) or ids(text)
+    text = "start Over, the. hill... (and),\nOver the\nhill früher 12% a-b_c; over.\nWar..\nOver"
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked == ["start"]
+    draw = random.Random(9)
+    parts = ["and", "Über", "ñandú", "'s", "'", "...", "<|endoftext|>", "\n", "\n\n", "\r\n", "12", "٣", "²", "ª", "_", "\u0250", "日本", "\x1c", "\t", "é", "é", "ǆ", "\u00d7", "``", "\x00", "ſ", "😀", "-", "(", " "]
+    texts = [" ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(draw.randint(1, 12))) for _ in range(3000)]
+    texts += [" " + chr(i) + "a" + chr(i) + chr(i) + " b" for i in range(0x300)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pieces(spark, tokenizer):
     rows = [*hard_documents(), (20, "a b c d e f g")]
     got = packing.pieces(frame(spark, rows), PATH, 64, with_ids=True).collect()
