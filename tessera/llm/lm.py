@@ -34,7 +34,7 @@ NOISE, BATCH, RATE, ROUNDS = 32, 2048, 0.06, 2
 #: Training tokens of a part, about, and those that a part is trained on at least in a round, in up to EPOCHS repeats.
 PART_TOKENS, LEAST_TOKENS, EPOCHS = 1_500_000, 600_000, 10
 #: Tokens scored at once, bytes of texts taken into words at once, about; pairs of context items whose sums a worker keeps in a table.
-CHUNK, SLICE_BYTES, TABLE = 400_000, 16 << 20, 1 << 24
+CHUNK, SLICE_BYTES, TABLE = 400_000, 4 << 20, 1 << 24
 
 
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
